@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .media import op10_media_columns
+from .packing import op9_packing
 from .quality import op6_quality_rules
+from .simhash import op2_simhash
+from .token_counts import op8_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_simhash": op2_simhash,
     "op6_quality_rules": op6_quality_rules,
+    "op8_token_counts": op8_token_counts,
+    "op9_packing": op9_packing,
     "op10_media_columns": op10_media_columns,
 }
 
