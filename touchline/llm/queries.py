@@ -11,9 +11,11 @@ from .packing import op9_packing
 from .quality import op6_quality_rules
 from .simhash import op2_simhash
 from .token_counts import op8_token_counts
+from .token_store import op3_token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
+    "op3_token_store": op3_token_store,
     "op6_quality_rules": op6_quality_rules,
     "op8_token_counts": op8_token_counts,
     "op9_packing": op9_packing,
