@@ -164,7 +164,7 @@ def _iban(m: re.Match, key: bytes, back: bool) -> str | None:
 def _phone(m: re.Match, key: bytes, back: bool) -> str | None:
     """The country code stays; the national digits are permuted, a leading 0 or 1 aside."""
     value = m.group()
-    lead = len(m["cc"] or "")
+    lead = re.match(r"(?:\+1|\+\d{1,3}[ .-]?)?", value).end()
     national = value[lead:]
     n = sum(c in DIGITS for c in national)
     if not 7 <= n <= 13:
@@ -243,11 +243,11 @@ RULES: dict[str, tuple[re.Pattern, Callable[[re.Match, bytes, bool], str | None]
     "access_key": (re.compile(_EDGE + r"A[KS]IA[A-Z0-9]{16}(?![A-Za-z0-9])"), _access_key),
     "email": (re.compile(r"(?P<local>(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64})@(?P<domain>[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}[A-Za-z0-9])?(?:\.[A-Za-z0-9-]{1,63})*\.[A-Za-z]{2,24})"), _email),
     "iban": (re.compile(_EDGE + r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"), _iban),
-    "card": (re.compile(r"(?<![\dA-Za-z+.-])\d(?:[ -]?\d){12,18}(?![\dA-Za-z])"), _card),
+    "card": (re.compile(r"(?<![\dA-Za-z+.-])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{4}([ -])\d{6}\2\d{4,5})(?![\dA-Za-z])"), _card),
     "ssn": (re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"), _ssn),
     "date": (re.compile(r"(?<![\d./-])(?:(?P<y1>(?:19|20)\d\d)(?P<s1>[-/.])(?P<m1>\d\d)(?P=s1)(?P<d1>\d\d)|(?P<a2>\d\d)(?P<s2>[-/.])(?P<b2>\d\d)(?P=s2)(?P<y2>(?:19|20)\d\d))(?![\d/-]|\.\d)"), _date),
     "ipv4": (re.compile(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d)"), _ipv4),
-    "phone": (re.compile(r"(?P<cc>\+\d{1,3}[ .-]?)(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\d+(A-Za-z.-])\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?![\d-])"), _phone),
+    "phone": (re.compile(r"\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)|\+(?!1)\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d|\.\d)|(?<![\d+(A-Za-z.-])\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?![\d-])"), _phone),
 }
 
 

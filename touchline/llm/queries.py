@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .media import op10_media_columns
+from .mixing import op5_mixing
 from .packing import op9_packing
+from .pii import op7_pii
 from .quality import op6_quality_rules
 from .simhash import op2_simhash
 from .token_counts import op8_token_counts
@@ -16,7 +18,9 @@ from .token_store import op3_token_store
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op3_token_store": op3_token_store,
+    "op5_mixing": op5_mixing,
     "op6_quality_rules": op6_quality_rules,
+    "op7_pii": op7_pii,
     "op8_token_counts": op8_token_counts,
     "op9_packing": op9_packing,
     "op10_media_columns": op10_media_columns,
