@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .html_extract import op1_html_text
 from .media import op10_media_columns
 from .mixing import op5_mixing
 from .packing import op9_packing
@@ -16,6 +17,7 @@ from .token_counts import op8_token_counts
 from .token_store import op3_token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_text": op1_html_text,
     "op2_simhash": op2_simhash,
     "op3_token_store": op3_token_store,
     "op5_mixing": op5_mixing,
