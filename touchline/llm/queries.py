@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .html_extract import op1_html_text
+from .lm_scoring import op4_lm_scoring
 from .media import op10_media_columns
 from .mixing import op5_mixing
 from .packing import op9_packing
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": op1_html_text,
     "op2_simhash": op2_simhash,
     "op3_token_store": op3_token_store,
+    "op4_lm_scoring": op4_lm_scoring,
     "op5_mixing": op5_mixing,
     "op6_quality_rules": op6_quality_rules,
     "op7_pii": op7_pii,
