@@ -39,7 +39,7 @@ from .store import materialise, read_columns
 SLOTS = 1000
 BLOCK_DOCS = 8
 TEMPERATURE = 0.8
-BUCKET_ROWS = 4096  # rows of a hash bucket, about
+BUCKET_ROWS = 1024  # rows of a hash bucket, about
 MAX_SOURCES = SLOTS  # more sources than slots cannot have a weight each
 NONE = "\x00none"
 
