@@ -97,11 +97,8 @@ def _int(p: dict, name: str, default: int | None = None) -> int:
     return int(value)
 
 
-C, H, L, V = (F.col(c) for c in ("close", "high", "low", "volume"))
-
-
 def _ma_ratio(s: Stage, p: dict) -> Column:
-    return ratio(C, s.roll("mean", "close", _int(p, "period"))) - 1
+    return ratio(F.col("close"), s.roll("mean", "close", _int(p, "period"))) - 1
 
 
 def _ma_cross(s: Stage, p: dict) -> Column:
@@ -109,11 +106,11 @@ def _ma_cross(s: Stage, p: dict) -> Column:
 
 
 def _roc(s: Stage, n: int) -> Column:
-    return ratio(C, s.lag("close", n)) - 1
+    return ratio(F.col("close"), s.lag("close", n)) - 1
 
 
 def _drawdown(s: Stage, n: int) -> Column:
-    return ratio(C, s.roll("max", "close", n)) - 1
+    return ratio(F.col("close"), s.roll("max", "close", n)) - 1
 
 
 def _rsi(s: Stage, n: int) -> Column:
@@ -123,7 +120,7 @@ def _rsi(s: Stage, n: int) -> Column:
 
 
 def _macd(s: Stage, p: dict) -> Column:
-    return ratio(s.ema("close", _int(p, "fast")) - s.ema("close", _int(p, "slow")), C)
+    return ratio(s.ema("close", _int(p, "fast")) - s.ema("close", _int(p, "slow")), F.col("close"))
 
 
 def _macd_histogram(s: Stage, p: dict) -> Column:
@@ -139,7 +136,7 @@ def _band(s: Stage, p: dict) -> tuple[Column, Column, float]:
 
 def _bb_pct(s: Stage, p: dict) -> Column:
     mean, std, k = _band(s, p)
-    return ratio(C - (mean - k * std), 2 * k * std)
+    return ratio(F.col("close") - (mean - k * std), 2 * k * std)
 
 
 def _bb_width(s: Stage, p: dict) -> Column:
@@ -149,7 +146,7 @@ def _bb_width(s: Stage, p: dict) -> Column:
 
 def _stoch_k(s: Stage, n: int) -> Column:
     low = s.roll("min", "low", n)
-    return ratio(100 * (C - low), s.roll("max", "high", n) - low)
+    return ratio(100 * (F.col("close") - low), s.roll("max", "high", n) - low)
 
 
 def _stoch_d(s: Stage, p: dict) -> Column:
@@ -159,7 +156,7 @@ def _stoch_d(s: Stage, p: dict) -> Column:
 
 def _williams(s: Stage, n: int) -> Column:
     high = s.roll("max", "high", n)
-    return ratio(C - high, high - s.roll("min", "low", n)) + 1
+    return ratio(F.col("close") - high, high - s.roll("min", "low", n)) + 1
 
 
 def _level(column: str) -> Builder:
@@ -221,10 +218,10 @@ _CORE: dict[str, Builder] = {
     "macd_histogram": _macd_histogram,
     "realized_vol": lambda s, p: s.roll("std", "__ret", _int(p, "period")) * F.sqrt(F.lit(252.0)) * 100,
     "vol_ratio": lambda s, p: ratio(s.roll("std", "__ret", _int(p, "fast")), s.roll("std", "__ret", _int(p, "slow"))),
-    "atr": lambda s, p: ratio(s.roll("mean", "__range", _int(p, "period")), C),
+    "atr": lambda s, p: ratio(s.roll("mean", "__range", _int(p, "period")), F.col("close")),
     "bb_pct": _bb_pct,
     "bb_width": _bb_width,
-    "volume_ratio": lambda s, p: ratio(V, s.roll("mean", "volume", _int(p, "period"))),
+    "volume_ratio": lambda s, p: ratio(F.col("volume"), s.roll("mean", "volume", _int(p, "period"))),
     "stoch_k": lambda s, p: _stoch_k(s, _int(p, "k_period")),
     "stoch_d": _stoch_d,
     "williams_r": lambda s, p: _williams(s, _int(p, "period")),
@@ -315,12 +312,12 @@ def wide_features(panel: DataFrame, nodes: list[Node], registry: FeatureRegistry
         if lacking:
             raise ValueError(f"node {n.id} needs the columns {', '.join(lacking)}")
     values = {n.id: registry.get(n.feature).build(stage, n.params) for n in nodes}
-    prev = F.coalesce(lag("close"), C)
+    prev = F.coalesce(lag("close"), F.col("close"))
     df = panel.withColumn("__prev", prev).withColumn("__before", lag("close"))
     df = df.withColumns({
-        "__gain": F.greatest(C - F.col("__prev"), F.lit(0.0)), "__loss": F.greatest(F.col("__prev") - C, F.lit(0.0)),
-        "__ret": F.ln(ratio(C, F.col("__before"))),
-        "__range": F.greatest(H - L, F.abs(H - F.col("__prev")), F.abs(L - F.col("__prev"))),
+        "__gain": F.greatest(F.col("close") - F.col("__prev"), F.lit(0.0)), "__loss": F.greatest(F.col("__prev") - F.col("close"), F.lit(0.0)),
+        "__ret": F.ln(ratio(F.col("close"), F.col("__before"))),
+        "__range": F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - F.col("__prev")), F.abs(F.col("low") - F.col("__prev"))),
     })
     if stage.rolling:
         df = df.withColumns(stage.rolling)
