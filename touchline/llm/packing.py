@@ -34,7 +34,7 @@ WINDOW = 2048
 END_ID = 1
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-SLICE = 512  # documents encoded at once
+SLICE = 2048  # documents encoded at once: more repeats of a piece per look-up
 
 
 class SumOfSquares:

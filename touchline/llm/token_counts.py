@@ -25,7 +25,7 @@ from .encoding import default_path, encoder
 from .store import materialise, read_columns
 
 CHUNK = 4096  # lengths of one chunk of the histogram
-SLICE = 512
+SLICE = 2048  # documents encoded at once: more repeats of a piece per look-up
 
 
 def _lengths(path: str):

@@ -47,7 +47,7 @@ HEADER = 16
 GAMMA = 2.0  # bits per key and level of the hash function
 KEYS_PER_INDEX = 1 << 17
 NULL_ID = -(1 << 63)  # where null ids sort
-SLICE = 512
+SLICE = 2048  # documents encoded at once: more repeats of a piece per look-up
 
 
 # ---- files -------------------------------------------------------------------------------
