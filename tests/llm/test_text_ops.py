@@ -10,6 +10,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from touchline.llm import encoding, media, mixing, packing, pii, quality, token_counts, token_store
 
@@ -399,3 +400,35 @@ def test_mixed_rows_come_in_schedule_order(spark):
     slots = {r.doc_id: (r["__slot"], r["__rank"]) for r in mixing.mix(rows).where("__in_mix").collect()}
     out = [r.doc_id for r in mixing.mixed(rows).collect()]
     assert sorted(out) == sorted(slots) and [slots[d] for d in out] == sorted(slots.values()) and mixing.mixed(rows).columns == rows.columns
+
+
+@pytest.mark.parametrize("tiny", [1, 5, 7])
+def test_a_tiny_source_ends_only_itself(spark, tiny, tmp_path):
+    """A source of less than a block, a null one and a hot one: all documents stay, in the order of their slots."""
+    source = f"case when id < {tiny} then 'tiny' when id < {2 * tiny} then null when id % 5 < 3 then 'hot' else concat('s', id % 20) end"
+    rows = spark.range(0, 30_000).selectExpr("id as doc_id", f"{source} as source")
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    op5 = mixing.op5_mixing(spark, str(tmp_path)).toPandas()
+    assert len(op5) == 30_000 and op5.in_mix.all()
+    slots = op5.groupby([op5.source.fillna(mixing.NONE), "block"]).slot.first()
+    assert slots.is_unique
+    n = 7
+    spark.conf.set("spark.sql.shuffle.partitions", n)
+    try:
+        got = mixing.mixed(rows)
+        sizes = Counter(r.p for r in got.select(F.spark_partition_id().alias("p")).collect())
+        out = [r.doc_id for r in got.collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+    at = dict(zip(op5.doc_id, op5.slot))
+    assert sorted(out) == list(range(30_000)) and [at[d] for d in out] == sorted(at.values())
+    assert len(sizes) == n and max(sizes.values()) - min(sizes.values()) <= 64
+
+
+def test_slot_cuts_deal_equally():
+    counts = {"a": 5000, "b": 40, "c": 1}
+    shares, period = mixing.schedule(counts, {"a": 0.1, "b": 0.8, "c": 0.1}, 10)
+    slots = sorted(mixing._slot(period[s], b, 10) for s in counts for b in range(counts[s]))
+    cuts = mixing.slot_cuts(counts, period, 10, 9)
+    sizes = np.bincount(np.searchsorted(cuts, slots, side="right"), minlength=9)
+    assert len(set(slots)) == len(slots) and sizes.sum() == 5041 and sizes.max() - sizes.min() <= 1

@@ -16,12 +16,14 @@ Ranks within a source are exact and need no task to see a whole source: rows are
 (source, hash bucket), the counts are summed over the few buckets, and ranks are taken
 within a bucket, whose size does not depend on how the rows are dealt to sources.
 
-The mixture lasts until a source runs out: slots before ``horizon``, the least
-slot that lacks its block, hold the weights exactly.  ``mix`` gives every document its
-block, release, deadline and slot, and whether it is inside the mixture.
+Every document of a source with a weight is in the schedule.  A source that runs out only
+ends itself: its later slots stay empty and the others go on in the order of their slots.
+A partial last block is a block.  Slots before ``horizon``, the least slot that lacks its
+block, hold all weights exactly (``__in_mix``).  ``mix`` gives every document its block,
+release, deadline and slot; ``mixed`` and op5_mixing keep every document that has a slot.
 
 Defined cases: a null source is a source of its own ("\\x00none"); sources without a target,
-or of weight nought, are outside the mixture and have null slots; null and repeated
+or of weight nought, are outside the schedule and have null slots; null and repeated
 doc_ids are ranked like any other rows; equal rows are told apart by their place; an
 empty table gives an empty table; all other columns are kept.
 """
@@ -31,6 +33,8 @@ from __future__ import annotations
 import heapq
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -105,15 +109,23 @@ def tempered(counts: dict[str, int], temperature: float = TEMPERATURE) -> dict[s
     return {s: n**temperature for s, n in counts.items()}
 
 
+def schedule(counts: dict[str, int], weights: dict[str, float] | None, slots: int) -> tuple[dict[str, int], dict[str, tuple[int, ...]]]:
+    """Shares of all sources, and the slots in a period of those that have one."""
+    shares = integer_weights(tempered(counts) if weights is None else weights, slots)
+    names = sorted(s for s in shares if shares[s])
+    return shares, dict(zip(names, pfair_period(tuple(shares[s] for s in names)))) if names else {}
+
+
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, source_col: str = "source", id_col: str = "doc_id", block_docs: int = BLOCK_DOCS, slots: int = SLOTS, counts: dict[str, int] | None = None) -> DataFrame:
-    """``docs`` with columns __block (from 1), __release, __deadline, __slot, __in_mix, __rank (in the source)."""
+    """``docs`` with columns __block (from 1), __release, __deadline, __slot, __in_mix, __rank (in the source).
+
+    __slot is null only for sources without a weight; __in_mix: before the first slot that lacks its block.
+    """
     counts = source_counts(docs, source_col) if counts is None else counts
-    shares = integer_weights(tempered(counts) if weights is None else weights, slots)
-    names = sorted(s for s, m in shares.items() if m and counts.get(s))
-    lacking = [s for s, m in shares.items() if m and not counts.get(s)]
-    period = dict(zip(sorted(s for s in shares if shares[s]), pfair_period(tuple(shares[s] for s in sorted(shares) if shares[s])) if any(shares.values()) else ()))
-    # the slot that would hold the block after a source's last whole one
-    horizon = min((period[s][0] if s in lacking else _slot(period[s], counts[s] // block_docs, slots) for s in period), default=0)
+    shares, period = schedule(counts, weights, slots)
+    names = sorted(s for s in period if counts.get(s))
+    # the slot that would hold the block after a source's last one
+    horizon = min((_slot(period[s], _blocks(counts.get(s, 0), block_docs), slots) for s in period), default=0)
     rows = docs.withColumn("__source", _source(source_col)).withColumn("__place", F.monotonically_increasing_id())
     n_buckets = max(1, sum(counts.values()) // BUCKET_ROWS)
     # ids order the rows; rows that have none are spread by their place
@@ -141,31 +153,55 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, source_col: st
     return out.select(*[F.col(f"`{c}`") for c in docs.columns], "__rank", "__block", "__release", "__deadline", "__slot", "__in_mix")
 
 
+def _blocks(n_docs: int, block_docs: int) -> int:
+    return -(-n_docs // block_docs)
+
+
 def _slot(places: tuple[int, ...], block: int, slots: int) -> int:
     """The slot of block number ``block`` (from 0)."""
     return block // len(places) * slots + places[block % len(places)]
 
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The documents inside the mixture, in the order of the schedule, with their own columns.
+def slot_cuts(blocks: dict[str, int], period: dict[str, tuple[int, ...]], slots: int, n: int) -> np.ndarray:
+    """n - 1 slots that cut the schedule into n parts of equally many blocks (within one)."""
+    own = [(blocks[s], np.array(period[s])) for s in period if blocks.get(s)]
+    wanted = -(-np.arange(1, n, dtype=np.int64) * sum(b for b, _ in own) // n)
+    low = np.zeros(n - 1, np.int64)
+    high = np.full(n - 1, max((_slot(period[s], blocks[s] - 1, slots) + 1 for s in period if blocks.get(s)), default=0))
+    while (low < high).any():  # the least slot that has so many blocks before it
+        middle = (low + high) // 2
+        before = np.zeros(n - 1, np.int64)
+        for b, places in own:
+            before += np.minimum(b, middle // slots * len(places) + np.searchsorted(places, middle % slots))
+        enough = before >= wanted
+        high, low = np.where(enough, middle, high), np.where(enough, low, np.minimum(middle + 1, high))
+    return low
+
+
+def mixed(docs: DataFrame, weights: dict[str, float] | None = None, source_col: str = "source", id_col: str = "doc_id", block_docs: int = BLOCK_DOCS, slots: int = SLOTS, counts: dict[str, int] | None = None) -> DataFrame:
+    """All documents that have a slot, in the order of the schedule, with their own columns.
 
     The rows are dealt to files by ranges of slots and sorted in each, so that files read
     one after the other give the interleaving.
     """
-    spark = docs.sparkSession
-    placed = mix(docs, **options).where("__in_mix")
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    counts = options.get("counts") or source_counts(docs, options.get("source_col", "source"))
-    total = max(1, -(-sum(counts.values()) // options.get("block_docs", BLOCK_DOCS)))
-    part = F.least(F.lit(n - 1), F.expr(f"cast((__slot * {n}) div {total} as int)"))
-    ordered = placed.repartitionById(n, part).sortWithinPartitions("__slot", "__rank")
+    counts = source_counts(docs, source_col) if counts is None else counts
+    _, period = schedule(counts, weights, slots)
+    placed = mix(docs, weights, source_col, id_col, block_docs, slots, counts).where("__slot is not null")
+    n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cuts = slot_cuts({s: _blocks(c, block_docs) for s, c in counts.items()}, period, slots, n)
+
+    @F.arrow_udf("int")
+    def part(slot: pa.Array) -> pa.Array:
+        return pa.array(np.searchsorted(cuts, slot.to_numpy(zero_copy_only=False), side="right").astype(np.int32))
+
+    ordered = placed.repartitionById(n, part("__slot")).sortWithinPartitions("__slot", "__rank")
     return ordered.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with its source, block, window and slot; targets: tempered shares of the sources."""
+    """Every document with its source, block, window and slot; in_mix: it has a slot; targets: tempered shares of the sources."""
     docs = read_columns(spark, sf_dir, "documents", "doc_id", "source")
     return mix(docs).select(
         "doc_id", "source", F.col("__block").alias("block"), F.col("__release").alias("release_time"),
-        F.col("__deadline").alias("deadline"), F.col("__slot").alias("slot"), F.col("__in_mix").alias("in_mix"),
+        F.col("__deadline").alias("deadline"), F.col("__slot").alias("slot"), F.col("__slot").isNotNull().alias("in_mix"),
     )
