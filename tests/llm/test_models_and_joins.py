@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from xxhash import xxh64_intdigest
 
-from touchline.llm import html_blocks, html_extract, html_pages, lm_scoring, mixing_model, simhash
+from touchline.llm import html_blocks, html_extract, html_pages, lm_scoring, mixing_model, near_text, simhash
 from touchline.llm.components import component_labels
 from touchline.llm.queries import ORACLES, QUERIES
 
@@ -126,6 +126,57 @@ def test_one_row_of_each_group_stays(spark):
     assert Counter(again) == Counter([*set(groups), None])
 
 
+def five_words(text):
+    words = (text or "").encode().lower().split()
+    return {b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def edited_rows(seed=3):
+    """Texts of 60 to 200 words and copies with one to five words put in place of others."""
+    r, rows = random.Random(seed), []
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(4))
+    for _ in range(40):
+        words = [word() for _ in range(r.randint(60, 200))]
+        for _ in range(r.choice([1, 2, 12])):
+            own = list(words)
+            for _ in range(r.randint(0, 5)):
+                own[r.randrange(len(own))] = word()
+            rows.append(" ".join(own))
+    return [*rows, None, "", "  ", "One two", "one TWO"]
+
+
+def test_edited_copies_are_one_group(spark):
+    import corpus_pipeline
+
+    texts = edited_rows()
+    sets = [five_words(t) for t in texts]
+    label = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a == sets[j] or (a and sets[j] and len(a & sets[j]) >= 0.8 * len(a | sets[j])):
+                low, high = sorted((label[i], label[j]))
+                label = [low if k == high else k for k in label]
+    df = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], "doc_id long, text string, source string")
+    kept = corpus_pipeline.near_dedup(spark, df, "")
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(label)) and len(set(label)) < len(texts) - 20
+    twice = df.union(df).union(spark.createDataFrame([(None, texts[0], None), (None, "only one", None)], df.schema))
+    assert Counter(r.doc_id for r in corpus_pipeline.near_dedup(spark, twice, "").collect()) == Counter([*set(label), None])
+
+
+def test_keys_that_span_parts():
+    r = random.Random(1)
+    rows = sorted((r.randrange(6), k) for k in range(60))
+    key, fp = np.array(rows).T
+    want = set(zip(*(x.tolist() for x in near_text.run_pairs(key, fp))))
+    cuts, got, ends = [0, 3, 4, 30, 41, 60], set(), []
+    Row = type("Row", (), {"__init__": lambda self, **k: self.__dict__.update(k)})
+    for p, (a, b) in enumerate(zip(cuts, cuts[1:])):
+        got |= set(zip(*(x.tolist() for x in near_text.run_pairs(key[a:b], fp[a:b]))))
+        ends += [Row(u=f, v=k, d=0, part=p) for k, f in rows[a:b][:8]] + [Row(u=f, v=k, d=-1, part=p) for k, f in rows[a:b][-8:]]
+    across = set(near_text._across(ends))
+    assert got | across >= want and all(d <= 8 for _, _, d in across)
+
+
 # ---- pages ---------------------------------------------------------------------------------
 
 

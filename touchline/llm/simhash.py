@@ -26,7 +26,7 @@ empty table; further columns are left out.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -222,11 +222,14 @@ def fingerprint_links(distinct: DataFrame) -> DataFrame:
     return grouped.repartition(n, "g1", "g2").sortWithinPartitions("g1", "g2").mapInArrow(_links, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id) of every row; component_id: smallest doc_id reachable by links."""
-    rows = materialise(fingerprints(docs, id_col, text_col), "fingerprints")
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: DataFrame | None = None, links: Callable[[DataFrame], DataFrame] = fingerprint_links) -> DataFrame:
+    """(doc_id, fp, component_id) of every row; component_id: smallest doc_id reachable by links.
+
+    ``rows``, stored (doc_id, fp) of all docs, and ``links`` of distinct fps put another likeness in place of fingerprints.
+    """
+    rows = materialise(fingerprints(docs, id_col, text_col), "fingerprints") if rows is None else rows
     distinct = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "distinct")
-    labels = component_labels(fingerprint_links(distinct.select("fp")))
+    labels = component_labels(links(distinct.select("fp")))
     own = distinct.join(labels, distinct["fp"] == labels["node"], "left").select("fp", "first", "n", F.coalesce("label", "fp").alias("label"))
     # the least id of each component: a minimum per label, given back to its fingerprints
     least = own.where("label <> fp").groupBy("label").agg(F.min("first").alias("low"))
@@ -243,20 +246,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return some.unionByName(others.select("doc_id", "fp", "component_id"))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each component: the one with its smallest doc_id.
+def one_of_each(docs: DataFrame, groups: Callable[[DataFrame], DataFrame] = near_duplicates, mark: Callable[[bytes], int] = fingerprint) -> DataFrame:
+    """``docs`` with one row of each component of ``groups``: the one with its smallest doc_id; ``mark``: the fp of a text.
 
     Where doc_ids are unique and not null that is one anti-join against the ids that go.
     Rows that repeat a doc_id, or have none, cannot be told apart by it: then the whole
     rows are reduced by a pre-aggregated minimum over (no id, doc_id, text).
     """
-    found = materialise(near_duplicates(docs), "near")
+    found = materialise(groups(docs), "near")
     repeated = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null")
     if repeated.isEmpty():
         gone = found.where("doc_id <> component_id").select("doc_id")
         return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     kinds = found.select("doc_id", "fp", "component_id").distinct()
-    marked = docs.mapInArrow(_with_fingerprint(docs.columns), docs.select("*", F.lit(0).cast("long").alias("__fp")).schema)
+    marked = docs.mapInArrow(_with_fingerprint(docs.columns, mark), docs.select("*", F.lit(0).cast("long").alias("__fp")).schema)
     joined = marked.alias("d").join(kinds.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d.__fp") == F.col("k.fp")))
     fields = [F.col(f"d.`{c}`") for c in docs.columns]
     order = F.struct(F.col("d.doc_id").isNull(), F.col("d.doc_id"), F.col("d.text").isNull(), F.col("d.text"))
@@ -265,10 +268,10 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     return best.select(*[F.col("r").getField(c).alias(c) for c in docs.columns])
 
 
-def _with_fingerprint(columns: list[str]):
+def _with_fingerprint(columns: list[str], mark: Callable[[bytes], int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [fingerprint(t or b"") for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            got = [mark(t or b"") for t in batch.column("text").cast(pa.binary()).to_pylist()]
             yield pa.record_batch([*batch.columns, pa.array(np.array(got, np.uint64).view(np.int64))], names=[*columns, "__fp"])
 
     return run
