@@ -432,3 +432,11 @@ def test_slot_cuts_deal_equally():
     cuts = mixing.slot_cuts(counts, period, 10, 9)
     sizes = np.bincount(np.searchsorted(cuts, slots, side="right"), minlength=9)
     assert len(set(slots)) == len(slots) and sizes.sum() == 5041 and sizes.max() - sizes.min() <= 1
+
+
+@pytest.mark.parametrize("text", ["ES9121000418450200051332 USA", "AT611904300234573201 BIC", "ES91 2100 0418 4502 0005 1332 2024", "DE89 3704 0044 0532 0130 00 A1", "ES91 2100 0418 4502 0005 1332 AT61 1904 3002 3457 3201"])
+def test_words_after_an_iban(text):
+    got, found = pii.pseudonymise(text)
+    assert [k for k, _, _ in found] == ["iban"] * (2 if "1332 AT" in text else 1)
+    assert text[:22] != got[:22] and len(got) == len(text) and pii.restore(got, pii.DEMO_KEY) == text
+    assert found[-1][2] == len(text) or got[found[-1][2] :] == text[found[-1][2] :] != ""

@@ -238,11 +238,17 @@ def _secret(m: re.Match, key: bytes, back: bool) -> str:
 
 
 _EDGE = r"(?<![A-Za-z0-9])"
+#: Countries by the length of their IBANs, so that a word after one is not taken for its end.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ",
+    24: "AD CZ ES MD PK RO SA SE SK TN", 25: "LY PT", 26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT", 32: "LC",
+}
+_IBANS = "|".join(rf"(?:{c.replace(' ', '|')})\d{{2}}(?: ?[A-Z0-9]{{4}}){{{n // 4 - 1}}}" + (rf" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") + "(?![A-Za-z0-9])" for n, c in IBAN_LENGTHS.items())
 RULES: dict[str, tuple[re.Pattern, Callable[[re.Match, bytes, bool], str | None]]] = {
     "secret": (re.compile(r"(?i:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?(?P<value>[A-Za-z0-9/+_.~-]{6,}={0,2})"), _secret),
     "access_key": (re.compile(_EDGE + r"A[KS]IA[A-Z0-9]{16}(?![A-Za-z0-9])"), _access_key),
     "email": (re.compile(r"(?P<local>(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64})@(?P<domain>[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}[A-Za-z0-9])?(?:\.[A-Za-z0-9-]{1,63})*\.[A-Za-z]{2,24})"), _email),
-    "iban": (re.compile(_EDGE + r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"), _iban),
+    "iban": (re.compile(_EDGE + rf"(?:{_IBANS}|" + r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))"), _iban),
     "card": (re.compile(r"(?<![\dA-Za-z+.-])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{4}([ -])\d{6}\2\d{4,5})(?![\dA-Za-z])"), _card),
     "ssn": (re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"), _ssn),
     "date": (re.compile(r"(?<![\d./-])(?:(?P<y1>(?:19|20)\d\d)(?P<s1>[-/.])(?P<m1>\d\d)(?P=s1)(?P<d1>\d\d)|(?P<a2>\d\d)(?P<s2>[-/.])(?P<b2>\d\d)(?P=s2)(?P<y2>(?:19|20)\d\d))(?![\d/-]|\.\d)"), _date),
