@@ -34,8 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .components import component_labels
-from .store import materialise, read_columns
+from .components import component_labels, forest
+from .store import materialise, read_columns, unused
 
 SEED = 42
 SHINGLE = 3
@@ -124,19 +124,6 @@ def within(queries: np.ndarray, values: np.ndarray, radius: int = RADIUS) -> tup
     return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
-def forest(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
-    """For each of n nodes the smallest node joined to it by the links (u, v)."""
-    label = np.arange(n)
-    while True:
-        low = label.copy()
-        np.minimum.at(low, u, label[v])
-        np.minimum.at(low, v, label[u])
-        low = low[low]
-        if (low == label).all():
-            return label
-        label = low
-
-
 def group_links(values: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Forest links among sorted runs of equal ``groups``; values are distinct within a run.
 
@@ -259,20 +246,20 @@ def one_of_each(docs: DataFrame, groups: Callable[[DataFrame], DataFrame] = near
         gone = found.where("doc_id <> component_id").select("doc_id")
         return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     kinds = found.select("doc_id", "fp", "component_id").distinct()
-    marked = docs.mapInArrow(_with_fingerprint(docs.columns, mark), docs.select("*", F.lit(0).cast("long").alias("__fp")).schema)
-    joined = marked.alias("d").join(kinds.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d.__fp") == F.col("k.fp")))
-    fields = [F.col(f"d.`{c}`") for c in docs.columns]
-    order = F.struct(F.col("d.doc_id").isNull(), F.col("d.doc_id"), F.col("d.text").isNull(), F.col("d.text"))
+    own = unused(docs, "fp")
+    marked = docs.mapInArrow(_with_fingerprint(own, mark), docs.select("*", F.lit(0).cast("long").alias(own)).schema)
+    marked = marked.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(own).alias("fp"))
+    joined = marked.alias("d").join(kinds.alias("k"), F.col("d.row.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d.fp") == F.col("k.fp")))
+    order = F.struct(F.col("d.row.doc_id").isNull(), F.col("d.row.doc_id"), F.col("d.row.text").isNull(), F.col("d.row.text"))
     group = F.coalesce(F.col("k.component_id").cast("string"), F.concat(F.lit("fp"), F.col("k.fp").cast("string")))
-    best = joined.groupBy(group.alias("__g")).agg(F.min_by(F.struct(*fields), order).alias("r"))
-    return best.select(*[F.col("r").getField(c).alias(c) for c in docs.columns])
+    return joined.groupBy(group.alias("g")).agg(F.min_by("d.row", order).alias("row")).select("row.*")
 
 
-def _with_fingerprint(columns: list[str], mark: Callable[[bytes], int]):
+def _with_fingerprint(own: str, mark: Callable[[bytes], int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [mark(t or b"") for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            yield pa.record_batch([*batch.columns, pa.array(np.array(got, np.uint64).view(np.int64))], names=[*columns, "__fp"])
+            yield pa.record_batch([*batch.columns, pa.array(np.array(got, np.uint64).view(np.int64))], names=[*batch.schema.names, own])
 
     return run
 

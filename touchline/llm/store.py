@@ -11,9 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a local one is set only where it is unset (tests)."""
+    """The folder of ``spark.checkpoint.dir``; a local one is set only where it is unset and all is on one machine (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         own = tempfile.mkdtemp(prefix="touchline-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         folder = f"file://{own}"
@@ -40,3 +42,11 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 def read_columns(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
     """The named columns of a table of the data folder."""
     return spark.read.parquet(f"{sf_dir}/{table}.parquet").select(*columns)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` does not have, in any case of letters."""
+    taken, k = {c.lower() for c in df.columns}, 0
+    while (own := f"__{name}{k or ''}").lower() in taken:
+        k += 1
+    return own
