@@ -24,18 +24,21 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from datetime import date, timedelta
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import read_columns
+from .store import read_columns, unused
 
 DEMO_KEY = b"touchline demonstration key"
 ROUNDS = 8
+LONG = 160  # characters from which on a value is permuted by halves of characters, not as one number
 KINDS = ("email", "card", "iban", "phone", "ssn", "ipv4", "date", "access_key", "secret")
 DIGITS, UPPER, LOWER, HEX = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789abcdef"
 BASE32 = UPPER + DIGITS
@@ -53,7 +56,7 @@ class Feistel:
         self.n_bytes = -(-2 * self.half // 8)
 
     def _round(self, k: int, x: int) -> int:
-        h = hashlib.blake2b(x.to_bytes(self.n_bytes, "little") + bytes([k]), key=self.head, digest_size=max(8, -(-self.half // 8)))
+        h = hashlib.blake2b(x.to_bytes(self.n_bytes, "little") + bytes([k]), key=self.head, digest_size=min(64, max(8, -(-self.half // 8))))
         return int.from_bytes(h.digest(), "little") & self.mask
 
     def _once(self, x: int) -> int:
@@ -101,9 +104,32 @@ def _chars(n: int, alphabets: list[str]) -> str:
     return "".join(reversed(out))
 
 
+def _permute_long(chars: list[str], alphabets: list[str], key: bytes, tweak: str, back: bool) -> str:
+    """A Feistel network over characters instead of one number: linear in the length of the value.
+
+    Each half in turn is shifted, character by character within its alphabet, by a keyed
+    stream drawn from the other half.
+    """
+    at = np.array([a.index(c) for c, a in zip(chars, alphabets)], np.int64)
+    size = np.array([len(a) for a in alphabets], np.int64)
+    half = len(at) // 2
+    parts = (slice(0, half), slice(half, None))
+    for k in reversed(range(ROUNDS)) if back else range(ROUNDS):
+        moved, other = parts[k % 2], parts[1 - k % 2]
+        # 512-bit digest of the other half, then a stream of 32 bits for each character
+        seed = hashlib.blake2b(at[other].astype("<u2").tobytes() + tweak.encode() + bytes([k]), key=key[:64]).digest()
+        n = len(at[moved])
+        stream = np.frombuffer(hashlib.shake_256(seed).digest(4 * n), "<u4").astype(np.int64)
+        at[moved] = (at[moved] + (-stream if back else stream)) % size[moved]
+    return "".join(a[i] for a, i in zip(alphabets, at.tolist()))
+
+
 def permute(value: str, alphabets: list[str | None], key: bytes, tweak: str, back: bool = False) -> str:
     """Enciphers the characters that have an alphabet, as one number; the others stay."""
     own = [a for a in alphabets if a]
+    if len(own) > LONG:
+        new = iter(_permute_long([c for c, a in zip(value, alphabets) if a], own, key, tweak, back))
+        return "".join(next(new) if a else c for c, a in zip(value, alphabets))
     size = 1
     for a in own:
         size *= len(a)
@@ -263,18 +289,18 @@ def pseudonymise(text: str, key: bytes = DEMO_KEY, back: bool = False) -> tuple[
     Kinds are tried in the order of RULES; findings do not overlap.  With ``back`` the
     pseudonyms are turned into the first values again.
     """
-    taken: list[tuple[int, int, str, str]] = []
+    taken: list[tuple[int, int, str, str]] = []  # in the order of their places; they do not overlap
     if any(c in text for c in "0123456789@=:"):
         for kind, (pattern, replace) in RULES.items():
             for m in pattern.finditer(text):
-                if taken and any(a < m.end() and m.start() < b for a, b, _, _ in taken):
+                at = bisect_left(taken, (m.start(),))
+                if at < len(taken) and taken[at][0] < m.end() or at and taken[at - 1][1] > m.start():
                     continue
                 new = replace(m, key, back)
                 if new is not None:
-                    taken.append((m.start(), m.end(), kind, new))
+                    taken.insert(at, (m.start(), m.end(), kind, new))
     if not taken:
         return text, []
-    taken.sort()
     out, at = [], 0
     for a, b, _, new in taken:
         out += [text[at:a], new]
@@ -287,7 +313,7 @@ def restore(text: str, key: bytes) -> str:
     return pseudonymise(text, key, back=True)[0]
 
 
-def _replacer(key: bytes, text_col: str, chars_col: str | None, spans: bool):
+def _replacer(key: bytes, text_col: str, chars_col: str | None, spans: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [(None, []) if t is None else pseudonymise(t, key) for t in batch.column(text_col).to_pylist()]
@@ -297,7 +323,7 @@ def _replacer(key: bytes, text_col: str, chars_col: str | None, spans: bool):
                 columns[chars_col] = pa.array([None if t is None else len(t) for t, _ in got], pa.int64()).cast(batch.schema.field(chars_col).type)
             if spans:
                 kind = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
-                columns["__found"] = pa.array([[{"kind": k, "start": a, "end": b} for k, a, b in f] for _, f in got], pa.list_(kind))
+                columns[spans] = pa.array([[{"kind": k, "start": a, "end": b} for k, a, b in f] for _, f in got], pa.list_(kind))
             yield pa.record_batch(list(columns.values()), names=list(columns))
 
     return run
@@ -308,9 +334,10 @@ def pseudonymise_column(docs: DataFrame, key: bytes = DEMO_KEY, text_col: str =
 
     Spans give kind, start and end in the given text.  A map over the rows, no shuffle.
     """
-    schema = docs.limit(0).select("*", *([F.lit(None).cast("array<struct<kind:string,start:long,end:long>>").alias("__found")] if spans_col else [])).schema
-    out = docs.mapInArrow(_replacer(key, text_col, chars_col, bool(spans_col)), schema)
-    return out.withColumnRenamed("__found", spans_col) if spans_col else out
+    spans = unused(docs, "found") if spans_col else None
+    schema = docs.limit(0).select("*", *([F.lit(None).cast("array<struct<kind:string,start:long,end:long>>").alias(spans)] if spans else [])).schema
+    out = docs.mapInArrow(_replacer(key, text_col, chars_col, spans), schema)
+    return out.withColumnRenamed(spans, spans_col) if spans else out
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
