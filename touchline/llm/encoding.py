@@ -11,6 +11,7 @@ Nulls count as empty texts.  Nothing is truncated.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from functools import lru_cache
@@ -56,7 +57,9 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # a special token's string in a text is text
+        added = json.loads(self.tokenizer.to_str())["added_tokens"]
+        # strings that the library takes out of a text before anything else: texts holding one are encoded whole
+        self.added = "|".join(re.escape(t["content"]) for t in added)
         self.vocab_size = self.tokenizer.get_vocab_size()
         self._clear()
 
@@ -129,8 +132,9 @@ class PieceEncoder:
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         if len(self.known) > CACHE_PIECES:
             self._clear()
-        safe = pc.invert(pc.match_substring_regex(texts, UNSAFE))
-        is_safe = safe.to_numpy(zero_copy_only=False)
+        apart = pc.match_substring_regex(texts, self.added, ignore_case=True) if self.added else pa.array(np.zeros(len(texts), bool))
+        safe = pc.invert(pc.or_(apart, pc.match_substring_regex(texts, UNSAFE)))
+        is_apart, is_safe = (x.to_numpy(zero_copy_only=False) for x in (apart, safe))
         n_pieces = np.zeros(len(texts), np.int64)
         parts: list[tuple[np.ndarray, np.ndarray]] = []  # (rows, piece numbers)
         rows = np.flatnonzero(is_safe)
@@ -144,11 +148,20 @@ class PieceEncoder:
             numbers = self._numbers(own)[coded.indices.to_numpy()]
             n_pieces[rows] = np.diff(split.offsets.to_numpy())
             parts.append((rows, numbers))
-        rows = np.flatnonzero(~is_safe)
+        rows = np.flatnonzero(~is_safe & ~is_apart)
         if len(rows):
-            found = [PIECES.findall(t) for t in pc.filter(texts, pc.invert(safe)).to_pylist()]
+            found = [PIECES.findall(t) for t in texts.take(pa.array(rows)).to_pylist()]
             n_pieces[rows] = [len(x) for x in found]
             parts.append((rows, self._numbers([p for x in found for p in x])))
+        rows, kept = np.flatnonzero(is_apart), (len(self.known), self.used)
+        if len(rows):  # whole texts are pieces for this batch only: the cache stays one of short pieces
+            whole = texts.take(pa.array(rows)).to_pylist()
+            self._encoded([t for t in dict.fromkeys(whole) if t not in self.known])
+            n_pieces[rows] = 1
+            parts.append((rows, np.array([self.known[t] for t in whole], np.int64)))
+            while len(self.known) > kept[0]:
+                self.known.popitem()
+            self.used = kept[1]
         ends = np.cumsum(n_pieces)
         if len(parts) == 1:
             order = parts[0][1]
