@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from typing import NamedTuple
 
 #: Elements that end a block (fixed values, from the HTML standard's flow elements).
@@ -25,9 +26,12 @@ _IMPLIED = {
     **dict.fromkeys(("thead", "tbody", "tfoot"), ({"thead", "tbody", "tfoot"}, {"table"})),
 }
 _BREAKS_P = BLOCK_TAGS - {"label", "button", "option"}
+#: Elements that may stand in a head; any other one, or text, ends it.
+_IN_HEAD = frozenset("html head title base link meta style script noscript template".split())
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"
-    r"|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*+)(?P<attrs>(?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+|[^>]*+)>",
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"
+    # attributes: a name, then perhaps "=" and a value; quotes count only where a value begins
+    r"|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*+)(?P<attrs>(?:[\s/]++|=?[^\s/>=]++(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|(?![\"'])[^\s>]++|(?=>)))?+|=)*+|[^>]*+)>",
     re.S,
 )
 _ATTR = re.compile(r"(?<![\w-])(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -35,11 +39,24 @@ _SPLIT = re.compile(r"[^a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
+class Path:
+    """An open element with the names from its class, id and role, and the path above it.
+
+    Paths share what is above them, so a page of any depth takes linear time.
+    """
+
+    __slots__ = ("above", "tag", "names", "depth", "kept")
+
+    def __init__(self, above: Path | None, tag: str, names: tuple[str, ...]):
+        self.above, self.tag, self.names = above, tag, names
+        self.depth: int = 1 + (above.depth if above else 0)
+        self.kept: object = None  # room for what a reader derives from the path
+
+
 class Block(NamedTuple):
-    """Tags of the path from the root, names from class, id and role along it, the text, and its characters in links."""
+    """A leaf block: its path (None: outside of all elements), its text, and its characters in links."""
 
-    tags: tuple[str, ...]
-    names: tuple[str, ...]
+    path: Path | None
     text: str
     link_chars: int
 
@@ -62,7 +79,8 @@ def parse(page: str) -> list[Block]:
     is passed over, what is open at the end is closed there.
     """
     blocks: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[Path] = []
+    open_tags: Counter[str] = Counter()
     pieces: list[str] = []
     in_link, link_chars, at, n = False, 0, 0, len(page)
     in_head = False
@@ -73,11 +91,13 @@ def parse(page: str) -> list[Block]:
             text = " ".join("".join(pieces).split())
             pieces.clear()
             if text:
-                blocks.append(Block(tuple(t for t, _ in stack), tuple(x for _, names in stack for x in names), text, min(link_chars, len(text))))
+                blocks.append(Block(stack[-1] if stack else None, text, min(link_chars, len(text))))
         link_chars = 0
 
     def add(raw: str) -> None:
-        nonlocal link_chars
+        nonlocal link_chars, in_head
+        if in_head and raw and not raw.isspace():
+            in_head = False
         if raw and not in_head:
             text = html.unescape(raw) if "&" in raw else raw
             pieces.append(text)
@@ -106,7 +126,7 @@ def parse(page: str) -> list[Block]:
         if tag == "head":
             in_head = not m["end"]
             continue
-        if in_head and tag in ("body", "article", "main", "nav", "div", "p", "h1", "header", "section"):
+        if in_head and not m["end"] and tag not in _IN_HEAD:
             in_head = False
         if tag in SKIPPED_TAGS:
             if not m["end"] and not m["attrs"].rstrip().endswith("/"):
@@ -125,23 +145,25 @@ def parse(page: str) -> list[Block]:
         if tag == "hr":
             continue
         if m["end"]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+            if open_tags[tag]:
+                while (closed := stack.pop().tag) != tag:
+                    open_tags[closed] -= 1
+                open_tags[tag] -= 1
             continue
         in_link = False
-        if tag in _BREAKS_P and stack and stack[-1][0] == "p":
-            stack.pop()
-        if tag in _IMPLIED:
+        if tag in _BREAKS_P and stack and stack[-1].tag == "p":
+            open_tags[stack.pop().tag] -= 1
+        if tag in _IMPLIED and any(open_tags[t] for t in _IMPLIED[tag][0]):
             closes, stops = _IMPLIED[tag]
             for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in stops:
+                if stack[k].tag in stops:
                     break
-                if stack[k][0] in closes:
+                if stack[k].tag in closes:
+                    open_tags.subtract(p.tag for p in stack[k:])
                     del stack[k:]
                     break
         if not m["attrs"].rstrip().endswith("/"):
-            stack.append((tag, _names(m["attrs"])))
+            open_tags[tag] += 1
+            stack.append(Path(stack[-1] if stack else None, tag, _names(m["attrs"])))
     flush()
     return blocks

@@ -26,12 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .html_blocks import Block, parse
+from .html_blocks import Block, Path, parse
 from .html_pages import PageMaker
 from .store import read_columns
 
 TRAIN_PAGES, TRAIN_SEED, EPOCHS, BATCH, RATE = 1200, 7, 8, 16, 0.01
 EMBED, HIDDEN = 32, 24
+SLICE = 2048  # blocks whose rows are made at once
 WORD_SLOTS, NAME_SLOTS = 128, 32
 #: Tags with a slot of their own; the last one is for all others.
 TAGS = "html body article main section div header footer nav aside form p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tbody tr td th blockquote pre figure figcaption label button address details summary other".split()
@@ -60,28 +61,41 @@ def _word_slot(word: str) -> int:
     return zlib.crc32(word.encode("utf-8", "replace")) % WORD_SLOTS
 
 
+def _slots_along(path: Path) -> frozenset[int]:
+    """Slots of the tags and names from the root down; kept with the path, shared where nothing is new."""
+    todo = []
+    while path is not None and path.kept is None:
+        todo.append(path)
+        path = path.above
+    slots = path.kept if path is not None else frozenset()
+    for p in reversed(todo):
+        own = {AT_TAGS + _TAG.get(p.tag, len(TAGS) - 1)}
+        own |= {AT_NAMES + _NAME[n] if n in _NAME else AT_OTHER + zlib.crc32(n.encode()) % NAME_SLOTS for n in p.names}
+        slots = slots if own <= slots else slots | own
+        p.kept = slots
+    return slots
+
+
 @lru_cache(maxsize=1 << 14)
-def _path_slots(tags: tuple[str, ...], names: tuple[str, ...]) -> np.ndarray:
-    out = {AT_TAGS + _TAG.get(t, len(TAGS) - 1) for t in tags}
-    if tags:
-        out.add(AT_LEAF + _TAG.get(tags[-1], len(TAGS) - 1))
-    out |= {AT_NAMES + _NAME[n] if n in _NAME else AT_OTHER + zlib.crc32(n.encode()) % NAME_SLOTS for n in names}
-    return np.array(sorted(out), np.int64)
+def _path_slots(along: frozenset[int], tag: str) -> np.ndarray:
+    return np.array(sorted(along | {AT_LEAF + _TAG.get(tag, len(TAGS) - 1)}), np.int64)
 
 
-def vectors(blocks: list[Block]) -> np.ndarray:
-    """One row per block: path, hashed words (of length 1) and measures."""
+def vectors(blocks: list[Block], first: int = 0, total: int | None = None) -> np.ndarray:
+    """One row per block: path, hashed words (of length 1) and measures; ``first`` of ``total`` blocks of the page come before."""
     x = np.zeros((len(blocks), WIDTH), np.float32)
+    total = len(blocks) if total is None else total
     for k, b in enumerate(blocks):
         row = x[k]
-        row[_path_slots(b.tags, b.names)] = 1.0
+        if b.path is not None:
+            row[_path_slots(_slots_along(b.path), b.path.tag)] = 1.0
         words = b.text.split()
         counts = np.bincount(list(map(_word_slot, words)), minlength=WORD_SLOTS)
         row[AT_WORDS:AT_MEASURES] = counts / np.sqrt(counts @ counts)
-        n = len(b.text)
+        n, at = len(b.text), first + k
         row[AT_MEASURES:] = (
-            np.log1p(len(words)) / 4, np.log1p(n) / 6, b.link_chars / n, b.text[-1] in ".!?:;", k / len(blocks),
-            np.log1p(k) / 4, np.log1p(len(blocks) - k) / 4, len(b.tags) / 8,
+            np.log1p(len(words)) / 4, np.log1p(n) / 6, b.link_chars / n, b.text[-1] in ".!?:;", at / total,
+            np.log1p(at) / 4, np.log1p(total - at) / 4, min(b.path.depth if b.path else 0, 64) / 8,
         )
     return x
 
@@ -131,9 +145,14 @@ class BlockLabeller:
             out[t] = h
         return out
 
-    def scores(self, flat: np.ndarray, sizes: list[int]) -> np.ndarray:
-        """Log odds of main text for every block of some pages, in the order of ``flat``."""
-        z, mask, at = self._padded(np.tanh(flat @ self.p["we"] + self.p["be"]), sizes)
+    def embedded(self, blocks: list[Block]) -> np.ndarray:
+        """Embeddings of a page's blocks; their wide rows only exist for SLICE blocks at once."""
+        cuts = range(0, len(blocks), SLICE)
+        return np.concatenate([np.tanh(vectors(blocks[at : at + SLICE], at, len(blocks)) @ self.p["we"] + self.p["be"]) for at in cuts])
+
+    def scores(self, pages: list[list[Block]]) -> np.ndarray:
+        """Log odds of main text for every block of some pages, one after the other."""
+        z, mask, at = self._padded(np.concatenate([self.embedded(blocks) for blocks in pages]), [len(blocks) for blocks in pages])
         both = np.concatenate([self._run(z, mask, d, None) for d in "fb"], 2)
         return (both.reshape(-1, 2 * HIDDEN)[at] @ self.p["wo"] + self.p["bo"]).astype(np.float32)
 
@@ -236,7 +255,7 @@ def main_texts(pages: list[str | None], model: BlockLabeller) -> list[str]:
         while end < len(order) and end - at < 128 and (end - at + 1) * len(parsed[order[end]]) <= 8192:
             end += 1
         own = order[at:end]
-        scores = model.scores(np.concatenate([vectors(parsed[k]) for k in own]), [len(parsed[k]) for k in own])
+        scores = model.scores([parsed[k] for k in own])
         first = 0
         for k in own:
             blocks = parsed[k]
