@@ -7,25 +7,29 @@ released block with the earliest deadline goes next (ties: earlier release, then
 for weights that sum to 1 meets every deadline, so that after any number of slots each
 source's count is within less than one block of weight times slots.
 
-Weights are multiples of 1/SLOTS, so the schedule repeats after SLOTS slots.  One period is
-computed on the driver (SLOTS steps, a constant); the slot of any block then is
-``period * SLOTS + slot in the period``, a plain expression for every row: nothing is
-sequential in the number of documents.
+Weights are multiples of 1/slots, so the schedule repeats after that many slots: SLOTS, or
+four times the number of sources where that is more.  One period is computed on the driver
+(at most 4 MAX_SOURCES steps); the slot of any block then is ``period * slots + slot in the
+period``, a plain expression for every row: nothing is sequential in the number of documents.
+Sources beyond the MAX_SOURCES - 1 with the most documents are scheduled together, as one
+source (REST); their documents all keep a place.
 
 Ranks within a source are exact and need no task to see a whole source: rows are counted by
-(source, hash bucket), the counts are summed over the few buckets, and ranks are taken
-within a bucket, whose size does not depend on how the rows are dealt to sources.
+(source, hash bucket), the counts are summed in two levels, over spans of buckets and
+then within a span, and ranks are taken within a bucket.  A bucket that holds far more rows than
+chance would give it, since an id is repeated very often, is dealt again by the rows' places.
 
 Every document of a source with a weight is in the schedule.  A source that runs out only
 ends itself: its later slots stay empty and the others go on in the order of their slots.
 A partial last block is a block.  Slots before ``horizon``, the least slot that lacks its
-block, hold all weights exactly (``__in_mix``).  ``mix`` gives every document its block,
+block, hold all weights exactly (``exact``).  ``mix`` gives every document its block,
 release, deadline and slot; ``mixed`` and op5_mixing keep every document that has a slot.
 
 Defined cases: a null source is a source of its own ("\\x00none"); sources without a target,
 or of weight nought, are outside the schedule and have null slots; null and repeated
 doc_ids are ranked like any other rows; equal rows are told apart by their place; an
-empty table gives an empty table; all other columns are kept.
+empty table gives an empty table; all other columns are kept, whatever their names: the
+schedule is one struct column with a name of the caller's choice.
 """
 
 from __future__ import annotations
@@ -38,14 +42,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .store import materialise, read_columns
+from .store import materialise, read_columns, unused
 
 SLOTS = 1000
 BLOCK_DOCS = 8
 TEMPERATURE = 0.8
 BUCKET_ROWS = 1024  # rows of a hash bucket, about
-MAX_SOURCES = SLOTS  # more sources than slots cannot have a weight each
-NONE = "\x00none"
+SPAN = 1024  # buckets that are summed together first
+MAX_SOURCES = 20_000  # sources scheduled one by one
+NONE, REST = "\x00none", "\x00rest"
 
 
 def integer_weights(weights: dict[str, float], slots: int = SLOTS) -> dict[str, int]:
@@ -97,11 +102,18 @@ def _source(col: str) -> Column:
 
 
 def source_counts(docs: DataFrame, source_col: str = "source") -> dict[str, int]:
-    """Documents of each source; refuses more than MAX_SOURCES sources, so the result is small."""
-    rows = docs.groupBy(_source(source_col).alias("s")).agg(F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(rows) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    return {r.s: r.n for r in rows}
+    """Documents of each source: the MAX_SOURCES - 1 largest by name, all others as REST, so the result is small."""
+    sizes = docs.groupBy(_source(source_col).alias("s")).agg(F.count("*").alias("n"))
+    rows = sizes.orderBy(F.desc("n"), "s").limit(MAX_SOURCES).collect()
+    if len(rows) < MAX_SOURCES:
+        return {r.s: r.n for r in rows}
+    named = {r.s: r.n for r in rows[:-1]}
+    return named | {REST: docs.count() - sum(named.values())}
+
+
+def period_slots(counts: dict[str, int], slots: int | None = None) -> int:
+    """The length of a period: every source can have a slot or more."""
+    return slots or max(SLOTS, 4 * len(counts))
 
 
 def tempered(counts: dict[str, int], temperature: float = TEMPERATURE) -> dict[str, float]:
@@ -116,41 +128,58 @@ def schedule(counts: dict[str, int], weights: dict[str, float] | None, slots: in
     return shares, dict(zip(names, pfair_period(tuple(shares[s] for s in names)))) if names else {}
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, source_col: str = "source", id_col: str = "doc_id", block_docs: int = BLOCK_DOCS, slots: int = SLOTS, counts: dict[str, int] | None = None) -> DataFrame:
-    """``docs`` with columns __block (from 1), __release, __deadline, __slot, __in_mix, __rank (in the source).
+def mix(docs: DataFrame, into: str, weights: dict[str, float] | None = None, source_col: str = "source", id_col: str = "doc_id", block_docs: int = BLOCK_DOCS, slots: int | None = None, counts: dict[str, int] | None = None) -> DataFrame:
+    """``docs`` with a struct column ``into``: rank (in the source, from 0), block (from 1), release, deadline, slot, exact.
 
-    __slot is null only for sources without a weight; __in_mix: before the first slot that lacks its block.
+    slot is null only for sources without a weight; exact: before the first slot that lacks its block.
     """
+    if into.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"the table already has a column {into}")
+    spark = docs.sparkSession
     counts = source_counts(docs, source_col) if counts is None else counts
+    slots = period_slots(counts, slots)
     shares, period = schedule(counts, weights, slots)
-    names = sorted(s for s in period if counts.get(s))
     # the slot that would hold the block after a source's last one
     horizon = min((_slot(period[s], _blocks(counts.get(s, 0), block_docs), slots) for s in period), default=0)
-    rows = docs.withColumn("__source", _source(source_col)).withColumn("__place", F.monotonically_increasing_id())
-    n_buckets = max(1, sum(counts.values()) // BUCKET_ROWS)
+    # the given columns are one struct from here on, so that no name can clash
+    source = _source(source_col)
+    if REST in counts:
+        named = spark.createDataFrame([(s,) for s in counts if s != REST], "name string")  # fewer than MAX_SOURCES rows
+        docs_in = docs.select(F.struct("*").alias("row"), source.alias("name")).join(F.broadcast(named.withColumn("own", F.lit(True))), "name", "left")
+        rows = docs_in.select("row", F.when(F.col("own"), F.col("name")).otherwise(F.lit(REST)).alias("source"))
+    else:
+        rows = docs.select(F.struct("*").alias("row"), source.alias("source"))
     # ids order the rows; rows that have none are spread by their place
-    rows = rows.withColumn("__hash", F.xxhash64(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.concat(F.lit("p"), F.col("__place").cast("string")))))
-    rows = rows.withColumn("__bucket", F.pmod("__hash", F.lit(n_buckets)).cast("int"))
-    sizes = materialise(rows.groupBy("__source", "__bucket").agg(F.count("*").alias("n")), "buckets")
-    before = Window.partitionBy("__source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = sizes.select("__source", "__bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__first"))
-    within = Window.partitionBy("__source", "__bucket").orderBy("__hash", "__place")
-    ranked = rows.withColumn("__in_bucket", F.row_number().over(within)).join(firsts, ["__source", "__bucket"])
-    ranked = ranked.withColumn("__rank", F.col("__first") + F.col("__in_bucket") - 1)
-    ranked = ranked.withColumn("__block", F.expr(f"__rank div {int(block_docs)} + 1"))
-    if names:
-        share = F.try_element_at(F.create_map(*[F.lit(x) for s in names for x in (s, shares[s])]), F.col("__source"))
-        table = F.try_element_at(F.create_map(*[x for s in names for x in (F.lit(s), F.array(*map(F.lit, period[s])))]), F.col("__source"))
+    rows = rows.withColumn("place", F.monotonically_increasing_id())
+    rows = rows.withColumn("hash", F.xxhash64(F.coalesce(F.col("row").getField(id_col).cast("string"), F.concat(F.lit("p"), F.col("place").cast("string")))))
+    n_buckets = max(1, sum(counts.values()) // BUCKET_ROWS)
+    rows = rows.withColumn("bucket", F.pmod("hash", F.lit(n_buckets)))
+    sizes = materialise(rows.groupBy("source", "bucket").agg(F.count("*").alias("n")), "buckets")
+    full = sizes.where(F.col("n") > 16 * BUCKET_ROWS)
+    if full.isEmpty():
+        rows, sizes = rows.withColumn("part", F.lit(0).cast("long")), sizes.withColumn("part", F.lit(0).cast("long"))
     else:
-        share, table = F.lit(None).cast("int"), F.lit(None).cast("array<int>")
-    i = F.col("__block")
-    ranked = ranked.withColumn("__share", share.cast("long"))
-    release = F.expr(f"((__block - 1) * {slots}) div __share")
-    deadline = F.expr(f"(__block * {slots} + __share - 1) div __share")
-    slot = F.expr(f"((__block - 1) div __share) * {slots}") + F.get(table, F.pmod(i - 1, F.col("__share")).cast("int"))
-    out = ranked.withColumns({"__release": release, "__deadline": deadline, "__slot": slot.cast("long")})
-    out = out.withColumn("__in_mix", F.coalesce(F.col("__slot") < F.lit(horizon), F.lit(False)))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], "__rank", "__block", "__release", "__deadline", "__slot", "__in_mix")
+        rows = rows.join(full, ["source", "bucket"], "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("place"), F.expr(f"n div {BUCKET_ROWS}")), F.lit(0))).drop("n")
+        sizes = materialise(rows.groupBy("source", "bucket", "part").agg(F.count("*").alias("n")), "buckets")
+    span = F.expr(f"bucket div {SPAN}").alias("span")
+    spans = sizes.groupBy("source", span).agg(F.sum("n").alias("m"))
+    before = Window.partitionBy("source").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.select("source", "span", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("earlier"))
+    inside = Window.partitionBy("source", "span").orderBy("bucket", "part").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = sizes.select("*", span).select("source", "bucket", "part", "span", F.coalesce(F.sum("n").over(inside), F.lit(0)).alias("in_span"))
+    firsts = firsts.join(spans, ["source", "span"]).select("source", "bucket", "part", (F.col("earlier") + F.col("in_span")).alias("first"))
+    within = Window.partitionBy("source", "bucket", "part").orderBy("hash", "place")
+    ranked = rows.withColumn("in_bucket", F.row_number().over(within)).join(firsts, ["source", "bucket", "part"])
+    ranked = ranked.withColumn("rank", F.col("first") + F.col("in_bucket") - 1)
+    ranked = ranked.withColumn("block", F.expr(f"rank div {int(block_docs)} + 1"))
+    table = spark.createDataFrame([(s, shares[s], list(p)) for s, p in period.items()], "source string, share long, places array<int>")  # as many places as slots
+    ranked = ranked.join(F.broadcast(table), "source", "left")
+    release = F.expr(f"((block - 1) * {slots}) div share")
+    deadline = F.expr(f"(block * {slots} + share - 1) div share")
+    slot = F.expr(f"((block - 1) div share) * {slots}") + F.get("places", F.pmod(F.col("block") - 1, F.col("share")).cast("int"))
+    out = ranked.withColumns({"release": release, "deadline": deadline, "slot": slot.cast("long")})
+    out = out.withColumn("exact", F.coalesce(F.col("slot") < F.lit(horizon), F.lit(False)))
+    return out.select("row.*", F.struct("rank", "block", "release", "deadline", "slot", "exact").alias(into))
 
 
 def _blocks(n_docs: int, block_docs: int) -> int:
@@ -178,15 +207,17 @@ def slot_cuts(blocks: dict[str, int], period: dict[str, tuple[int, ...]], slots:
     return low
 
 
-def mixed(docs: DataFrame, weights: dict[str, float] | None = None, source_col: str = "source", id_col: str = "doc_id", block_docs: int = BLOCK_DOCS, slots: int = SLOTS, counts: dict[str, int] | None = None) -> DataFrame:
+def mixed(docs: DataFrame, weights: dict[str, float] | None = None, source_col: str = "source", id_col: str = "doc_id", block_docs: int = BLOCK_DOCS, slots: int | None = None, counts: dict[str, int] | None = None) -> DataFrame:
     """All documents that have a slot, in the order of the schedule, with their own columns.
 
     The rows are dealt to files by ranges of slots and sorted in each, so that files read
     one after the other give the interleaving.
     """
     counts = source_counts(docs, source_col) if counts is None else counts
+    slots = period_slots(counts, slots)
     _, period = schedule(counts, weights, slots)
-    placed = mix(docs, weights, source_col, id_col, block_docs, slots, counts).where("__slot is not null")
+    own = unused(docs, "schedule")
+    placed = mix(docs, own, weights, source_col, id_col, block_docs, slots, counts).where(F.col(own)["slot"].isNotNull())
     n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     cuts = slot_cuts({s: _blocks(c, block_docs) for s, c in counts.items()}, period, slots, n)
 
@@ -194,14 +225,14 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, source_col:
     def part(slot: pa.Array) -> pa.Array:
         return pa.array(np.searchsorted(cuts, slot.to_numpy(zero_copy_only=False), side="right").astype(np.int32))
 
-    ordered = placed.repartitionById(n, part("__slot")).sortWithinPartitions("__slot", "__rank")
+    ordered = placed.repartitionById(n, part(F.col(own)["slot"])).sortWithinPartitions(F.col(own)["slot"], F.col(own)["rank"])
     return ordered.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its source, block, window and slot; in_mix: it has a slot; targets: tempered shares of the sources."""
-    docs = read_columns(spark, sf_dir, "documents", "doc_id", "source")
-    return mix(docs).select(
-        "doc_id", "source", F.col("__block").alias("block"), F.col("__release").alias("release_time"),
-        F.col("__deadline").alias("deadline"), F.col("__slot").alias("slot"), F.col("__slot").isNotNull().alias("in_mix"),
+    s = F.col("s")
+    return mix(read_columns(spark, sf_dir, "documents", "doc_id", "source"), "s").select(
+        "doc_id", "source", s["block"].alias("block"), s["release"].alias("release_time"),
+        s["deadline"].alias("deadline"), s["slot"].alias("slot"), s["slot"].isNotNull().alias("in_mix"),
     )
