@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -92,6 +93,42 @@ def test_components_of_a_long_path_and_a_hub(spark):
     assert component_labels(spark.createDataFrame([], "u long, v long")).collect() == []
 
 
+@pytest.mark.parametrize("shape", ["far end", "zigzag", "random", "two hubs"])
+def test_components_in_few_rounds(spark, shape, monkeypatch):
+    from touchline.llm import components
+
+    r, n = random.Random(4), 10_000
+    order = list(range(n))
+    if shape == "far end":
+        order = [*range(1, n), 0]
+    elif shape == "zigzag":
+        order = [k // 2 if k % 2 else n - 1 - k // 2 for k in range(n)]
+    else:
+        r.shuffle(order)
+    pairs = list(zip(order, order[1:]))
+    if shape == "random":
+        pairs = [(r.randrange(n), r.randrange(n)) for _ in range(n)]
+    elif shape == "two hubs":
+        pairs = [(n - 1 - k % 2, k) for k in range(n - 2)]
+    rounds = []
+    real = components.materialise
+    monkeypatch.setattr(components, "materialise", lambda df, name: rounds.append(name) or real(df, name))
+    got = {x.node: x.label for x in component_labels(spark.createDataFrame(pairs, "u long, v long")).collect()}
+    label = list(range(n))
+
+    def root(x):
+        while label[x] != x:
+            label[x] = label[label[x]]
+            x = label[x]
+        return x
+
+    for u, v in pairs:
+        low, high = sorted((root(u), root(v)))
+        label[high] = low
+    assert got == {x: root(x) for p in pairs if p[0] != p[1] for x in p}
+    assert rounds.count("step") < 30
+
+
 def dup_rows(seed=1):
     r, rows = random.Random(seed), []
     word = lambda: "".join(r.choice("abcdefgh") for _ in range(4))
@@ -124,6 +161,9 @@ def test_one_row_of_each_group_stays(spark):
     twice = df.union(df).union(spark.createDataFrame([(None, rows[0][1], None), (None, "only one", None)], df.schema))
     again = [r.doc_id for r in simhash.one_of_each(twice).collect()]
     assert Counter(again) == Counter([*set(groups), None])
+    clash = twice.selectExpr("*", "1 as __fp", "2 as __fp1", "3 as g", "4 as component_id")
+    kept = simhash.one_of_each(clash)
+    assert kept.columns == clash.columns and Counter(r.doc_id for r in kept.collect()) == Counter(again)
 
 
 def five_words(text):
@@ -188,10 +228,28 @@ def model():
 def test_blocks_of_broken_markup():
     page = '<!doctype html><HEAD><title>no</title></HEAD><p>One &amp; two&nbsp;<b>bold<br>line<p>Three<script>var a="</p>"</script> four<!-- <p>no --><ul><li>x<li>y</ul></div><p>5 < 6 <a href="a>b">link</a><td'
     assert [b.text for b in html_blocks.parse(page)] == ["One & two bold line", "Three four", "x", "y", "5 < 6 link"]
-    paths = [b.tags for b in html_blocks.parse(page)]
+    def tags(path):
+        return () if path is None else (*tags(path.above), path.tag)
+
+    paths = [tags(b.path) for b in html_blocks.parse(page)]
     assert paths == [("p",), ("p",), ("ul", "li"), ("ul", "li"), ("p",)]
     assert html_blocks.parse("") == [] and html_blocks.parse("just text")[0].text == "just text"
     assert [b.text for b in html_blocks.parse("<p>a</p>" + "<" * 2000)][0] == "a"
+    for page, want in (
+        ("<p title=it's>Hello</p><p>don't stop</p><p>End</p>", ["Hello", "don't stop", "End"]),
+        ("<p a=b'c d=\"e>f\">x</p><p a='>y'>z</p><p = q>w</p><p a=>v", ["x", "z", "w", "v"]),
+        ("<!-->a<p>b</p><!-- c --><!--->d<!-- e --!>f", ["a", "b", "df"]),
+        ("<head><title>t</title><meta a=b><h2>two</h2><ul><li>x</ul><table><tr><td>1</table>", ["two", "x", "1"]),
+        ("<head><title>t</title>text<p>more", ["text", "more"]),
+    ):
+        assert [x for b in html_blocks.parse(page) for x in [b.text]] == want, page
+
+
+def test_deep_and_long_pages_take_linear_time(model):
+    start = time.monotonic()
+    assert len(html_blocks.parse("<div>x" * 20_000 + "</p>" * 20_000 + "<li>y" * 5_000)) == 25_000
+    assert html_extract.main_texts(["<div class=a>x" * 3_000 + "</div>" * 3_000, "<p>y</p>" * 5_000], model)
+    assert time.monotonic() - start < 20
 
 
 def test_gradients_match_differences():
