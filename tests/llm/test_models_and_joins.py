@@ -283,7 +283,9 @@ def test_gradients_match_differences():
     for k, v in m.p.items():
         m.p[k] = v.astype(np.float64)
     r = np.random.default_rng(0)
-    x, sizes, y = r.random((9, html_extract.WIDTH)), [4, 2, 3], r.integers(0, 2, 9).astype(float)
+    each = r.integers(1, 9, 9)
+    x = html_extract.Rows(r.integers(0, html_extract.WIDTH, each.sum()), r.random(each.sum()), each)
+    sizes, y = [4, 2, 3], r.integers(0, 2, 9).astype(float)
     _, g = m.gradients(x, sizes, y)
     for name in ("we", "wxf", "whf", "whb", "bb", "wo"):
         at = np.unravel_index(np.abs(g[name]).argmax(), g[name].shape)

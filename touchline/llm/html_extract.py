@@ -7,7 +7,7 @@ block is judged in the context of the whole document.  Main blocks are joined in
 
 The model is trained where it is used, on the driver, on TRAIN_PAGES made-up pages with
 known main text (html_pages) from a fixed seed; the same seed gives the same weights.  It
-takes a constant time, whatever the input, and its weights (some tens of thousand numbers) go
+takes a constant time, whatever the input, and its weights (about a megabyte) go
 to the tasks with the function.
 
 Defined cases: a null or empty page has empty text; so has a page without a main block; an
@@ -18,8 +18,10 @@ results; further columns are left out.  Pages of any length are read whole.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +32,13 @@ from .html_blocks import Block, Path, parse
 from .html_pages import PageMaker
 from .store import read_columns
 
-TRAIN_PAGES, TRAIN_SEED, EPOCHS, BATCH, RATE = 1200, 7, 8, 16, 0.01
+TRAIN_PAGES, TRAIN_SEED, EPOCHS, BATCH, RATE = 2000, 7, 6, 16, 0.01
 EMBED, HIDDEN = 32, 24
-SLICE = 2048  # blocks whose rows are made at once
-WORD_SLOTS, NAME_SLOTS = 128, 32
+DECAY = 0.05  # of the weights, times the rate, in a step
+SLICE = 2048  # blocks embedded at once
+NO_WORDS = 0.2  # share of blocks whose words are hidden in a training step, so that no label hangs on them alone
+WORD_SLOTS, NAME_SLOTS = 1 << 13, 64
+KNOWN_PAGES = 40  # a word on so many training pages has a slot of its own
 #: Tags with a slot of their own; the last one is for all others.
 TAGS = "html body article main section div header footer nav aside form p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tbody tr td th blockquote pre figure figcaption label button address details summary other".split()
 #: Names from class, id and role with a slot of their own.
@@ -57,8 +62,8 @@ WIDTH = AT_MEASURES + N_MEASURES
 
 
 @lru_cache(maxsize=1 << 17)
-def _word_slot(word: str) -> int:
-    return zlib.crc32(word.encode("utf-8", "replace")) % WORD_SLOTS
+def _word_hash(word: str) -> int:
+    return zlib.crc32(word.encode("utf-8", "replace"))
 
 
 def _slots_along(path: Path) -> frozenset[int]:
@@ -81,23 +86,39 @@ def _path_slots(along: frozenset[int], tag: str) -> np.ndarray:
     return np.array(sorted(along | {AT_LEAF + _TAG.get(tag, len(TAGS) - 1)}), np.int64)
 
 
-def vectors(blocks: list[Block], first: int = 0, total: int | None = None) -> np.ndarray:
-    """One row per block: path, hashed words (of length 1) and measures; ``first`` of ``total`` blocks of the page come before."""
-    x = np.zeros((len(blocks), WIDTH), np.float32)
-    total = len(blocks) if total is None else total
+class Rows(NamedTuple):
+    """Sparse rows of blocks, one after the other: places and values of what is not nought, and how many each row has."""
+
+    index: np.ndarray
+    value: np.ndarray
+    sizes: np.ndarray
+
+
+def vectors(blocks: list[Block], known: frozenset[int]) -> Rows:
+    """One row per block: path, hashed words (of length 1) and measures.
+
+    Words whose hash is not ``known`` from training share one slot, so that a rare word is not taken
+    for another one that happens to have its slot.
+    """
+    index, value, sizes, total = [], [], [], len(blocks)
+    measures = np.arange(AT_MEASURES, WIDTH)
     for k, b in enumerate(blocks):
-        row = x[k]
-        if b.path is not None:
-            row[_path_slots(_slots_along(b.path), b.path.tag)] = 1.0
+        path = _path_slots(_slots_along(b.path), b.path.tag) if b.path is not None else measures[:0]
         words = b.text.split()
-        counts = np.bincount(list(map(_word_slot, words)), minlength=WORD_SLOTS)
-        row[AT_WORDS:AT_MEASURES] = counts / np.sqrt(counts @ counts)
-        n, at = len(b.text), first + k
-        row[AT_MEASURES:] = (
-            np.log1p(len(words)) / 4, np.log1p(n) / 6, b.link_chars / n, b.text[-1] in ".!?:;", at / total,
-            np.log1p(at) / 4, np.log1p(total - at) / 4, min(b.path.depth if b.path else 0, 64) / 8,
-        )
-    return x
+        counts = Counter(h % (WORD_SLOTS - 1) if h in known else WORD_SLOTS - 1 for h in map(_word_hash, words))
+        count = np.fromiter(counts.values(), np.float32, len(counts))
+        n = len(b.text)
+        index += (path, np.fromiter(counts, np.int64, len(counts)) + AT_WORDS, measures)
+        value += (np.ones(len(path), np.float32), count / np.sqrt(count @ count), np.array((
+            np.log1p(len(words)) / 4, np.log1p(n) / 6, b.link_chars / n, b.text[-1] in ".!?:;", k / total,
+            np.log1p(k) / 4, np.log1p(total - k) / 4, min(b.path.depth if b.path else 0, 64) / 8,
+        ), np.float32))
+        sizes.append(len(path) + len(counts) + N_MEASURES)
+    return Rows(np.concatenate(index), np.concatenate(value), np.array(sizes, np.int64))
+
+
+def together(parts: list[Rows]) -> Rows:
+    return Rows(*map(np.concatenate, zip(*parts)))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -108,6 +129,7 @@ class BlockLabeller:
     """Embedding, LSTMs in both directions and a logistic output, with training by back-propagation."""
 
     def __init__(self, seed: int):
+        self.known: frozenset[int] = frozenset()  # hashes of the words with slots of their own
         r = np.random.default_rng(seed)
         draw = lambda *shape: (r.standard_normal(shape) / np.sqrt(shape[0])).astype(np.float32)
         self.p = {"we": draw(WIDTH, EMBED) * 2, "be": np.zeros(EMBED, np.float32), "wo": draw(2 * HIDDEN), "bo": np.zeros(1, np.float32)}
@@ -145,21 +167,26 @@ class BlockLabeller:
             out[t] = h
         return out
 
-    def embedded(self, blocks: list[Block]) -> np.ndarray:
-        """Embeddings of a page's blocks; their wide rows only exist for SLICE blocks at once."""
-        cuts = range(0, len(blocks), SLICE)
-        return np.concatenate([np.tanh(vectors(blocks[at : at + SLICE], at, len(blocks)) @ self.p["we"] + self.p["be"]) for at in cuts])
+    def embedded(self, rows: Rows) -> np.ndarray:
+        """Embeddings of blocks: sums of weight rows, SLICE blocks at once."""
+        ends, out = np.cumsum(rows.sizes), []
+        for at in range(0, len(ends), SLICE):
+            low, high = ends[at] - rows.sizes[at], ends[min(at + SLICE, len(ends)) - 1]
+            products = self.p["we"][rows.index[low:high]] * rows.value[low:high, None]
+            starts = (ends - rows.sizes)[at : at + SLICE] - low  # no row is empty: all have measures
+            out.append(np.tanh(np.add.reduceat(products, starts) + self.p["be"]))
+        return np.concatenate(out)
 
     def scores(self, pages: list[list[Block]]) -> np.ndarray:
         """Log odds of main text for every block of some pages, one after the other."""
-        z, mask, at = self._padded(np.concatenate([self.embedded(blocks) for blocks in pages]), [len(blocks) for blocks in pages])
+        z, mask, at = self._padded(np.concatenate([self.embedded(vectors(blocks, self.known)) for blocks in pages]), [len(blocks) for blocks in pages])
         both = np.concatenate([self._run(z, mask, d, None) for d in "fb"], 2)
         return (both.reshape(-1, 2 * HIDDEN)[at] @ self.p["wo"] + self.p["bo"]).astype(np.float32)
 
-    def gradients(self, flat: np.ndarray, sizes: list[int], target: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    def gradients(self, rows: Rows, sizes: list[int], target: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean cross entropy of labels and its gradients, by back-propagation through time."""
         p = self.p
-        e = np.tanh(flat @ p["we"] + p["be"])
+        e = self.embedded(rows)
         z, mask, at = self._padded(e, sizes)
         kept = {d: [] for d in "fb"}
         both = np.concatenate([self._run(z, mask, d, kept[d]) for d in "fb"], 2).reshape(-1, 2 * HIDDEN)
@@ -192,21 +219,29 @@ class BlockLabeller:
             g |= {f"wx{d}": z.reshape(-1, EMBED).T @ flat_gates, f"wh{d}": gh, f"b{d}": flat_gates.sum(0)}
             dz += dgates @ p[f"wx{d}"].T
         de = dz.reshape(-1, EMBED)[at] * (1 - e * e)
-        g |= {"we": flat.T @ de, "be": de.sum(0)}
+        g |= {"we": np.zeros_like(p["we"]), "be": de.sum(0)}
+        np.add.at(g["we"], rows.index, rows.value[:, None] * np.repeat(de, rows.sizes, 0))
         return loss, g
 
-    def train(self, pages: list[tuple[np.ndarray, np.ndarray]], epochs: int, rate: float, seed: int) -> float:
-        """Adam over batches of pages of like length; returns the last epoch's mean loss."""
+    def train(self, pages: list[tuple[Rows, np.ndarray]], epochs: int, rate: float, seed: int) -> float:
+        """Adam over batches of pages of like length; the weights are the mean of the second half (of evenly many epochs).
+
+        Returns the last epoch's mean loss.
+        """
         r = np.random.default_rng(seed)
         first = {k: np.zeros_like(v) for k, v in self.p.items()}
         second = {k: np.zeros_like(v) for k, v in self.p.items()}
+        mean_of = {k: np.zeros(v.shape) for k, v in self.p.items()}
         order, step, mean = sorted(range(len(pages)), key=lambda k: len(pages[k][1])), 0, 0.0
         batches = [order[a : a + BATCH] for a in range(0, len(order), BATCH)]
         for epoch in range(epochs):
             losses = []
             for b in r.permutation(len(batches)):
                 own = [pages[k] for k in batches[b]]
-                loss, g = self.gradients(np.concatenate([x for x, _ in own]), [len(y) for _, y in own], np.concatenate([y for _, y in own]))
+                x = together([rows for rows, _ in own])
+                hidden = np.repeat(r.random(len(x.sizes)) < NO_WORDS, x.sizes) & (x.index >= AT_WORDS) & (x.index < AT_MEASURES)
+                x = x._replace(value=np.where(hidden, np.float32(0.0), x.value))
+                loss, g = self.gradients(x, [len(y) for _, y in own], np.concatenate([y for _, y in own]))
                 norm = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
                 step += 1
                 now = rate * (1 - epoch / epochs * 0.8)
@@ -214,15 +249,18 @@ class BlockLabeller:
                     v = v * min(1.0, 5.0 / (norm + 1e-9))
                     first[k] = 0.9 * first[k] + 0.1 * v
                     second[k] = 0.99 * second[k] + 0.01 * v * v
-                    self.p[k] = (self.p[k] - now * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
+                    self.p[k] = ((1 - DECAY * now) * self.p[k] - now * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
+                    if 2 * epoch >= epochs:
+                        mean_of[k] += self.p[k]
                 losses.append(loss)
             mean = float(np.mean(losses))
+        self.p = {k: (v / (epochs // 2 * len(batches))).astype(np.float32) for k, v in mean_of.items()}
         return mean
 
 
-def training_pages(n: int, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Vectors and labels of the blocks of made-up pages."""
-    maker, out = PageMaker(seed), []
+def training_pages(n: int, seed: int) -> tuple[list[tuple[Rows, np.ndarray]], frozenset[int]]:
+    """Vectors and labels of the blocks of made-up pages, and the hashes of the words that many of them have."""
+    maker, parsed, on_pages = PageMaker(seed), [], Counter()
     for _ in range(n):
         html, main = maker.page()
         blocks, at, label = parse(html), 0, []
@@ -232,15 +270,18 @@ def training_pages(n: int, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
             label.append(float(is_main))
         if at != len(main):
             raise AssertionError("a made-up page lost a main block")
-        out.append((vectors(blocks), np.array(label, np.float32)))
-    return out
+        parsed.append((blocks, np.array(label, np.float32)))
+        on_pages.update({_word_hash(w) for b in blocks for w in b.text.split()})
+    known = frozenset(h for h, k in on_pages.items() if k >= KNOWN_PAGES)
+    return [(vectors(blocks, known), label) for blocks, label in parsed], known
 
 
 @lru_cache(maxsize=1)
 def trained(pages: int = TRAIN_PAGES, seed: int = TRAIN_SEED) -> BlockLabeller:
     """The labeller that all queries use; trained once per driver process."""
     model = BlockLabeller(seed)
-    model.train(training_pages(pages, seed), EPOCHS, RATE, seed)
+    examples, model.known = training_pages(pages, seed)
+    model.train(examples, EPOCHS, RATE, seed)
     return model
 
 
