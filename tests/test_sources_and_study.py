@@ -160,6 +160,76 @@ def test_four_stages(spark, sf_dir, tmp_path):
         other.compare()
 
 
+def test_stages_run_from_the_store_and_refuse_other_settings(spark, sf_dir, tmp_path, caplog):
+    workspace, store = parse_workspace(DECLARED), Store(spark, f"file://{tmp_path}/a store")
+    with pytest.raises(RuntimeError, match="run measure"):
+        Study.restored(workspace, store)
+    first = Study(workspace, bars_daily(spark, sf_dir), store)
+    want = {tuple(r) for r in first.measure().collect()}
+    study = Study.restored(workspace, store)
+    assert study.panel.count() == first.panel.count() and {tuple(r) for r in study.measure().collect()} == want
+    values = study.features()
+    assert values.count() == 2 * study.panel.count() and values.where("node_id = 'roc' and value is null").count() == 5
+    full = study.compare()
+    thin = study.compare(thin=True)
+    assert "p" in full.columns and "p" in thin.columns and {"p", "base_p"}.isdisjoint(store.read("02_shift", "shift").columns)
+    assert sorted(map(str, thin.select(sorted(full.columns)).collect())) == sorted(map(str, first.shifts().select(sorted(full.columns)).collect()))
+    caplog.set_level("INFO", logger="touchline")
+    study.validate(3)
+    study.select()
+    assert any("bins of" in r.message for r in caplog.records) and any("completed in" in r.message for r in caplog.records)
+    assert store.has("04_selection", "null_histogram") and {"sheets", "selected"} <= set(study.status().columns)
+    # one more bin: every stage sees that what is kept is of other settings
+    other = Study.restored(parse_workspace({**DECLARED, "meta": {**DECLARED["meta"], "n_bins": 4}}), store)
+    for stage in (other.compare, lambda: other.validate(3), other.select, other.features):
+        with pytest.raises(RuntimeError, match="stale"):
+            stage()
+    # a thin surface is only completed by the tables that it came from
+    store.write("01_surface", "baseline", spark.createDataFrame(store.read("01_surface", "baseline").where("horizon < 3").collect()))
+    with pytest.raises(RuntimeError, match="other tables"):
+        study.shifts()
+
+
+def test_observed_excursions_are_kept_while_they_fit(spark, sf_dir, tmp_path):
+    study = Study(parse_workspace(DECLARED), bars_daily(spark, sf_dir), Store(spark, str(tmp_path)))
+    rows = {(r.bar_idx, r.exc[0].up) for r in study.observed_excursions().collect()}
+    written = study.store.manifest("cache")
+    study.store.write("cache", "excursions", spark.createDataFrame([(1,)], "marker int"))
+    assert study.observed_excursions().columns == ["marker"]  # nothing is measured again
+    longer = Study(parse_workspace({**DECLARED, "meta": {**DECLARED["meta"], "horizons": {"min": 1, "max": 6}}}), study.panel, study.store)
+    again = longer.observed_excursions()
+    assert {(r.bar_idx, r.exc[0].up) for r in again.collect()} == rows and study.store.manifest("cache") != written
+
+
+def test_snapshots_are_named_by_content(spark, tmp_path):
+    store, df = Store(spark, str(tmp_path)), spark.createDataFrame(good(), FEED)
+    a, b, c = store.snapshot(df), store.snapshot(df.repartition(2)), store.snapshot(df.where("arrival > 0"))
+    assert a == b != c and spark.read.parquet(a).count() == 3 and len(store.files.names("snapshots")) == 2
+
+
+def test_two_level_fill_equals_one_window(spark):
+    import random
+
+    r = random.Random(3)
+    rows = [(DAY + timedelta(hours=r.randrange(40_000)), r.choice([None, None, float(k)]), r.choice([None, k])) for k in range(400)]
+    rows = list({t: (t, a, b) for t, a, b in rows}.values()) + [(None, 5.0, None)]
+    df = spark.createDataFrame(rows, "ts timestamp_ntz, x double, y long")
+    got = {row.ts: (row.x, row.y) for row in cleaning.ffill(df, ["x", "y"]).collect()}
+    last = (5.0, None)  # rows without a time come first
+    for t, a, b in sorted(rows, key=lambda v: (v[0] is not None, v[0] or DAY)):
+        last = tuple(new if new is not None else old for new, old in zip((a, b), last))
+        assert got[t] == last
+
+
+def test_labels_and_sheet_names():
+    from touchline.config import Node
+    from touchline.operators.surface import feature_label, sheet_names
+
+    assert feature_label(Node("a", "roc", {"period": 5})) == "roc(period=5)" and feature_label(Node("a", "constant")) == "constant"
+    names = sheet_names(["x" * 40, "x" * 40, "a/b:c", "", "X" * 40])
+    assert len({n.lower() for n in names}) == 5 and all(0 < len(n) <= 31 and not set(n) & set("[]:*?/\\") for n in names)
+
+
 def test_manifests_and_digests(spark, tmp_path):
     df = spark.range(10).selectExpr("id", "cast(id as string) as s")
     assert content_digest(df) == content_digest(df.repartition(3).orderBy("s")) != content_digest(df.where("id < 9"))
@@ -183,6 +253,8 @@ def test_command_line(spark, sf_dir, tmp_path, capsys):
     common = ["--workspace", f"{tmp_path}/w.json", "--bars", f"{tmp_path}/bars", "--store", f"{tmp_path}/out"]
     main(["measure", *common])
     assert "rows" in capsys.readouterr().out and (tmp_path / "out/01_surface/surface.parquet").exists()
+    main(["compare", "--thin", "--workspace", f"{tmp_path}/w.json", "--store", f"{tmp_path}/out"])  # from the kept history
+    assert "rows" in capsys.readouterr().out
     for bad in (["compare", "--fdr", *common], ["nope"], []):
         with pytest.raises(SystemExit):
             parser().parse_args(bad)

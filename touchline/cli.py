@@ -13,15 +13,15 @@ from .functions.features import default_registry
 from .operators.cleaning import clean_bars
 from .sources.bars import indexed
 from .sources.readers import read_ohlcv
-from .store import Store
+from .store import Store, history_id
 from .study import Study
 
 COMMANDS = {
-    "measure": "measure conditional touch probabilities",
-    "compare": "subtract the baseline",
-    "validate": "test all bins against simulated histories",
-    "select": "keep the bins that clear the threshold",
-    "status": "show progress, or one node's strongest bin",
+    "measure": "count, by bin of every node, how often barriers are touched",
+    "compare": "how far each bin lies from all bars together",
+    "validate": "hold bin scores against scores on simulated prices",
+    "select": "list the bins whose p-values are low enough",
+    "status": "what is done so far, by family or for one node",
 }
 
 
@@ -31,11 +31,13 @@ def parser() -> argparse.ArgumentParser:
     for name, text in COMMANDS.items():
         p = commands.add_parser(name, help=text)
         if name == "status":
-            p.add_argument("node", nargs="?", metavar="NODE")
+            p.add_argument("node", nargs="?", help="id of the node to show")
+        if name == "compare":
+            p.add_argument("--thin", action="store_true", help="keep shifts alone")
         if name == "validate":
             p.add_argument("--replicates", type=int, default=N_REPLICATES)
         p.add_argument("--workspace", required=True, help="JSON declaration with meta and families")
-        p.add_argument("--bars", required=True, help="file of ts, open, high, low, close, volume")
+        p.add_argument("--bars", help="file of ts, open, high, low, close, volume; without it, the history that measure kept")
         p.add_argument("--kind", choices=("parquet", "csv", "json"), default="parquet")
         p.add_argument("--store", required=True, help="folder of the results")
         p.add_argument("--plugin", help="Python file with register(registry)")
@@ -49,12 +51,18 @@ def main(argv: list[str] | None = None) -> None:
     workspace, registry = load_workspace(args.workspace), default_registry()
     if args.plugin:
         registry.load_plugin(args.plugin)
-    bars = clean_bars(read_ohlcv(spark, args.bars, args.kind), workspace.config.start_date)
-    study = Study(workspace, indexed(bars, args.bars), Store(spark, args.store), registry)
+    store = Store(spark, args.store)
+    if args.bars:
+        bars = clean_bars(read_ohlcv(spark, args.bars, args.kind), workspace.config.start_date)
+        study = Study(workspace, indexed(bars, history_id(bars)), store, registry)
+    else:
+        study = Study.restored(workspace, store, registry)
     if args.command == "status":
         study.status(args.node).show(500, truncate=False)
     elif args.command == "validate":
         study.validate(args.replicates).drop("null_scores").orderBy(F.col("monte_carlo_p_value")).show(50, truncate=False)
+    elif args.command == "compare":
+        print(f"{study.compare(args.thin).count()} rows")
     else:
         print(f"{getattr(study, args.command)().count()} rows")
 

@@ -21,24 +21,39 @@ def clean_bars(feed: DataFrame, start: str | None = None) -> DataFrame:
     return dedup_keep_last(rows).dropna("any", subset=list(OHLCV))
 
 
+def last_known(rows: DataFrame, columns: list[str], order: tuple[str, ...] = ("ts",), span: str = "month") -> DataFrame:
+    """``rows`` with each column's last value that is not NULL at or before the row; its first order column is a time.
+
+    Two levels: rows are only ordered within a ``span`` of time, and what a span inherits comes from
+    one row per earlier span.  So no task orders the whole series, and hot spans can be made shorter.
+    """
+    rows = rows.withColumn("__span", F.date_trunc(span, order[0]))
+    place = F.struct(*order)
+    ends = rows.groupBy("__span").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), place)).alias(c) for c in columns])
+    before = Window.orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)  # one row a span
+    given = ends.select(F.col("__span").alias("__own"), *[F.last(c, ignorenulls=True).over(before).alias(f"__{c}") for c in columns])
+    inside = Window.partitionBy("__span").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    own = rows.withColumns({c: F.last(c, ignorenulls=True).over(inside) for c in columns})
+    filled = own.join(given, F.col("__span").eqNullSafe(F.col("__own")))
+    return filled.withColumns({c: F.coalesce(c, f"__{c}") for c in columns}).drop("__span", "__own", *[f"__{c}" for c in columns])
+
+
 def ffill(series: DataFrame, columns: list[str]) -> DataFrame:
     """Carries the last known value forward along ts; nothing is filled backwards."""
-    w = Window.orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
-    return series.select("ts", *[F.last(c, ignorenulls=True).over(w).alias(c) for c in columns])
+    return last_known(series.select("ts", *columns), columns)
 
 
 def asof_join(panel: DataFrame, aux: DataFrame, columns: list[str]) -> DataFrame:
     """Backward as-of left join: each bar gets the last auxiliary row at or before it, nulls included.
 
-    The distinct bar times and the auxiliary rows are sorted once as tagged rows, whatever
+    The distinct bar times and the auxiliary rows are filled once as tagged rows, whatever
     the number of histories; bars then join by time.  A struct keeps "a row that says NULL"
     apart from "no row", so missing values are not filled from further back.
     """
     value = F.struct(*columns)
     right = aux.select("ts", F.lit(0).alias("tag"), value.alias("v"))
     left = panel.select("ts").distinct().select("ts", F.lit(1).alias("tag"), F.lit(None).cast(right.schema["v"].dataType).alias("v"))
-    w = Window.orderBy("ts", "tag").rowsBetween(Window.unboundedPreceding, 0)
-    known = left.unionByName(right).withColumn("v", F.last("v", ignorenulls=True).over(w)).where("tag = 1").drop("tag")
+    known = last_known(left.unionByName(right), ["v"], ("ts", "tag")).where("tag = 1").drop("tag")
     return panel.join(known, "ts", "left").select(*panel.columns, *[F.col("v")[c].alias(c) for c in columns])
 
 

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from ..config import N_REPLICATES, P_THRESHOLD, SEED, Grid, Node
 from ..functions.features import FeatureRegistry, long_features
+from ..shared import materialise
 from .null_model import log_components, null_fit, null_paths
 from .scoring import bin_scores, shift_surface
-from .surface import assign_bins, baseline_rates, conditional_rates, excursions, quantile_edges
+from .surface import assign_bins, baseline_rates, conditional_rates, excursions_wide, quantile_edges
 
 
 def all_features(observed: DataFrame, paths: DataFrame, nodes: list[Node], registry: FeatureRegistry) -> DataFrame:
@@ -39,13 +40,16 @@ def path_scores(observed: DataFrame, nodes: list[Node], registry: FeatureRegistr
     """(history_id, rep_id, node_id, bin, score, supported) of the observed path (0) and all simulated ones.
 
     Edges of core features are found anew on each path, those of fixed features are the observed ones.
+    Paths, feature values and excursions are each written once in the shared folder, since several steps read
+    them; excursions stay one row per bar until they are counted.
     """
-    paths = null_paths(observed, null_fit(log_components(observed)), n_replicates, seed)
     columns = ["history_id", "rep_id", "bar_idx", "ts", "open", "high", "low", "close", "volume"]
-    both = observed.select(*columns).unionByName(paths.select(*columns))
-    values = all_features(observed, paths, nodes, registry)
+    simulated = null_paths(observed, null_fit(log_components(observed)), n_replicates, seed)
+    paths = materialise(simulated.select(*columns), "paths")
+    both = observed.select(*columns).unionByName(paths)
+    values = materialise(all_features(observed, paths, nodes, registry), "features")
     bins = assign_bins(values, quantile_edges(values, n_bins))
-    exc = excursions(both, grid.horizons)
+    exc = materialise(excursions_wide(both, grid.horizons), "excursions")
     return bin_scores(shift_surface(conditional_rates(exc, bins, grid), baseline_rates(exc, grid)), grid)
 
 

@@ -73,8 +73,8 @@ def null_paths(panel: DataFrame, fit: DataFrame, n_replicates: int, seed: int =
     """
     observed = panel.where("rep_id = 0").select("history_id", "bar_idx", "ts", "volume")
     start = panel.where("rep_id = 0").groupBy("history_id").agg(F.min_by("close", "bar_idx").alias("c0"))
-    # a handful of numbers per history goes to every bar
-    base = observed.join(F.broadcast(fit.join(start, "history_id")), "history_id")
+    # a handful of numbers per history goes to every bar; how they travel is left to the optimiser
+    base = observed.join(fit.join(start, "history_id"), "history_id")
     rows = base.withColumn("rep_id", F.explode(F.sequence(F.lit(1), F.lit(n_replicates)))).repartition("history_id", "rep_id")
     rows = rows.withColumns({f"z{k}": F.round(z, PLACES) for k, z in enumerate(normals(seed))})
     for i in range(4):

@@ -16,6 +16,15 @@ def pivoted(surface: DataFrame, value: str, horizons: tuple[int, ...], places: i
     return surface.where("rep_id = 0").groupBy("node_id", "bin", "barrier_idx", "barrier").agg(*cells)
 
 
+def bin_sheet(surface: DataFrame, node_id: str, bin: int, horizons: tuple[int, ...], value: str = "p") -> DataFrame:
+    """One bin's sheet: a row with the observations at each horizon, then its barriers from the highest down."""
+    own = surface.where((F.col("rep_id") == 0) & (F.col("node_id") == node_id) & (F.col("bin") == bin))
+    counts = own.agg(*[F.max(F.when(F.col("horizon") == h, F.col("n_obs"))).cast("double").alias(f"h{h}") for h in horizons])
+    head = counts.select(F.lit("n").alias("row"), F.lit(None).cast("double").alias("barrier"), "*")
+    body = pivoted(own, value, horizons).select(F.lit(value).alias("row"), "barrier", *[f"h{h}" for h in horizons])
+    return head.unionByName(body).orderBy(F.col("row") != "n", F.desc("barrier"))
+
+
 def heatmap(shifts: DataFrame, selected: DataFrame, horizons: tuple[int, ...]) -> DataFrame:
     """Surfaces of the selected bins only, without the barrier at nought."""
     own = shifts.where(F.abs("barrier") > 1e-12).join(selected.select("node_id", "bin"), ["node_id", "bin"], "left_semi")
@@ -46,21 +55,43 @@ def null_histogram(tests: DataFrame, low: int = 24, high: int = 80) -> DataFrame
     return counts.select("node_id", "bin", "n_bars", "bar", F.round(left, 6).alias("left"), F.round(left + F.col("step"), 6).alias("right"), "n")
 
 
+def null_markers(tests: DataFrame) -> DataFrame:
+    """(node_id, bin, marker, at): where the observed score and the null's 95th percentile stand on a histogram."""
+    marks = F.array(F.struct(F.lit("observed").alias("marker"), F.col("bin_score").alias("at")), F.struct(F.lit("p95").alias("marker"), F.col("null_p95").alias("at")))
+    return tests.select("node_id", "bin", F.explode(marks).alias("x")).select("node_id", "bin", "x.marker", "x.at")
+
+
+def unplotted(selected: DataFrame, histogram: DataFrame) -> DataFrame:
+    """Selected bins that have no null histogram."""
+    return selected.select("node_id", "bin").join(histogram.select("node_id", "bin").distinct(), ["node_id", "bin"], "left_anti")
+
+
+def selection_summary(selected: DataFrame) -> DataFrame:
+    """One row: how many bins are selected, and of how many nodes."""
+    return selected.agg(F.count("*").alias("n_bins"), F.count_distinct("node_id").alias("n_nodes"))
+
+
 def selected_tests(tests: DataFrame, selected: DataFrame) -> DataFrame:
     """The tests of the selected bins."""
     return tests.join(selected.select("node_id", "bin"), ["node_id", "bin"], "left_semi")
 
 
-def status_by_family(nodes: list[Node], surface: DataFrame, tests: DataFrame) -> DataFrame:
-    """(family, nodes, measured, tested, cleared) with a TOTAL row, by one rollup."""
+def status_by_family(nodes: list[Node], surface: DataFrame, tests: DataFrame, sheets: DataFrame | None = None, selected: DataFrame | None = None) -> DataFrame:
+    """(family, nodes, measured, tested, cleared) with a TOTAL row, by one rollup; with sheets and selected where they are given."""
     spark = surface.sparkSession
     declared = spark.createDataFrame([(n.id, n.family) for n in nodes], "node_id string, family string")
     measured = surface.where("rep_id = 0").select("node_id").distinct().withColumn("m", F.lit(1))
     tested = tests.groupBy("node_id").agg(F.count("*").alias("t"), F.count_if("cleared").alias("c"))
     rows = declared.join(measured, "node_id", "left").join(tested, "node_id", "left")
     nought = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
-    out = rows.rollup("family").agg(F.count("*").alias("nodes"), nought("m").alias("measured"), nought("t").alias("tested"), nought("c").alias("cleared"))
-    return out.withColumn("family", F.coalesce("family", F.lit("TOTAL")))
+    counts = [F.count("*").alias("nodes"), nought("m").alias("measured"), nought("t").alias("tested"), nought("c").alias("cleared")]
+    if sheets is not None:
+        rows = rows.join(sheets.select("node_id").distinct().withColumn("s", F.lit(1)), "node_id", "left")
+        counts.append(nought("s").alias("sheets"))
+    if selected is not None:
+        rows = rows.join(selected.groupBy("node_id").agg(F.count("*").alias("x")), "node_id", "left")
+        counts.append(nought("x").alias("selected"))
+    return rows.rollup("family").agg(*counts).withColumn("family", F.coalesce("family", F.lit("TOTAL")))
 
 
 def node_status(shifts: DataFrame, best: DataFrame, node_id: str, min_dev: float, horizons: tuple[int, ...]) -> DataFrame:

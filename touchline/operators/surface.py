@@ -10,11 +10,11 @@ from ..functions.features import FeatureRegistry, long_features
 from ..functions.windows import BY, ahead
 
 
-def excursions(panel: DataFrame, horizons: tuple[int, ...]) -> DataFrame:
-    """(.., bar_idx, horizon, down, up): extremes of the next bars relative to the close.
+def excursions_wide(panel: DataFrame, horizons: tuple[int, ...]) -> DataFrame:
+    """(.., bar_idx, exc): one row per bar with an array of (horizon, down, up), the extremes of the next bars relative to the close.
 
-    NULL unless as many bars follow.  Frames of all horizons share one sort; horizons may come
-    in any order and repeat, each distinct one is measured once.
+    down and up are NULL unless as many bars follow.  Frames of all horizons share one sort; horizons may
+    come in any order and repeat, each distinct one is measured once.
     """
     own = sorted(set(horizons))
     if not own or own[0] < 1:
@@ -25,7 +25,18 @@ def excursions(panel: DataFrame, horizons: tuple[int, ...]) -> DataFrame:
         F.struct(F.lit(h).alias("horizon"), (F.try_divide(F.col(f"__d{h}"), F.col("close")) - 1).alias("down"), (F.try_divide(F.col(f"__u{h}"), F.col("close")) - 1).alias("up"))
         for h in own
     ]
-    return rows.select(*BY, "bar_idx", F.explode(F.array(*cells)).alias("x")).select(*BY, "bar_idx", "x.horizon", "x.down", "x.up")
+    return rows.select(*BY, "bar_idx", F.array(*cells).alias("exc"))
+
+
+def by_horizon(wide: DataFrame) -> DataFrame:
+    """One row per bar and horizon of what excursions_wide gives, with all other columns."""
+    rest = [c for c in wide.columns if c != "exc"]
+    return wide.select(*rest, F.explode("exc").alias("x")).select(*rest, "x.horizon", "x.down", "x.up")
+
+
+def excursions(panel: DataFrame, horizons: tuple[int, ...]) -> DataFrame:
+    """(.., bar_idx, horizon, down, up), see excursions_wide."""
+    return by_horizon(excursions_wide(panel, horizons))
 
 
 def quantile_edges(features: DataFrame, n_bins: int) -> DataFrame:
@@ -53,6 +64,25 @@ def assign_bins(features: DataFrame, edges: DataFrame) -> DataFrame:
     return joined.select(*BY, "node_id", "bar_idx", "value", bin_of(F.col("value"), F.col("edges")).alias("bin"))
 
 
+def feature_label(node: Node) -> str:
+    """How a node reads in a report: its feature and parameters."""
+    params = ", ".join(f"{k}={v:g}" if isinstance(v, float) else f"{k}={v}" for k, v in node.params.items())
+    return f"{node.feature}({params})" if params else node.feature
+
+
+def sheet_names(labels: list[str], longest: int = 31) -> list[str]:
+    """Distinct names of at most ``longest`` characters without those that spreadsheets refuse; a number tells equal ones apart."""
+    out: list[str] = []
+    for label in labels:
+        base = "".join(" " if c in "[]:*?/\\" else c for c in label).strip("' ") or "sheet"
+        name, k = base[:longest], 2
+        while name.lower() in {x.lower() for x in out}:
+            tail = f" ({k})"
+            name, k = base[: longest - len(tail)] + tail, k + 1
+        out.append(name)
+    return out
+
+
 def bin_labels(edges: list[float]) -> list[str]:
     """How the bins read: x < a, a < x < b, b < x; "all" for a single one."""
     if not edges:
@@ -80,27 +110,54 @@ def touch_counts(rows: DataFrame, keys: list[str], grid: Grid) -> DataFrame:
     return counted.select(*keys, "n_obs", F.explode(cells).alias("x")).select(*keys, "x.barrier_idx", "x.barrier", "n_obs", "x.n_hit", p.alias("p"))
 
 
+def _tall(exc: DataFrame) -> DataFrame:
+    return by_horizon(exc) if "exc" in exc.columns else exc
+
+
 def baseline_rates(exc: DataFrame, grid: Grid) -> DataFrame:
     """Unconditional touch probabilities; warm-up of features plays no part."""
-    return touch_counts(exc, [*BY, "horizon"], grid)
+    return touch_counts(_tall(exc), [*BY, "horizon"], grid)
 
 
 def conditional_rates(exc: DataFrame, bins: DataFrame, grid: Grid) -> DataFrame:
-    """Touch probabilities by node and bin; a cell without observations has no row."""
+    """Touch probabilities by node and bin; a cell without observations has no row.
+
+    With wide excursions the join meets one row per bar, and horizons only unfold within the
+    pipelined stage that counts.
+    """
     joined = bins.select(*BY, "node_id", "bar_idx", "bin").join(exc, [*BY, "bar_idx"])
-    return touch_counts(joined, [*BY, "node_id", "bin", "horizon"], grid)
+    return touch_counts(_tall(joined), [*BY, "node_id", "bin", "horizon"], grid)
 
 
-def fixed_edges(edges: DataFrame) -> DataFrame:
-    return edges.where("rep_id = 0").drop("rep_id")
+def fixed_edges(edges: DataFrame, paths: DataFrame) -> DataFrame:
+    """The observed path's edges (rep_id 0) for every path of ``paths``."""
+    observed = edges.where("rep_id = 0").drop("rep_id")
+    return observed.join(paths.select(*BY).distinct(), "history_id").select(*edges.columns)
 
 
-def measure(panel: DataFrame, nodes: list[Node], registry: FeatureRegistry, grid: Grid, n_bins: int, features: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(surface, baseline) of all nodes over all paths of a panel, in one plan."""
+def measure(
+    panel: DataFrame, nodes: list[Node], registry: FeatureRegistry, grid: Grid, n_bins: int, features: DataFrame | None = None,
+    edges: DataFrame | None = None, excursions: DataFrame | None = None, baseline: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """(surface, baseline) of all nodes over all paths of a panel, in one plan.
+
+    What is known already may be given: feature values, bin edges (for instance ``fixed_edges``), excursions
+    (wide or tall; their horizons must hold the grid's) and baseline.
+    """
     values = long_features(panel, nodes, registry) if features is None else features
-    exc = excursions(panel, grid.horizons)
-    bins = assign_bins(values, quantile_edges(values, n_bins))
-    return conditional_rates(exc, bins, grid), baseline_rates(exc, grid)
+    if excursions is not None:
+        found = {r.horizon for r in _tall(excursions).select("horizon").distinct().collect()}
+        if found and not set(grid.horizons) <= found:
+            raise ValueError(f"the excursions lack the horizons {sorted(set(grid.horizons) - found)}")
+        kept = F.array(*map(F.lit, sorted(set(grid.horizons))))
+        if "exc" in excursions.columns:
+            exc = excursions.withColumn("exc", F.filter("exc", lambda x: F.array_contains(kept, x["horizon"])))
+        else:
+            exc = excursions.where(F.col("horizon").isin(list(grid.horizons)))
+    else:
+        exc = excursions_wide(panel, grid.horizons)
+    bins = assign_bins(values, quantile_edges(values, n_bins) if edges is None else edges)
+    return conditional_rates(exc, bins, grid), baseline_rates(exc, grid) if baseline is None else baseline
 
 
 def node_coverage(features: DataFrame, min_obs: int) -> DataFrame:

@@ -9,8 +9,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from dataclasses import asdict
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,14 +41,61 @@ def config_digest(workspace: Workspace) -> str:
     return hashlib.sha256(json.dumps(plain, sort_keys=True, default=str).encode()).hexdigest()
 
 
+class Files:
+    """Small files and folders below one root of any file system that Hadoop knows (file, hdfs, s3a, ...)."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def _path(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def exists(self, name: str) -> bool:
+        path, files = self._path(name)
+        return files.exists(path)
+
+    def names(self, folder: str) -> list[str]:
+        path, files = self._path(folder)
+        return sorted(x.getPath().getName() for x in files.listStatus(path)) if files.exists(path) else []
+
+    def remove(self, name: str) -> None:
+        path, files = self._path(name)
+        files.delete(path, True)
+
+    def read(self, name: str) -> str | None:
+        path, files = self._path(name)
+        if not files.exists(path):
+            return None
+        stream = files.open(path)
+        try:
+            return bytes(stream.readAllBytes()).decode("utf-8", "replace")
+        finally:
+            stream.close()
+
+    def write(self, name: str, text: str) -> None:
+        """Writes under another name and then moves: readers see the old text or the new one."""
+        path, files = self._path(name)
+        other, _ = self._path(f"{name}.{uuid.uuid4().hex}")
+        stream = files.create(other, True)
+        try:
+            stream.write(bytearray(text.encode("utf-8")))
+        finally:
+            stream.close()
+        files.delete(path, False)
+        if not files.rename(other, path):
+            raise OSError(f"{name} could not be written")
+
+
 class Store:
-    """Tables and manifests below one folder."""
+    """Tables and manifests below one folder, local or remote."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, Path(root)
+        self.spark, self.root = spark, str(root).rstrip("/")
+        self.files = Files(spark, self.root)
 
     def path(self, stage: str, name: str) -> str:
-        return str(self.root / stage / f"{name}.parquet")
+        return f"{self.root}/{stage}/{name}.parquet"
 
     def write(self, stage: str, name: str, df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
         writer = df.write.mode("overwrite")
@@ -60,20 +107,18 @@ class Store:
         return df.withColumnsRenamed({a: b for a, b in RENAMED.items() if a in df.columns and b not in df.columns})
 
     def has(self, stage: str, name: str) -> bool:
-        return Path(self.path(stage, name)).exists()
+        return self.files.exists(f"{stage}/{name}.parquet")
 
     def manifest(self, stage: str) -> dict:
         """The stage's manifest; a missing or broken one is empty."""
         try:
-            out = json.loads((self.root / stage / "manifest.json").read_text(encoding="utf-8"))
-        except (OSError, ValueError):
+            out = json.loads(self.files.read(f"{stage}/manifest.json") or "")
+        except ValueError:
             return {}
         return out if isinstance(out, dict) else {}
 
     def write_manifest(self, stage: str, inputs: dict) -> None:
-        file = self.root / stage / "manifest.json"
-        file.parent.mkdir(parents=True, exist_ok=True)
-        file.write_text(json.dumps({"version": VERSION, "method": METHOD, "inputs": inputs}, indent=2), encoding="utf-8")
+        self.files.write(f"{stage}/manifest.json", json.dumps({"version": VERSION, "method": METHOD, "inputs": inputs}, indent=2))
 
     def is_current(self, stage: str, inputs: dict) -> bool:
         m = self.manifest(stage)
@@ -81,9 +126,14 @@ class Store:
 
     def drop_stale(self, stage: str, keep: set[str]) -> list[str]:
         """Removes tables of a stage that are not in ``keep``; returns their names."""
-        import shutil
-
-        gone = [p for p in sorted((self.root / stage).glob("*.parquet")) if p.stem not in keep]
-        for p in gone:
-            shutil.rmtree(p)
-        return [p.stem for p in gone]
+        gone = [n.removesuffix(".parquet") for n in self.files.names(stage) if n.endswith(".parquet") and n.removesuffix(".parquet") not in keep]
+        for name in gone:
+            self.files.remove(f"{stage}/{name}.parquet")
+        return gone
+
+    def snapshot(self, rows: DataFrame) -> str:
+        """Keeps a source table under a name that its content gives; the same content is kept once.  Returns the path."""
+        name = f"snapshots/{content_digest(rows)}.parquet"
+        if not self.files.exists(f"{name}/_SUCCESS"):
+            rows.write.mode("overwrite").parquet(f"{self.root}/{name}")
+        return f"{self.root}/{name}"

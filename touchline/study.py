@@ -1,23 +1,49 @@
-"""The four stages of a study over a panel: measure, compare, validate, select; and its status."""
+"""The four stages of a study over a panel: measure, compare, validate, select; and its status.
+
+The first stage keeps what the others need: the history (bars), the feature values and the observed
+excursions, so later stages run from the store alone.  Every stage names its inputs by
+content in a manifest: settings, nodes, history and the tables that it read.  A later stage
+refuses to run on tables of other settings or another history than the present ones.
+"""
 
 from __future__ import annotations
 
 import logging
+import math
 import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .config import N_REPLICATES, SEED, Node, Workspace
 from .functions.features import FeatureRegistry, default_registry, long_features
 from .operators.cleaning import check_panel
-from .operators.inference import monte_carlo, path_scores, selection
-from .operators.reporting import heatmap, node_status, pivoted, status_by_family
+from .operators.inference import missing_nodes, monte_carlo, path_scores, selection
+from .operators.reporting import heatmap, node_status, null_histogram, null_markers, pivoted, selected_tests, selection_summary, status_by_family, unplotted
 from .operators.scoring import economic_filter, shift_surface, strongest
-from .operators.surface import measure, node_coverage
-from .store import STAGES, Store, config_digest, content_digest
+from .operators.surface import excursions_wide, measure, node_coverage
+from .store import STAGES, VERSION, Store, config_digest, content_digest, history_id
 
 log = logging.getLogger("touchline")
+BARS = ("history_id", "rep_id", "bar_idx", "ts", "open", "high", "low", "close", "volume")
+KEYS = ("history_id", "rep_id", "node_id", "bin", "horizon", "barrier_idx")
+
+
+class Progress:
+    """Logs at about every fifth of ``total`` steps, and how long a stage took."""
+
+    def __init__(self, stage: str, total: int = 0, parts: int = 5):
+        self.stage, self.total, self.done, self.began = stage, total, 0, time.time()
+        self.marks = {math.ceil(total * k / parts) for k in range(1, parts + 1)} if total else set()
+
+    def step(self) -> None:
+        self.done += 1
+        if self.done in self.marks:
+            log.info("%s: %d of %d", self.stage, self.done, self.total)
+
+    def finish(self) -> None:
+        log.info("%s completed in %.1f s", self.stage, time.time() - self.began)
 
 
 class Study:
@@ -26,24 +52,38 @@ class Study:
     def __init__(self, workspace: Workspace, panel: DataFrame, store: Store, registry: FeatureRegistry | None = None):
         self.workspace, self.store = workspace, store
         self.registry = registry or default_registry()
-        aux = tuple(c for c in panel.columns if c not in ("history_id", "rep_id", "bar_idx", "ts", "open", "high", "low", "close", "volume"))
+        aux = tuple(c for c in panel.columns if c not in BARS)
         self.panel = check_panel(panel, aux)
 
+    @classmethod
+    def restored(cls, workspace: Workspace, store: Store, registry: FeatureRegistry | None = None) -> Study:
+        """A study over the history that its first stage kept; volume may be lacking there."""
+        if not store.has(STAGES[0], "history"):
+            raise RuntimeError("no history is kept: run measure")
+        panel = store.read(STAGES[0], "history")
+        out = object.__new__(cls)
+        out.workspace, out.store, out.registry = workspace, store, registry or default_registry()
+        out.panel = check_panel(panel, tuple(c for c in panel.columns if c not in BARS), require_volume=False)
+        return out
+
     def _timed(self, stage: str, work: Callable[[], DataFrame]) -> DataFrame:
-        began = time.time()
+        progress = Progress(stage)
         out = work()
-        log.info("%s completed in %.1f s", stage, time.time() - began)
+        progress.finish()
         return out
 
     def usable_nodes(self) -> tuple[list[Node], dict[str, str]]:
         """Nodes that can be measured, and why the others cannot: one bad node does not stop the rest."""
         good, bad = [], {}
-        for n in self.workspace.nodes():
+        declared = list(self.workspace.nodes())
+        progress = Progress("nodes", len(declared))
+        for n in declared:
             try:
                 long_features(self.panel, [n], self.registry)
                 good.append(n)
             except ValueError as e:
                 bad[n.id] = str(e)
+            progress.step()
         if good:
             seen = node_coverage(long_features(self.panel, good, self.registry), self.workspace.config.min_obs).collect()
             few = {r.node_id: f"only {r.n_valid} values" for r in seen if not r.enough}
@@ -56,42 +96,85 @@ class Study:
     def _inputs(self) -> dict:
         return {"config": config_digest(self.workspace), "panel": content_digest(self.panel)}
 
+    def _cache_key(self) -> dict:
+        return {"version": VERSION, "history": history_id(self.panel), "horizons": sorted(set(self.workspace.config.grid.horizons))}
+
+    def observed_excursions(self) -> DataFrame:
+        """The observed path's excursions: the kept ones if they are of this history, grid and version, else made and kept."""
+        key = self._cache_key()
+        if self.store.manifest("cache").get("inputs") != key or not self.store.has("cache", "excursions"):
+            self.store.write("cache", "excursions", excursions_wide(self.panel, tuple(key["horizons"])))
+            self.store.write_manifest("cache", key)
+        return self.store.read("cache", "excursions")
+
+    def features(self) -> DataFrame:
+        """The kept feature values, one row per node and bar of the history; NULL where a bar has none."""
+        self._need(STAGES[0], self._inputs(), "measure")
+        values = self.store.read(STAGES[0], "features")
+        names = sorted(r.node_id for r in values.select("node_id").distinct().collect())  # nodes are declared one by one
+        bars = self.panel.select("history_id", "rep_id", "bar_idx", "ts", F.explode(F.array(*map(F.lit, names))).alias("node_id"))
+        return bars.join(values, ["history_id", "rep_id", "bar_idx", "node_id"], "left")
+
     def measure(self) -> DataFrame:
         def work() -> DataFrame:
             nodes, _ = self.usable_nodes()
             if not nodes:
                 raise ValueError("no node can be measured")
             c = self.workspace.config
-            surface, baseline = measure(self.panel, nodes, self.registry, c.grid, c.n_bins)
+            kept = self.store.has(STAGES[0], "history") and content_digest(self.store.read(STAGES[0], "history")) == content_digest(self.panel)
+            if not kept:  # a restored study reads what it would write
+                self.store.write(STAGES[0], "history", self.panel)
+            values = self.store.write(STAGES[0], "features", long_features(self.panel, nodes, self.registry))
+            surface, baseline = measure(self.panel, nodes, self.registry, c.grid, c.n_bins, features=values, excursions=self.observed_excursions())
             self.store.write(STAGES[0], "baseline", baseline)
             out = self.store.write(STAGES[0], "surface", surface)
             self.store.write(STAGES[0], "sheet", pivoted(out, "p", c.grid.horizons))
+            self.store.write(STAGES[0], "sheet_counts", pivoted(out.withColumn("n", F.col("n_obs").cast("double")), "n", c.grid.horizons))
+            for node_id in (r.node_id for r in missing_nodes(list(self.workspace.nodes()), out).collect()):
+                log.warning("node %s is not measured", node_id)
             self.store.write_manifest(STAGES[0], self._inputs())
             return out
 
         return self._timed("measure", work)
 
-    def compare(self) -> DataFrame:
+    def compare(self, thin: bool = False) -> DataFrame:
+        """Shifts from the baseline; ``thin`` keeps the shift alone, and ``shifts`` joins the rest on again."""
+
         def work() -> DataFrame:
             self._need(STAGES[0], self._inputs(), "measure")
             c = self.workspace.config
             shifts = shift_surface(self.store.read(STAGES[0], "surface"), self.store.read(STAGES[0], "baseline"))
-            out = self.store.write(STAGES[1], "shift", shifts)
+            self.store.write(STAGES[1], "shift", shifts.select(*KEYS, "shift") if thin else shifts)
+            inputs = self._digests(STAGES[0], "surface", "baseline")
+            self.store.write_manifest(STAGES[1], inputs)
+            out = self.shifts(inputs)
             self.store.write(STAGES[1], "best", economic_filter(out, c.min_dev, c.min_bin_n, c.min_run))
             self.store.write(STAGES[1], "sheet", pivoted(out, "shift", c.grid.horizons))
-            self.store.write_manifest(STAGES[1], self._digests(STAGES[0], "surface", "baseline"))
             return out
 
         return self._timed("compare", work)
 
+    def shifts(self, sources: dict | None = None) -> DataFrame:
+        """The compared surface with all its columns; a thin one is joined with the tables that it came from, if they are still the same."""
+        kept = self.store.read(STAGES[1], "shift")
+        if "p" in kept.columns:
+            return kept
+        if self.store.manifest(STAGES[1]).get("inputs") != (sources or self._digests(STAGES[0], "surface", "baseline")):
+            raise RuntimeError("the thin surface is of other tables: run compare")
+        full = shift_surface(self.store.read(STAGES[0], "surface"), self.store.read(STAGES[0], "baseline"))
+        return full.drop("shift").join(kept, list(KEYS))
+
     def validate(self, n_replicates: int = N_REPLICATES, seed: int = SEED) -> DataFrame:
         def work() -> DataFrame:
+            self._need(STAGES[0], self._inputs(), "measure")
             self._need(STAGES[1], self._digests(STAGES[0], "surface", "baseline"), "compare")
             c = self.workspace.config
-            inputs = {**self._digests(STAGES[1], "shift"), "n_replicates": n_replicates, "seed": seed}
+            inputs = {**self._inputs(), **self._digests(STAGES[1], "shift"), "n_replicates": n_replicates, "seed": seed}
             nodes, _ = self.usable_nodes()
             scores = path_scores(self.panel, nodes, self.registry, c.grid, c.n_bins, n_replicates, seed)
             out = self.store.write(STAGES[2], "tests", monte_carlo(scores, n_replicates))
+            self.store.write(STAGES[2], "null_histogram", null_histogram(out))
+            self.store.write(STAGES[2], "null_markers", null_markers(out))
             if self._digests(STAGES[1], "shift")["shift"] != inputs["shift"]:
                 raise RuntimeError("the compared surface changed while it was validated")
             self.store.write_manifest(STAGES[2], inputs)
@@ -102,15 +185,22 @@ class Study:
     def select(self) -> DataFrame:
         def work() -> DataFrame:
             m = self.store.manifest(STAGES[2]).get("inputs", {})
-            if not m or m.get("shift") != self._digests(STAGES[1], "shift")["shift"]:
+            now = {**self._inputs(), **self._digests(STAGES[1], "shift")}
+            if not m or any(m.get(k) != v for k, v in now.items()):
                 raise RuntimeError("validation is missing or stale: run validate")
             before = self._digests(STAGES[2], "tests")
             out = self.store.write(STAGES[3], "selected", selection(self.store.read(STAGES[2], "tests")))
-            self.store.write(STAGES[3], "heatmap", heatmap(self.store.read(STAGES[1], "shift"), out, self.workspace.config.grid.horizons))
+            self.store.write(STAGES[3], "heatmap", heatmap(self.shifts(), out, self.workspace.config.grid.horizons))
+            histogram = self.store.read(STAGES[2], "null_histogram")
+            self.store.write(STAGES[3], "null_histogram", selected_tests(histogram, out))
+            for r in unplotted(out, histogram).collect():  # selected bins are few
+                log.warning("bin %s of node %s has no null histogram", r.bin, r.node_id)
             if self._digests(STAGES[2], "tests") != before:
                 raise RuntimeError("the tests changed while bins were selected")
-            self.store.drop_stale(STAGES[3], {"selected", "heatmap"})
+            self.store.drop_stale(STAGES[3], {"selected", "heatmap", "null_histogram"})
             self.store.write_manifest(STAGES[3], before)
+            total = selection_summary(out).first()
+            log.info("%d bins of %d nodes are selected", total.n_bins, total.n_nodes)
             return out
 
         return self._timed("select", work)
@@ -120,14 +210,12 @@ class Study:
         c = self.workspace.config
         if node_id is not None:
             self.workspace.node(node_id)
-            shifts = self.store.read(STAGES[1], "shift")
+            shifts = self.shifts()
             return node_status(shifts, strongest(economic_filter(shifts, c.min_dev, c.min_bin_n, c.min_run)), node_id, c.min_dev, c.grid.horizons)
         surface = self.store.read(STAGES[0], "surface")
-        if self.store.has(STAGES[2], "tests") and self.store.manifest(STAGES[2]):
-            tests = self.store.read(STAGES[2], "tests")
-        else:
-            tests = surface.sparkSession.createDataFrame([], "node_id string, cleared boolean")
-        return status_by_family(list(self.workspace.nodes()), surface, tests)
+        none = surface.sparkSession.createDataFrame([], "node_id string, cleared boolean")
+        at = lambda stage, name: self.store.read(stage, name) if self.store.has(stage, name) and self.store.manifest(stage) else none
+        return status_by_family(list(self.workspace.nodes()), surface, at(STAGES[2], "tests"), at(STAGES[1], "sheet"), at(STAGES[3], "selected"))
 
     def _digests(self, stage: str, *names: str) -> dict:
         return {n: content_digest(self.store.read(stage, n)) for n in names}
