@@ -14,6 +14,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -49,6 +50,17 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return out
 
 
+def slices(batch: pa.RecordBatch, column: str, rows: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of at most ``rows`` rows and, unless a row alone is longer, ``size`` bytes of a text column."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, at = np.cumsum(lengths), 0
+    while at < batch.num_rows:
+        fits = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right"))
+        end = min(batch.num_rows, at + rows, max(at + 1, fits))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 class PieceEncoder:
     """Encodes batches of texts; keeps the ids of the pieces that it has seen."""
 

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .encoding import slices
 from .store import read_columns
 
 UNIT = 64  # payload bytes are a positive multiple of it
@@ -31,6 +32,7 @@ WINDOW, HOP = 512, 256  # samples of a frame, and between frames
 FREQ_NEAR, TIME_NEAR = 6, 2  # a peak is the largest within so many bins and frames
 FAN_OUT, TIME_SPAN = 3, 63  # pairs with the next peaks, at most so many frames later
 LEVELS = 16.0  # steps of log2 magnitude; coarse, so that rounding does not move peaks
+SLICE_BYTES = 64 << 20  # of texts handled at once, unless one alone is longer
 BLOCK = 4096  # frames transformed at once: bounds memory for long payloads
 
 SCHEMA = (
@@ -109,8 +111,7 @@ def peak_pairs(levels: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
+        for part in slices(batch, "text", 256, SLICE_BYTES):
             rows = []
             for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").cast(pa.binary()).to_pylist()):
                 text = text or b""
@@ -147,5 +148,5 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("media").cast("long").alias("media_bytes"),
         F.sha2(F.col("media"), 256).alias("media_sha256"),
         F.concat_ws(":", F.size("codes"), F.sha2(arrays, 256)).alias("feature"),
-        F.size("codes").cast("long").alias("n_pairs"),
+        F.size("codes").cast("long").alias("n_pairs"), "codes", "times",
     )

@@ -27,14 +27,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .encoding import default_path, encoder
+from .encoding import default_path, encoder, slices
 from .store import read_columns
 
 WINDOW = 2048
 END_ID = 1
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-SLICE = 2048  # documents encoded at once: more repeats of a piece per look-up
+SLICE, SLICE_BYTES = 2048, 64 << 20  # documents, and bytes of their texts, encoded at once: more repeats of a piece per look-up
 
 
 class SumOfSquares:
@@ -137,8 +137,7 @@ def _packer(path: str, end_id: int, capacity: int):
         coder = encoder(path)
         packer = Packer(TaskContext.get().partitionId() << 33, capacity)
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
+            for part in slices(batch, "text", SLICE, SLICE_BYTES):
                 ids, lengths = coder.encode(part.column("text"))
                 ends, out = np.cumsum(lengths), []
                 for doc_id, end, n in zip(part.column("doc_id").to_pylist(), ends, lengths):

@@ -21,19 +21,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .encoding import default_path, encoder
+from .encoding import default_path, encoder, slices
 from .store import materialise, read_columns
 
 CHUNK = 4096  # lengths of one chunk of the histogram
-SLICE = 2048  # documents encoded at once: more repeats of a piece per look-up
+SLICE, SLICE_BYTES = 2048, 64 << 20  # documents, and bytes of their texts, encoded at once: more repeats of a piece per look-up
 
 
 def _lengths(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                yield pa.record_batch([pa.array(coder.encode(batch.column(0).slice(at, SLICE))[1])], names=["length"])
+            for part in slices(batch, "text", SLICE, SLICE_BYTES):
+                yield pa.record_batch([pa.array(coder.encode(part.column("text"))[1])], names=["length"])
 
     return run
 

@@ -16,9 +16,9 @@ Keys are (doc_id, occurrence): rows that repeat a doc_id count from 0 within a s
 shard << 40 in the rare case that one doc_id fills more than one shard.
 
 Every file is written under another name and then moved, so a task that is run again, or
-twice, leaves one whole file.  Shards are ranges of doc_id between approximate quantiles,
-one per input split; an id so frequent that it spans several quantiles is dealt over all
-the shards between them, which keeps the order and bounds a shard.
+twice, leaves one whole file.  Shards are ranges of doc_id, one per input split, between
+quantiles of a sample of BOUND_SAMPLE ids a shard; an id so frequent that it spans several quantiles is
+dealt over all the shards between them, which keeps the order and bounds a shard.
 
 Defined cases: a null text is empty and stores its end id alone; null doc_ids are keys
 too; an empty table gives no shards and no rows; further columns are left out.
@@ -38,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .encoding import default_path, encoder
+from .encoding import default_path, encoder, slices
 from .store import fresh_path, materialise, read_columns
 
 END_ID = 2
@@ -46,8 +46,9 @@ MAGIC_SHARD, MAGIC_INDEX = b"TLTOKEN1", b"TLINDEX1"
 HEADER = 16
 GAMMA = 2.0  # bits per key and level of the hash function
 KEYS_PER_INDEX = 1 << 17
+BOUND_SAMPLE = 60  # sampled ids a shard, for the bounds of shards
 NULL_ID = -(1 << 63)  # where null ids sort
-SLICE = 2048  # documents encoded at once: more repeats of a piece per look-up
+SLICE, SLICE_BYTES = 2048, 64 << 20  # documents, and bytes of their texts, encoded at once: more repeats of a piece per look-up
 
 
 # ---- files -------------------------------------------------------------------------------
@@ -219,8 +220,7 @@ def _encode(path: str, end_id: int, width: int, bounds: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, row = encoder(path), 0
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
+            for part in slices(batch, "text", SLICE, SLICE_BYTES):
                 ids, lengths = coder.encode(part.column("text"))
                 n, total = len(lengths), int(lengths.sum())
                 out = np.full(total + n, end_id, f"<u{width}")
@@ -297,6 +297,15 @@ def _write_index(folder: str):
     return run
 
 
+def shard_bounds(rows: DataFrame, n_docs: int, n_shards: int) -> list[int]:
+    """n_shards - 1 ids that cut the rows into about equal parts, from a sample of a few ids a shard."""
+    if n_shards < 2 or not n_docs:
+        return []
+    share = min(1.0, BOUND_SAMPLE * n_shards / n_docs)
+    ids = np.sort(np.array([r.sort_id for r in rows.select("sort_id").sample(share, seed=1).collect()], np.int64))
+    return ids[np.arange(1, n_shards) * len(ids) // n_shards].tolist() if len(ids) else []
+
+
 def write_token_store(docs: DataFrame, folder: str, path: str | None = None, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes the store and returns its keys: (doc_id, occurrence, part), one row per document."""
     spark = docs.sparkSession
@@ -304,13 +313,12 @@ def write_token_store(docs: DataFrame, folder: str, path: str | None = None, end
     width = 2 if max(encoder(path).vocab_size - 1, end_id) < 1 << 16 else 4
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("sort_id"))
     n_shards = max(1, rows.rdd.getNumPartitions())
-    cuts = [k / n_shards for k in range(1, n_shards)] or [0.5]
-    n_docs, bounds = rows.agg(F.count("*"), F.percentile_approx("sort_id", F.array(*map(F.lit, cuts)), 100 * n_shards)).first()
+    n_docs = rows.count()
+    bounds = shard_bounds(rows, n_docs, n_shards)
     n_index = -(-n_docs // KEYS_PER_INDEX)
     files, where = file_system(folder)
     files.create_dir(where, recursive=True)
     manifest = {"width": width, "end_id": end_id, "n_index": n_index, "n_shards": n_shards, "starts": []}
-    bounds = list(bounds or ()) if n_shards > 1 else []
     coded = rows.mapInArrow(_encode(path, end_id, width, bounds), "shard int, doc_id long, sort_id long, spread boolean, payload binary")
     dealt = coded.repartitionById(n_shards, F.col("shard")).sortWithinPartitions("sort_id", "doc_id", "payload")
     directory = dealt.mapInArrow(_write_shard(folder, width, max(1, n_index)), "shard int, doc_id long, occurrence long, offset long, length long, part int")
