@@ -25,23 +25,24 @@ def forest(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A task's edges as stars: an edge from every node to the smallest one that these edges join to it."""
+    """A task's edges as stars: an edge from every node to the smallest one that these edges join to it, and back."""
     got = [(b.column("u").to_numpy(), b.column("v").to_numpy()) for b in batches if b.num_rows]
     if got:
         u, v = (np.concatenate(x) for x in zip(*got))
         nodes, place = np.unique(np.concatenate([u, v]), return_inverse=True)
         root = nodes[forest(place[: len(u)], place[len(u) :], len(nodes))]
         child = np.flatnonzero(root != nodes)
-        yield pa.record_batch([pa.array(nodes[child]), pa.array(root[child])], names=["u", "v"])
+        a, b = nodes[child], root[child]
+        yield pa.record_batch([pa.array(np.concatenate([a, b])), pa.array(np.concatenate([b, a]))], names=["u", "v"])
 
 
 def component_labels(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of ``edges`` (columns u, v: long, no nulls); label: the smallest node reachable.
 
     Every task first turns its edges into stars.  Then each round gives every node the one of its
-    neighbours and itself that comes first in an order, and leads edges over to these.
-    In every second round the order is that of the numbers, which ends stars at once; in the
-    others it is drawn anew by hashing (randomised contraction): whatever the graph, a node then comes
+    neighbours and itself that comes first in an order, leads edges over to these, and makes stars again.
+    In two rounds of three the order is that of the numbers, which ends stars at once; in every
+    third it is drawn anew by hashing (randomised contraction): whatever the graph, a node then comes
     first among its neighbours with a chance of at most one half, so nodes fall by a
     constant factor, and the rounds grow with the logarithm of the largest component, not with
     its longest chain.  The loop ends when no edge is left.  The rounds' tables, which shrink
@@ -50,25 +51,23 @@ def component_labels(edges: DataFrame) -> DataFrame:
     pre-aggregated, and joins have one row per key on one side, so a hub does not meet in one task.
     """
 
-    def both_ways(df: DataFrame) -> DataFrame:
-        stars = df.mapInArrow(_stars, "u long, v long")
-        return materialise(stars.union(stars.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
+    def as_stars(df: DataFrame) -> DataFrame:
+        return materialise(df.mapInArrow(_stars, "u long, v long"), "edges")
 
-    edges = edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"))
-    live = both_ways(edges)
+    live = as_stars(edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")))
     low = live.select(F.col("u").alias("node"), F.col("u").alias("low")).distinct()  # the smallest node below each
     steps: list[DataFrame] = []
     while not live.isEmpty():
         k = len(steps)
-        order = lambda c: F.struct((F.xxhash64(c, F.lit(k)) if k % 2 else F.col(c)).alias("h"), F.col(c).alias("x"))  # noqa: B023, E731
+        order = lambda c: F.struct((F.xxhash64(c, F.lit(k)) if k % 3 == 2 else F.col(c)).alias("h"), F.col(c).alias("x"))  # noqa: B023, E731
         first = live.groupBy("u").agg(F.min(order("v")).alias("v"))
         to = first.select(F.col("u").alias("node"), F.least(order("u"), F.col("v"))["x"].alias("to"))
         step = materialise(to.join(low, "node").select("node", "to", "low"), "step")
         steps.append(step)
         low = step.groupBy(F.col("to").alias("node")).agg(F.min("low").alias("low"))
         a, b = (step.select(F.col("node").alias(end), F.col("to").alias(f"{end}2")) for end in ("u", "v"))
-        led = live.join(a, "u").join(b, "v").select(F.col("u2").alias("u"), F.col("v2").alias("v")).where("u < v").distinct()
-        live = both_ways(led)
+        led = live.join(a, "u").join(b, "v").select(F.col("u2").alias("u"), F.col("v2").alias("v")).where("u < v")
+        live = as_stars(led)
     label: DataFrame | None = None
     for step in reversed(steps):
         # a representative that went on to another round has its label there; others are a whole component's
