@@ -9,12 +9,13 @@ import wave
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
 from touchline.llm import encoding, media, mixing, pii
-from touchline.llm.queries import QUERIES
+from touchline.llm.queries import ORACLES, QUERIES
 
 from .test_models_and_joins import slow_components, slow_fingerprint
 from .test_text_ops import slow_counts
@@ -237,3 +238,18 @@ def test_op10(spark, tables):
         want[(d, len(x), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), feature)] += 1
         assert any(r["codes"] == codes.tolist() and r["times"] == times.tolist() for r in got if r["doc_id"] == d)
     assert counted(got, ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")) == want
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+@pytest.mark.parametrize("folder", ["/root/testdata/sf0.001", "/root/testdata/sf0.1"])
+def test_query_equals_sql(spark, name, folder):
+    """At the larger size the quality rules have labels enough for cutoffs of their own."""
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{folder}/{t}.parquet')")
+    want, got = con.execute(ORACLES[name]).fetchdf(), QUERIES[name](spark, folder).toPandas()
+    columns = sorted(got.columns)
+    assert columns == sorted(want.columns)
+    assert sorted(map(str, got[columns].itertuples(index=False, name=None))) == sorted(map(str, want[columns].itertuples(index=False, name=None)))
+    if name == "op6_quality_rules" and folder.endswith("0.1"):
+        assert 0 < got.kept.sum() < (~got.base_failed).sum()

@@ -48,6 +48,7 @@ SLOTS = 1000
 BLOCK_DOCS = 8
 TEMPERATURE = 0.8
 BUCKET_ROWS = 1024  # rows of a hash bucket, about
+HASH_DIGITS = 15  # hexadecimal digits of the md5 of an id that order it
 SPAN = 1024  # buckets that are summed together first
 MAX_SOURCES = 20_000  # sources scheduled one by one
 NONE, REST = "\x00none", "\x00rest"
@@ -151,9 +152,11 @@ def mix(docs: DataFrame, into: str, weights: dict[str, float] | None = None, sou
         rows = docs.select(F.struct("*").alias("row"), source.alias("source"))
     # ids order the rows; rows that have none are spread by their place
     rows = rows.withColumn("place", F.monotonically_increasing_id())
-    rows = rows.withColumn("hash", F.xxhash64(F.coalesce(F.col("row").getField(id_col).cast("string"), F.concat(F.lit("p"), F.col("place").cast("string")))))
+    name = F.coalesce(F.col("row").getField(id_col).cast("string"), F.concat(F.lit("p"), F.col("place").cast("string")))
+    rows = rows.withColumn("hash", F.conv(F.substring(F.md5(name.cast("binary")), 1, HASH_DIGITS), 16, 10).cast("long"))
+    # buckets are ranges of hashes, so ranks are by the hash alone, however many buckets there are
     n_buckets = max(1, sum(counts.values()) // BUCKET_ROWS)
-    rows = rows.withColumn("bucket", F.pmod("hash", F.lit(n_buckets)))
+    rows = rows.withColumn("bucket", F.expr(f"hash div {-(-(1 << 4 * HASH_DIGITS) // n_buckets)}"))
     sizes = materialise(rows.groupBy("source", "bucket").agg(F.count("*").alias("n")), "buckets")
     full = sizes.where(F.col("n") > 16 * BUCKET_ROWS)
     if full.isEmpty():

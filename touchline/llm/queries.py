@@ -10,6 +10,7 @@ from .html_extract import op1_html_text
 from .lm_scoring import op4_lm_scoring
 from .media import op10_media_columns
 from .mixing import op5_mixing
+from .oracles import ORACLES
 from .packing import op9_packing
 from .pii import op7_pii
 from .quality import op6_quality_rules
@@ -30,4 +31,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_media_columns": op10_media_columns,
 }
 
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
