@@ -72,6 +72,8 @@ class PieceEncoder:
         added = json.loads(self.tokenizer.to_str())["added_tokens"]
         # strings that the library takes out of a text before anything else: texts holding one are encoded whole
         self.added = "|".join(re.escape(t["content"]) for t in added)
+        one, *others = (self.tokenizer.encode(t, add_special_tokens=False).ids for t in ("ab c", "AB C", " Ab\nc"))
+        self.folds = all(x == one for x in others)  # neither case nor white space matters: more pieces are equal
         self.vocab_size = self.tokenizer.get_vocab_size()
         self._clear()
 
@@ -151,12 +153,19 @@ class PieceEncoder:
         parts: list[tuple[np.ndarray, np.ndarray]] = []  # (rows, piece numbers)
         rows = np.flatnonzero(is_safe)
         if len(rows):
+            given = pc.filter(texts, safe)
+            if self.folds:  # ASCII letters only: all others are left to the library
+                given = pc.ascii_lower(given)
             mark, none = pa.scalar("\n\n", pa.large_string()), pa.scalar("", pa.large_string())
             # each piece begins with its white space: "\n", or "\n\n" for none, or else a space
-            marked = pc.binary_join_element_wise(mark, pc.replace_substring(pc.filter(texts, safe), "\n", " \n"), none)
+            marked = pc.binary_join_element_wise(mark, pc.replace_substring(given, "\n", " \n"), none)
             split = pc.split_pattern(marked, " ")
             coded = split.flatten().dictionary_encode()
-            own = [p[2:] if p[:2] == "\n\n" else p if p[:1] == "\n" else " " + p for p in coded.dictionary.to_pylist()]
+            found = coded.dictionary.to_pylist()
+            if self.folds:
+                own = [p.lstrip("\n") for p in found]
+            else:
+                own = [p[2:] if p[:2] == "\n\n" else p if p[:1] == "\n" else " " + p for p in found]
             numbers = self._numbers(own)[coded.indices.to_numpy()]
             n_pieces[rows] = np.diff(split.offsets.to_numpy())
             parts.append((rows, numbers))
