@@ -92,6 +92,15 @@ def test_csv_feed_normalises_time_and_numbers(spark, tmp_path):
         readers.read_ohlcv(spark, "x", "xml")
 
 
+def test_two_level_columns_of_one_symbol(spark, tmp_path):
+    rows = spark.createDataFrame([(DAY, 1.0, 2.0, 0.5, 1.5, 7.0)], "ts timestamp_ntz, open double, high double, low double, close double, volume double")
+    two = rows.select("ts", *[F.struct(F.col(c).alias("BTC-USD")).alias(c) for c in rows.columns[1:]])
+    two.write.parquet(f"{tmp_path}/two")
+    assert readers.read_ohlcv(spark, f"{tmp_path}/two").drop("arrival").collect() == rows.collect()
+    with pytest.raises(ValueError, match="2 symbols"):
+        readers.flattened(two.withColumn("close", F.struct(F.lit(1.0).alias("a"), F.lit(2.0).alias("b"))))
+
+
 def test_pages(spark):
     pages = {"a": {"data": [{"time": "2024-01-01T00:00:00Z", "m": "1.5"}], "next_page_url": "b"}, "b": {"data": [{"time": "2024-01-02T00:00:00Z", "m": None}]}}
     rows = readers.read_pages(pages.get, "a")

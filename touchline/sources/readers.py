@@ -38,6 +38,17 @@ def feed(df: DataFrame, columns: dict[str, str], ts: str, bucket: str | None = N
     return df.select(stamp.alias("ts"), *picked, F.monotonically_increasing_id().alias("arrival"))
 
 
+def flattened(df: DataFrame) -> DataFrame:
+    """Two-level columns (field, then symbol) of one symbol as plain columns named by the field."""
+    out = []
+    for f in df.schema.fields:
+        inner = getattr(f.dataType, "fields", None)
+        if inner is not None and len(inner) != 1:
+            raise ValueError(f"column {f.name} holds {len(inner)} symbols")
+        out.append(F.col(f"`{f.name}`").getField(inner[0].name).alias(f.name) if inner else F.col(f"`{f.name}`"))
+    return df.select(*out)
+
+
 def read_ohlcv(spark: SparkSession, path: str, kind: str = "parquet", ts: str = "ts", columns: dict[str, str] | None = None, bucket: str | None = None) -> DataFrame:
     """A price feed from a file; ``columns`` maps its column names to open, high, low, close, volume."""
     columns = columns or {c: c for c in OHLCV}
@@ -49,7 +60,7 @@ def read_ohlcv(spark: SparkSession, path: str, kind: str = "parquet", ts: str =
         df = spark.read.json(path)
     else:
         raise ValueError(f"unknown kind of file: {kind}")
-    return feed(df, columns, ts, bucket)
+    return feed(flattened(df), columns, ts, bucket)
 
 
 def read_pages(fetch: Callable[[str], dict], url: str) -> list[dict]:
