@@ -46,7 +46,7 @@ MAGIC_SHARD, MAGIC_INDEX = b"TLTOKEN1", b"TLINDEX1"
 HEADER = 16
 GAMMA = 2.0  # bits per key and level of the hash function
 KEYS_PER_INDEX = 1 << 17
-BOUND_SAMPLE = 60  # sampled ids a shard, for the bounds of shards
+BOUND_SAMPLE = 30  # sampled ids a shard, for the bounds of shards
 NULL_ID = -(1 << 63)  # where null ids sort
 SLICE, SLICE_BYTES = 2048, 64 << 20  # documents, and bytes of their texts, encoded at once: more repeats of a piece per look-up
 
@@ -302,7 +302,7 @@ def shard_bounds(rows: DataFrame, n_docs: int, n_shards: int) -> list[int]:
     if n_shards < 2 or not n_docs:
         return []
     share = min(1.0, BOUND_SAMPLE * n_shards / n_docs)
-    ids = np.sort(np.array([r.sort_id for r in rows.select("sort_id").sample(share, seed=1).collect()], np.int64))
+    ids = np.sort(rows.select("sort_id").sample(share, seed=1).toArrow().column(0).to_numpy())
     return ids[np.arange(1, n_shards) * len(ids) // n_shards].tolist() if len(ids) else []
 
 
