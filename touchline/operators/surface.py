@@ -160,6 +160,12 @@ def measure(
     return conditional_rates(exc, bins, grid), baseline_rates(exc, grid) if baseline is None else baseline
 
 
+def on_history(bars: DataFrame, values: DataFrame, node_ids: list[str]) -> DataFrame:
+    """Kept feature values on every bar of a history, in (.., bar_idx, ts, node_id, value); NULL where a bar has none."""
+    every = bars.select(*BY, "bar_idx", "ts", F.explode(F.array(*map(F.lit, node_ids))).alias("node_id"))
+    return every.join(values.select(*BY, "node_id", "bar_idx", "value"), [*BY, "bar_idx", "node_id"], "left")
+
+
 def node_coverage(features: DataFrame, min_obs: int) -> DataFrame:
     """(node_id, n_valid, enough): observed values of each node."""
     seen = features.where("rep_id = 0").groupBy("node_id").agg(F.count("value").alias("n_valid"))

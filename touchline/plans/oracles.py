@@ -306,4 +306,12 @@ UNION ALL SELECT 'high_below_body', count_if(high < {_BODY}) FROM broken UNION A
     "shift_pivot": f"{MEASURED} SELECT node_id, bin, barrier_idx, barrier, {_pivot('shift')} FROM shifts GROUP BY ALL",
     "null_histogram": f"{_inference(0.05)}, {HISTOGRAM} SELECT node_id, bin, n_bars, bar, round(l0 + bar * step, 6) AS \"left\", round(l0 + bar * step + step, 6) AS \"right\", n FROM h4",
     "stream_bars": "SELECT date_trunc('hour', ts)::TIMESTAMP AS ts, arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, event_id)) AS close, CAST(count(*) AS DOUBLE) AS volume FROM events GROUP BY date_trunc('hour', ts)",
+    "sheet_counts": f"{MEASURED} SELECT node_id, bin, barrier_idx, barrier, {_pivot('CAST(n_obs AS DOUBLE)')} FROM rate GROUP BY ALL",
+    "bin_sheet": f"""{MEASURED}, own AS (SELECT * FROM rate WHERE node_id = 'roc_5' AND bin = 0)
+SELECT 'n' AS "row", CAST(NULL AS DOUBLE) AS barrier, {_pivot('CAST(n_obs AS DOUBLE)', 4)} FROM own UNION ALL SELECT 'p', barrier, {_pivot('p')} FROM own GROUP BY barrier""",
+    "null_markers": f"{_inference(0.05)} SELECT node_id, bin, 'observed' AS marker, round(bin_score, 6) AS \"at\" FROM tests UNION ALL SELECT node_id, bin, 'p95', round(p95, 6) FROM tests",
+    "selection_summary": f"{_inference(0.5)}, {SELECTED} SELECT count(*) AS n_bins, count(DISTINCT node_id) AS n_nodes FROM chosen",
+    "measure_given": MEASURED + " SELECT node_id, bin, horizon, barrier_idx, n_obs, n_hit, round(p, 9) AS p FROM rate",
+    "feature_restore": _with(DAILY, BASE % "bars", _values()) + " SELECT node_id, bar_idx, value FROM vals",
+    "missing_nodes": "SELECT 'late' AS node_id",
 }

@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from ..config import Grid, Node
 from ..functions.features import default_registry, long_features, wide_features
 from ..operators.cleaning import asof_join, clean_bars, dedup_keep_last, ffill, violations
-from ..operators.inference import monte_carlo, path_scores, selection, skipped_bins
+from ..operators.inference import missing_nodes, monte_carlo, path_scores, selection, skipped_bins
 from ..operators.null_model import log_components, null_fit, null_paths
-from ..operators.reporting import heatmap, node_status, null_histogram, pivoted, selected_tests, status_by_family
+from ..operators.reporting import bin_sheet, heatmap, node_status, null_histogram, null_markers, pivoted, selected_tests, selection_summary, status_by_family
 from ..operators.scoring import barrier_pairs, bin_scores, economic_filter, inspection_target, shift_surface, strongest
-from ..operators.surface import assign_bins, baseline_rates, conditional_rates, excursions, measure, node_coverage, quantile_edges
+from ..operators.surface import assign_bins, baseline_rates, excursions, excursions_wide, fixed_edges, measure, node_coverage, on_history, quantile_edges
 from ..sources.bars import auxiliary, bars_daily, bars_hourly
 from ..sources.readers import with_defaults
 from ..streaming.bars import stream_bars
@@ -224,6 +224,36 @@ def one_node(spark: SparkSession, sf_dir: str) -> DataFrame:
     return node_status(rows, best, "roc_5", MIN_DEV, GRID.horizons)
 
 
+def counts_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivoted(_measured(spark, sf_dir)[0].withColumn("n", F.col("n_obs").cast("double")), "n", GRID.horizons)
+
+
+def one_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bin_sheet(_measured(spark, sf_dir)[0], "roc_5", 0, GRID.horizons)
+
+
+def markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return null_markers(_tests(spark, sf_dir)).select("node_id", "bin", "marker", F.round("at", 6).alias("at"))
+
+
+def given_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The surface again, from feature values, fixed edges and excursions that are given."""
+    bars, values = bars_daily(spark, sf_dir), _features(spark, sf_dir)
+    edges_given = fixed_edges(quantile_edges(values, N_BINS), bars)
+    surface, _ = measure(bars, list(NODES), default_registry(), GRID, N_BINS, values, edges_given, excursions_wide(bars, (1, 2, *GRID.horizons)))
+    return surface.select("node_id", "bin", "horizon", "barrier_idx", "n_obs", "n_hit", F.round("p", 9).alias("p"))
+
+
+def restored_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known feature values alone, put back on all bars."""
+    known = _features(spark, sf_dir).where("value is not null")
+    return on_history(bars_daily(spark, sf_dir), known, [n.id for n in NODES]).select("node_id", "bar_idx", "value")
+
+
+def unmeasured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return missing_nodes([*NODES, Node("late", "ma_ratio", {"period": 10}, "own")], _measured(spark, sf_dir)[0])
+
+
 def streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly bars of raw event values, by the streaming expression over a table."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
@@ -283,4 +313,11 @@ QUERIES: dict[str, Query] = {
     "shift_pivot": lambda s, d: pivoted(_shifts(s, d), "shift", GRID.horizons),
     "null_histogram": histogram,
     "stream_bars": streamed,
+    "sheet_counts": counts_sheet,
+    "bin_sheet": one_sheet,
+    "null_markers": markers,
+    "selection_summary": lambda s, d: selection_summary(selection(_loose(s, d))),
+    "measure_given": given_parts,
+    "feature_restore": restored_values,
+    "missing_nodes": unmeasured,
 }

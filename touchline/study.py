@@ -22,7 +22,7 @@ from .operators.cleaning import check_panel
 from .operators.inference import missing_nodes, monte_carlo, path_scores, selection
 from .operators.reporting import heatmap, node_status, null_histogram, null_markers, pivoted, selected_tests, selection_summary, status_by_family, unplotted
 from .operators.scoring import economic_filter, shift_surface, strongest
-from .operators.surface import excursions_wide, measure, node_coverage
+from .operators.surface import excursions_wide, measure, node_coverage, on_history
 from .store import STAGES, VERSION, Store, config_digest, content_digest, history_id
 
 log = logging.getLogger("touchline")
@@ -112,8 +112,7 @@ class Study:
         self._need(STAGES[0], self._inputs(), "measure")
         values = self.store.read(STAGES[0], "features")
         names = sorted(r.node_id for r in values.select("node_id").distinct().collect())  # nodes are declared one by one
-        bars = self.panel.select("history_id", "rep_id", "bar_idx", "ts", F.explode(F.array(*map(F.lit, names))).alias("node_id"))
-        return bars.join(values, ["history_id", "rep_id", "bar_idx", "node_id"], "left")
+        return on_history(self.panel, values, names)
 
     def measure(self) -> DataFrame:
         def work() -> DataFrame:
