@@ -353,6 +353,18 @@ def test_packer_keeps_every_id_once(sizes):
     assert sum(f < 16 for f in fills) <= 1
 
 
+def test_the_rule_alone_is_near_the_ideal_and_closing_reaches_it():
+    r = np.random.default_rng(4)
+    sizes = np.minimum(np.exp(r.normal(5.6, 1.2, 6000)).astype(int) + 1, 30_000)
+    packer, ids = packing.Packer(0), np.zeros(30_000, np.uint32)
+    full = sum(len({p[4] for p in packer.add(k, ids[:n])}) for k, n in enumerate(sizes))
+    ideal = -(-int(sizes.sum()) // packing.WINDOW)
+    alone = packer.next  # windows that the rule opened
+    assert full <= alone and alone <= 1.03 * ideal
+    left = {p[4] for p in packer.close()}
+    assert full + len(left) == ideal
+
+
 def test_sum_of_squares_choice_is_the_best():
     r = np.random.default_rng(2)
     for _ in range(300):
