@@ -17,6 +17,7 @@ results; further columns are left out.  Pages of any length are read whole.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -61,11 +62,30 @@ AT_MEASURES = AT_WORDS + WORD_SLOTS
 WIDTH = AT_MEASURES + N_MEASURES
 
 
-@lru_cache(maxsize=1 << 17)
 def _word_hash(word: str) -> int:
     return zlib.crc32(word.encode("utf-8", "replace"))
 
 
+class _WordSlots(dict):
+    """Slots of words, kept as they are met: known ones have a hashed slot, all others share the last one."""
+
+    def __init__(self, known: frozenset[int]):
+        super().__init__()
+        self.known = known
+
+    def __missing__(self, word: str) -> int:
+        h = _word_hash(word)
+        slot = AT_WORDS + (h % (WORD_SLOTS - 1) if h in self.known else WORD_SLOTS - 1)
+        if len(self) < 1 << 17:  # bounds memory; rarer words are hashed again
+            self[word] = slot
+        return slot
+
+
+@lru_cache(maxsize=2)
+def _word_slots(known: frozenset[int]) -> _WordSlots:
+    return _WordSlots(known)
+
+
 def _slots_along(path: Path) -> frozenset[int]:
     """Slots of the tags and names from the root down; kept with the path, shared where nothing is new."""
     todo = []
@@ -82,8 +102,8 @@ def _slots_along(path: Path) -> frozenset[int]:
 
 
 @lru_cache(maxsize=1 << 14)
-def _path_slots(along: frozenset[int], tag: str) -> np.ndarray:
-    return np.array(sorted(along | {AT_LEAF + _TAG.get(tag, len(TAGS) - 1)}), np.int64)
+def _path_slots(along: frozenset[int], tag: str) -> tuple[int, ...]:
+    return tuple(sorted(along | {AT_LEAF + _TAG.get(tag, len(TAGS) - 1)}))
 
 
 class Rows(NamedTuple):
@@ -100,21 +120,25 @@ def vectors(blocks: list[Block], known: frozenset[int]) -> Rows:
     Words whose hash is not ``known`` from training share one slot, so that a rare word is not taken
     for another one that happens to have its slot.
     """
-    index, value, sizes, total = [], [], [], len(blocks)
-    measures = np.arange(AT_MEASURES, WIDTH)
+    index, value, sizes, total, slot = [], [], [], len(blocks), _word_slots(known).__getitem__
+    measures, log = range(AT_MEASURES, WIDTH), math.log1p
     for k, b in enumerate(blocks):
-        path = _path_slots(_slots_along(b.path), b.path.tag) if b.path is not None else measures[:0]
+        path = _path_slots(_slots_along(b.path), b.path.tag) if b.path is not None else ()
         words = b.text.split()
-        counts = Counter(h % (WORD_SLOTS - 1) if h in known else WORD_SLOTS - 1 for h in map(_word_hash, words))
-        count = np.fromiter(counts.values(), np.float32, len(counts))
+        counts = Counter(map(slot, words))
+        scale = 1 / math.sqrt(sum(c * c for c in counts.values()))
         n = len(b.text)
-        index += (path, np.fromiter(counts, np.int64, len(counts)) + AT_WORDS, measures)
-        value += (np.ones(len(path), np.float32), count / np.sqrt(count @ count), np.array((
-            np.log1p(len(words)) / 4, np.log1p(n) / 6, b.link_chars / n, b.text[-1] in ".!?:;", k / total,
-            np.log1p(k) / 4, np.log1p(total - k) / 4, min(b.path.depth if b.path else 0, 64) / 8,
-        ), np.float32))
+        index += path
+        index += counts
+        index += measures
+        value += [1.0] * len(path)
+        value += [c * scale for c in counts.values()]
+        value += (
+            log(len(words)) / 4, log(n) / 6, b.link_chars / n, b.text[-1] in ".!?:;", k / total, log(k) / 4, log(total - k) / 4,
+            min(b.path.depth if b.path else 0, 64) / 8,
+        )
         sizes.append(len(path) + len(counts) + N_MEASURES)
-    return Rows(np.concatenate(index), np.concatenate(value), np.array(sizes, np.int64))
+    return Rows(np.array(index, np.int64), np.array(value, np.float32), np.array(sizes, np.int64))
 
 
 def together(parts: list[Rows]) -> Rows:
