@@ -203,11 +203,11 @@ def test_edited_copies_are_one_group(spark):
     assert Counter(r.doc_id for r in corpus_pipeline.near_dedup(spark, twice, "").collect()) == Counter([*set(label), None])
 
 
-@pytest.mark.parametrize("part_bytes", [8 << 20, 2000])
-def test_large_keys_lose_no_link(spark, monkeypatch, part_bytes):
-    """Many sets that share keys, similar and not, in groups of one and of many parts: components as by all pairs."""
+@pytest.mark.parametrize("part_bytes, hot_share", [(8 << 20, 1000), (2000, 1000), (2000, 0)])
+def test_large_keys_lose_no_link(spark, monkeypatch, part_bytes, hot_share):
+    """Many sets that share keys, similar and not, in groups of one and of many parts, with hot keys and without: components as by all pairs."""
     monkeypatch.setattr(near_text, "PART_BYTES", part_bytes)
-    monkeypatch.setattr(near_text, "BANDS", 24)
+    monkeypatch.setattr(near_text, "HOT_SHARE", hot_share)
     r, texts = random.Random(8), []
     word = lambda: "".join(r.choice("abcdefgh") for _ in range(4))
     common = [word() for _ in range(150)]  # a passage that makes dissimilar texts share bands
