@@ -1,8 +1,8 @@
-"""DuckDB SQL for the operators that SQL can express: mixing (5) and quality rules (6)."""
+"""DuckDB SQL for the operators that SQL can express: mixing (5), quality rules (6), lexical search (12), license scans (13)."""
 
 from __future__ import annotations
 
-from . import mixing, quality
+from . import licenses, mixing, quality, search
 
 _WORD = r"[^\x20\x09-\x0D]"
 
@@ -97,4 +97,55 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM scored LEFT JOIN bad b USING (rid)
 """
 
-ORACLES = {"op5_mixing": OP5, "op6_quality_rules": OP6}
+
+
+def _texts(words) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+def _cut(column: str, pattern: str) -> str:
+    return f"regexp_extract_all(translate(coalesce({column}, ''), '{licenses.UPPER}', '{licenses.LOWER}'), '{pattern}')"
+
+
+_PHRASES = " UNION ALL ".join(
+    f"SELECT r, i - 1 AS i, '{label}' AS label FROM (SELECT r, ws, unnest(range(1, len(ws) + 1)) AS i FROM d) WHERE ws[i] = '{phrase.split()[0]}' AND list_slice(ws, i, i + {len(phrase.split()) - 1}) = {_texts(phrase.split())}"
+    for phrase, label in licenses.PHRASES.items()
+)
+_TEMPLATES = ", ".join(f"('{label}', {_texts(words)}, {licenses.need(len(words), licenses.THRESHOLD)})" for label, words in licenses.template_sets(licenses.TEMPLATES))
+
+#: Every block of every text is held against every template.
+OP13 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_cut("text", licenses.WORD)} AS ws FROM documents),
+phrases AS ({_PHRASES}),
+base AS (SELECT r, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM phrases GROUP BY r),
+starts AS (SELECT r, ws, unnest(range(0, greatest(0, ceil((len(ws) - {licenses.BLOCK}) / {licenses.STEP}))::BIGINT + 1)) * {licenses.STEP} AS s FROM d),
+blocks AS (SELECT r, list_distinct(list_slice(ws, s + 1, s + {licenses.BLOCK})) AS b FROM starts),
+templates(label, words, least) AS (VALUES {_TEMPLATES}),
+shared AS (SELECT r, label, len(list_filter(words, lambda w: list_contains(b, w))) AS n, len(words) AS size, least FROM blocks, templates),
+found AS (SELECT r, label, n / size AS containment FROM shared WHERE n >= least),
+best AS (SELECT r, max(containment) AS best FROM found GROUP BY r),
+named AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM found UNION ALL SELECT r, label FROM phrases) GROUP BY r)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+  CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(best, 0.0)::DOUBLE END AS score
+FROM d LEFT JOIN base USING (r) LEFT JOIN best USING (r) LEFT JOIN named USING (r)
+"""
+
+#: Every document that holds a term of an item is scored.
+OP12 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_cut("text", search.PATTERN)} AS ws FROM documents),
+t AS (SELECT r, w, count(*) AS tf FROM (SELECT r, unnest(ws) AS w FROM d) GROUP BY r, w),
+lengths AS (SELECT r, doc_id, len(ws) AS n FROM d WHERE len(ws) > 0),
+total AS (SELECT count(*) AS nn, sum(n)::BIGINT AS ll FROM lengths),
+q AS (SELECT DISTINCT item_id, unnest({_cut("text", search.PATTERN)}) AS w FROM benchmark),
+df AS (SELECT w, count(*) AS df FROM t WHERE w IN (SELECT w FROM q) GROUP BY w),
+weights AS (SELECT item_id, w, floor(1000 * ln((2.0 * nn + 2)::DOUBLE / (2.0 * df + 1)::DOUBLE))::BIGINT AS weight FROM q JOIN df USING (w), total),
+hits AS (
+  SELECT item_id, r, sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * nn) // ll))))::BIGINT AS score
+  FROM weights JOIN t USING (w) JOIN lengths USING (r), total GROUP BY item_id, r
+)
+SELECT item_id, rank, doc_id, score FROM (
+  SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank FROM hits JOIN lengths USING (r) WHERE score > 0
+) WHERE rank <= {search.K}
+"""
+
+ORACLES = {"op5_mixing": OP5, "op6_quality_rules": OP6, "op12_lexical_search": OP12, "op13_licenses": OP13}
