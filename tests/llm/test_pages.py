@@ -2,7 +2,7 @@
 
 import pytest
 
-from touchline.llm import html_extract
+from touchline.llm import html_blocks, html_extract
 
 TEXTS = (
     (
@@ -92,3 +92,31 @@ def test_blocks_of_pages_of_other_layouts(found):
 @pytest.mark.parametrize("layout, words", [("bare", "Copyright"), ("blog", "Share this:"), ("blog", "Twitter"), ("tables", "Copyright")])
 def test_no_closing_line_and_no_row_of_links(found, layout, words):
     assert not any(words in b for k in range(len(TEXTS)) for b in found[layout, k])
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ("<p>Text <script async src=https://cdn.example.com/>var tracking = 1;</script> more text</p>", ["Text more text"]),
+        ('<p>A</p><script src="a.js"/>let x = "<p>no</p>";</script><p>B</p>', ["A", "B"]),
+        ("<style media=all/>p {}</style ><p>A</p>", ["A"]),
+        ("<p>A</p><svg><text>no</text><svg><text>no</text></svg><text>neither</text></svg><p>B</p>", ["A", "B"]),
+        ("<p>A <svg class=i/> B <math/> C</p>", ["A B C"]),
+        ("<template><p>no</p><template>x</template><p>no</p></template><p>A</p>", ["A"]),
+        ("<p>A</p><svg><p>all in it", ["A"]),
+        ("<textarea>a <textarea> b</textarea><p>A</p>", ["A"]),
+    ],
+)
+def test_skipped_elements_end_where_the_standard_says(html, want):
+    assert [b.text for b in html_blocks.parse(html)] == want
+
+
+def test_a_slash_closes_no_block():
+    path = html_blocks.parse("<article data-url=/post/1/><p>A</p></article><p>B</p>")
+    assert [[p.tag for p in above(b.path)] for b in path] == [["p", "article"], ["p"]]
+
+
+def above(path):
+    while path is not None:
+        yield path
+        path = path.above

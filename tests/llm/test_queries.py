@@ -14,7 +14,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from touchline.llm import encoding, media, mixing, pii
+from touchline.llm import encoding, licenses, media, mixing, pii
 from touchline.llm.queries import ORACLES, QUERIES
 
 from .test_models_and_joins import slow_components, slow_fingerprint
@@ -42,6 +42,10 @@ def tables(request, spark, sf_dir, tmp_path_factory):
     spark.createDataFrame([(1, 1, 0), (3, 0, None), (None, 1, 1), (6, None, 0)] if rows else [], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     pages = [(1, "u", "<p>A</p>"), (1, "u", None), (None, None, ""), (2, "v", "<article><h1>T</h1><p>Some words of a text.</p></article><footer>© x</footer>")] if rows else []
     spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
+    bench = [(1, "One two"), (1, "One two"), (2, None), (3, ""), (None, "no ID here"), (4, "WORD x card 中文 文字"), (5, "word İ"), (6, "unknown"), (7, ",;")] if rows else []
+    spark.createDataFrame([(*r, 0, 0) for r in bench], "item_id long, text string, rank long, q long").write.parquet(f"{folder}/benchmark.parquet")
+    vectors = [(1, [1.0, 2.0]), (1, [1.0, 2.0]), (None, [0.5, -3.0]), (2, None), (3, [1.0, None]), (4, [float("nan"), 0.0]), (5, [float("inf"), 1.0]), (6, []), (7, [1.0, 2.0, 3.0]), (8, [4.0, 0.25])]
+    spark.createDataFrame([(*r, 0, 0) for r in vectors if rows], "vec_id long, embedding array<float>, x long, component long").write.parquet(f"{folder}/embeddings.parquet")
     return folder, rows
 
 
@@ -240,12 +244,77 @@ def test_op10(spark, tables):
     assert counted(got, ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")) == want
 
 
+def test_op11(spark, tables, sf_dir):
+    got = result(spark, "op11_whitening", tables)
+    rows = spark.read.parquet(f"{tables[0]}/embeddings.parquet").collect()
+    rows = [r for r in rows if r.embedding and all(v is not None and np.isfinite(v) for v in r.embedding) and (tables[0] == sf_dir or len(r.embedding) == 2)]
+    if not rows:
+        assert got == []
+        return
+    x = [[int(np.floor(64.0 * v)) + 1_000_000 for v in r.embedding] for r in rows]
+    n, d, sums = len(x), len(x[0]), [sum(c) for c in zip(*x)]
+    centred = np.array([[(n * v - s) / n for v, s in zip(r, sums)] for r in x])
+    e, v = np.linalg.eigh(centred.T @ centred / n)
+    e, v = e[::-1], v[:, ::-1]
+    kept = min(32, d)
+    deviation = Counter((r.vec_id, sum((n * v - s) ** 2 for v, s in zip(own, sums))) for r, own in zip(rows, x))
+    for k in range(kept):
+        own = sorted((r for r in got if r["component"] == k + 1), key=lambda r: (str(r["vec_id"]), r["deviation"]))
+        assert Counter((r["vec_id"], r["deviation"]) for r in own) == deviation and {r["n"] for r in own} == {n}
+        want = [p for _, _, p in sorted((str(r.vec_id), sum((n * v - s) ** 2 for v, s in zip(o, sums)), p) for r, o, p in zip(rows, x, centred @ v[:, k] / np.sqrt(e[k])))]
+        found = [r["whitened"] for r in own]
+        sign = np.sign(np.dot(found, want))
+        assert np.allclose(found, sign * np.array(want), atol=1e-6)
+        assert all(abs(r["explained"] - e[k] / e.sum()) < 1e-9 and r["identity_error"] < 1e-9 for r in own)
+    assert len(got) == kept * n
+
+
+def test_op12(spark, tables):
+    got = result(spark, "op12_lexical_search", tables)
+    terms = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    docs = [(d, Counter(terms(t))) for d, t, _, _ in tables[1]]
+    docs = [(d, c) for d, c in docs if c]
+    n_docs, n_terms = len(docs), sum(c.total() for _, c in docs)
+    df = Counter(w for _, c in docs for w in c)
+    want = []
+    for item, text in {(r.item_id, r.text) for r in spark.read.parquet(f"{tables[0]}/benchmark.parquet").collect()}:
+        scores = []
+        for d, c in docs:
+            m = 10 + 90 * c.total() * n_docs // n_terms
+            own = sum(int(np.floor(1000 * np.log((2 * n_docs + 2) / (2 * df[w] + 1)))) * (1_000_000_000 * c[w] // (1000 * c[w] + 8 * m)) for w in set(terms(text)) if c[w])
+            if own > 0:
+                scores.append((-own, d is None, d or 0))
+        want += [(item, k, None if none else d, -s) for k, (s, none, d) in enumerate(sorted(scores)[:10], 1)]
+    assert counted(got, ("item_id", "rank", "doc_id", "score")) == Counter(want)
+    assert want or not tables[1]
+
+
+def test_op13(spark, tables):
+    got = result(spark, "op13_licenses", tables)
+    want = Counter()
+    for d, t, _, _ in tables[1]:
+        words = re.findall(licenses.WORD, re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        places, base, best, own = [], set(), 0.0, set()
+        for phrase, label in licenses.PHRASES.items():
+            at = [i for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split()]
+            places += at
+            base |= {label} if at else set()
+        for start in range(0, max(1, len(words)), licenses.STEP):
+            block = set(words[start : start + licenses.BLOCK])
+            for label, text in licenses.TEMPLATES:
+                share = len(block & set(text.split())) / len(set(text.split()))
+                if share >= licenses.THRESHOLD:
+                    best, own = max(best, share), own | {label}
+        want[d, len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(base | own)), 1.0 if places else best] += 1
+    assert counted(got, ("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")) == want
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 @pytest.mark.parametrize("folder", ["/root/testdata/sf0.001", "/root/testdata/sf0.1"])
 def test_query_equals_sql(spark, name, folder):
     """At the larger size the quality rules have labels enough for cutoffs of their own."""
     con = duckdb.connect()
-    for t in ("documents", "labels"):
+    for t in ("documents", "labels", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{folder}/{t}.parquet')")
     want, got = con.execute(ORACLES[name]).fetchdf(), QUERIES[name](spark, folder).toPandas()
     columns = sorted(got.columns)

@@ -1,6 +1,7 @@
 """Maps over texts: media, quality counts, pseudonyms, encoding, token store, packing, counts, mixing."""
 
 import hashlib
+import itertools
 import re
 import time
 import zlib
@@ -160,10 +161,20 @@ def test_strata_lose_at_most_the_risk_to_all_rules_together():
 
 
 def test_a_stratum_without_cutoffs_does_not_get_those_of_others(spark):
-    rows = spark.createDataFrame([("a", 0.9), (quality.OTHER, 0.9), ("b", 0.9)], "lang string, score double")
-    named = quality._named(F.col("lang"), ("a", "b"))
-    got = rows.select("lang", quality._rejected(named, {(quality.OTHER, "symbols"): 0.5, ("b", "symbols"): 0.95}, {"symbols": F.col("score")}).alias("r"))
-    assert {r.lang: r.r for r in got.collect()} == {"a": False, quality.OTHER: True, "b": False}
+    rows = spark.createDataFrame([("a", 0.9), (None, 0.9), ("b", 0.9), ("c", 0.96)], "lang string, score double")
+    got = rows.select("lang", quality._rejected(quality._stratum("lang"), {("b", "symbols"): 0.95, ("c", "symbols"): 0.95}, {"symbols": F.col("score")}).alias("r"))
+    assert {r.lang: r.r for r in got.collect()} == {"a": False, None: False, "b": False, "c": True}
+
+
+def test_unlabelled_languages_beside_rare_ones(spark, monkeypatch):
+    """A rare labelled language, and one that no label has, keep all documents that the base rules keep; the tested one loses junk."""
+    monkeypatch.setattr(quality, "MAX_STRATA", 1)
+    text = lambda k, bad: " ".join(f"v{k}x{i}" + " |" * bad for i in range(60))
+    rows = [(k, text(k, k % 8 == 0), ("en", "fr", "xx")[0 if k < 900 else 1 if k < 1000 else 2]) for k in range(1100)]
+    docs = spark.createDataFrame([(*r, "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(k, int(k % 8 != 0)) for k in range(1000)], "doc_id long, quality int")
+    kept = {r.doc_id for r in quality.quality_filter(docs, labels).select("doc_id").collect()}
+    assert kept == {k for k in range(1100) if k >= 900 or k % 8}
 
 
 # ---- pseudonyms ----------------------------------------------------------------------------
@@ -227,6 +238,45 @@ def test_long_secrets(secret):
     assert pii.pseudonymise(f"x token={secret}", b"k")[0][8:] == new[6 : 6 + len(secret)]  # linked across texts
 
 
+@pytest.mark.parametrize("shape", ["{}password=%c1234567", "{}token=%c%c035251", "{}secret: 1%c3%c5678", "{}password=%c%c0352510000"])
+def test_secrets_of_one_shape_stay_distinct_and_come_back(shape):
+    """All one- and two-letter fillings: hexadecimal neighbours included."""
+    n = shape.count("%c")
+    texts = [shape.format("") % tuple(own) for own in itertools.product("abcdefghijklmnopqrstuvwxyz", repeat=n)]
+    new = [pii.pseudonymise(t, b"k") for t in texts]
+    assert all(len(found) == 1 for _, found in new) and len({t for t, _ in new}) == len(texts)
+    assert [pii.restore(t, b"k") for t, _ in new] == texts
+
+
+def test_all_short_secrets_are_permuted():
+    """Every value of a small format: the pseudonyms are the same set of values."""
+    values = [f"x{k:05d}" for k in range(0, 100_000, 7)] + [f"{k:06d}" for k in range(0, 1_000_000, 71)]
+    new = [pii.pseudonymise(f"pwd={v}", b"k")[0] for v in values]
+    assert len(set(new)) == len(values) and all(re.fullmatch(r"pwd=([a-z]\d{5}|\d{6})", t) for t in new) and [pii.restore(t, b"k")[4:] for t in new] == values
+
+
+def test_words_are_no_secrets():
+    text = "token = undefined; secret: meeting. api_key: REQUIRED token=Bearer"
+    assert pii.pseudonymise(text) == (text, [])
+    assert pii.pseudonymise("password: hunting")[1] and pii.pseudonymise("token=abcdefghijklmnopqrst")[1] and pii.pseudonymise("secret=abc123")[1]
+
+
+@pytest.mark.parametrize("forms", [
+    ["+442079460958", "+44 2079460958", "+44 20 7946 0958", "+44-20-7946-0958", "+44 (0)20 7946 0958", "+44 (0)2079460958"],
+    ["+12125550123", "+1 212 555 0123", "+1 (212) 555-0123", "(212) 555-0123", "212-555-0123"],
+    ["+493012345678", "+49 30 12345678", "+49 (0)30 1234 5678"], ["+353861234567", "+353 86 123 4567"],
+])
+def test_a_number_in_several_notations_has_one_pseudonym(forms):
+    found = []
+    for form in forms:
+        new, spans = pii.pseudonymise(f"call {form} now", b"k")
+        new = new[5:-4]
+        assert [(k, a, b) for k, a, b in spans] == [("phone", 5, 5 + len(form))] and re.sub(r"\d", "0", new) == re.sub(r"\d", "0", form)
+        assert ("(0)" in new) == ("(0)" in form) and pii.restore(f"call {new} now", b"k") == f"call {form} now"
+        found.append(re.sub(r"\D", "", new.replace("(0)", ""))[-(len(re.sub(r"\D", "", forms[-1].replace("(0)", ""))) - (0 if forms[-1][0] != "+" else 2)) :])
+    assert len({x[-8:] for x in found}) == 1 and forms[0][-8:] != found[0][-8:]
+
+
 def test_many_findings_take_linear_time():
     text = " ".join(f"u{k}@example.org" for k in range(40_000))
     start = time.monotonic()

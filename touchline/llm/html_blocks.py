@@ -17,6 +17,10 @@ BLOCK_TAGS = frozenset(
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is never text of the page (fixed values).
 SKIPPED_TAGS = frozenset("script style template noscript title iframe svg math object canvas textarea select audio video".split())
+#: Those whose content is raw text: the first end tag ends them.
+_RAW = frozenset("script style noscript title iframe textarea".split())
+#: Those that a "/" before ">" closes; anywhere else it means nothing.
+_FOREIGN = frozenset(("svg", "math"))
 #: What an opening tag closes first, if it is open and nothing of the second set is in between.
 _IMPLIED = {
     **dict.fromkeys(("li",), ({"li"}, {"ul", "ol", "menu"})),
@@ -71,6 +75,19 @@ def _names(attrs: str) -> tuple[str, ...]:
     return tuple(out)
 
 
+def _end_of(tag: str, page: str, at: int) -> int:
+    """Where a skipped element ends whose start tag ends at ``at``; equal elements within it are counted, but in raw text."""
+    depth = 1
+    for m in re.compile(rf"<(/?){tag}(?![\w-])[^>]*>?", re.I).finditer(page, at):
+        if m[1]:
+            depth -= 1
+        elif tag not in _RAW and not (tag in _FOREIGN and m[0].endswith("/>")):
+            depth += 1
+        if not depth:
+            return m.end()
+    return len(page)
+
+
 def parse(page: str) -> list[Block]:
     """All blocks with text, in page order.
 
@@ -129,9 +146,8 @@ def parse(page: str) -> list[Block]:
         if in_head and not m["end"] and tag not in _IN_HEAD:
             in_head = False
         if tag in SKIPPED_TAGS:
-            if not m["end"] and not m["attrs"].rstrip().endswith("/"):
-                close = re.compile(rf"</{tag}(?![\w-])[^>]*>?", re.I).search(page, at)
-                at = close.end() if close else n
+            if not m["end"] and not (tag in _FOREIGN and m["attrs"].endswith("/")):
+                at = _end_of(tag, page, at)
             continue
         if tag == "a":
             in_link = not m["end"]
@@ -162,8 +178,7 @@ def parse(page: str) -> list[Block]:
                     open_tags.subtract(p.tag for p in stack[k:])
                     del stack[k:]
                     break
-        if not m["attrs"].rstrip().endswith("/"):
-            open_tags[tag] += 1
-            stack.append(Path(stack[-1] if stack else None, tag, _names(m["attrs"])))
+        open_tags[tag] += 1
+        stack.append(Path(stack[-1] if stack else None, tag, _names(m["attrs"])))
     flush()
     return blocks

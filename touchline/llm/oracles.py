@@ -62,7 +62,7 @@ labelled AS (
   SELECT s.*, l.quality = 1 AS good, substr(md5(s.doc_id::VARCHAR), 1, 1) < '{quality.FIT_BELOW}' AS fit
   FROM scored s JOIN labels l ON s.doc_id = l.doc_id WHERE l.quality IS NOT NULL AND NOT base_failed
 ), strata AS (SELECT own FROM labelled GROUP BY own ORDER BY count(*) DESC, own LIMIT {quality.MAX_STRATA}),
-named AS (SELECT l.*, CASE WHEN s.own IS NULL THEN chr(0) || 'other' ELSE l.own END AS stratum FROM labelled l LEFT JOIN strata s ON l.own = s.own),
+named AS (SELECT l.*, l.own AS stratum FROM labelled l JOIN strata s ON l.own = s.own),
 rule_scores AS (SELECT rid, stratum, good, fit, rule, score FROM named UNPIVOT (score FOR rule IN ({", ".join(_RATES)}))),
 grid AS (SELECT unnest({_list(quality.GRID)})::DOUBLE AS cutoff, unnest(range(1, {len(quality.GRID) + 1})) AS i),
 ladder AS (SELECT unnest({_list(quality.LADDER)})::DOUBLE AS weight, unnest(range(1, {len(quality.LADDER) + 1})) AS step),
@@ -90,7 +90,7 @@ hits AS (
 ), cutoffs AS (SELECT stratum, rule, cutoff FROM sequence JOIN chosen USING (stratum, step)),
 bad AS (
   SELECT DISTINCT rid FROM (
-    SELECT s.*, CASE WHEN t.own IS NULL THEN chr(0) || 'other' ELSE s.own END AS stratum FROM scored s LEFT JOIN strata t ON s.own = t.own
+    SELECT s.*, s.own AS stratum FROM scored s JOIN strata t ON s.own = t.own
   ) UNPIVOT (score FOR rule IN ({", ".join(_RATES)})) JOIN cutoffs USING (stratum, rule) WHERE score >= cutoff
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND b.rid IS NULL AS kept

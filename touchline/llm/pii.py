@@ -6,12 +6,15 @@ permutation within its own format: digits, letters and hexadecimal characters ar
 enciphered by a balanced Feistel network with cycle walking over exactly the values of the
 format, so that punctuation, length, case classes and check digits are kept, equal values
 get equal pseudonyms in every document, different values different ones, and whoever
-holds the key can go back (``restore``).
+holds the key can go back (``restore``).  Where a format is told from the value itself (a hexadecimal
+secret, a date's notation), the permutation walks on until the pseudonym is told to be of it too.
 
-Kinds: email (local part), phone, card (Luhn kept, first digit kept), iban (country kept,
+Kinds: email (local part), phone (the digits after the country code; the same number in several notations has one
+pseudonym), card (Luhn kept, first digit kept), iban (country kept,
 check digits recomputed), ssn, ipv4 (each address permuted as 32 bits), date (any calendar
 day of 1900-2099, its notation kept), access keys ("AKIA" + 16), and secrets after password,
-token, secret and api key assignments.
+token, secret and api key assignments; a short word of one case after token, secret or key is
+not taken for one.
 
 The key is a parameter.  DEMO_KEY only serves tests and examples: use your own.
 
@@ -188,15 +191,25 @@ def _iban(m: re.Match, key: bytes, back: bool) -> str | None:
 
 
 def _phone(m: re.Match, key: bytes, back: bool) -> str | None:
-    """The country code stays; the national digits are permuted, a leading 0 or 1 aside."""
+    """The country code and a trunk "(0)" stay; the national digits are permuted as one number, however they are grouped.
+
+    A number of the North American form without a country code is one of country 1.
+    """
     value = m.group()
-    lead = re.match(r"(?:\+1|\+\d{1,3}[ .-]?)?", value).end()
-    national = value[lead:]
-    n = sum(c in DIGITS for c in national)
-    if not 7 <= n <= 13:
+    country, lead = "1", 0
+    if value[0] == "+":
+        digits = re.sub(r"\D", "", value)
+        country = digits[:1] if digits[0] in "17" else digits[:2] if digits[:2] in TWO_DIGIT_COUNTRIES else digits[:3]
+        lead = re.match(r"\D*".join(["", *country]), value).end()
+    trunk = [k for k in range(lead, len(value) - 2) if value[k : k + 3] == "(0)"]
+    digits = [c in DIGITS and k >= lead and k - 1 not in trunk for k, c in enumerate(value)]
+    if not 7 <= sum(digits) <= 13:
         return None
-    country = re.sub(r"\D", "", value[:lead])
-    return value[:lead] + permute(national, _classes(national), key, f"phone{country}|{n}", back)
+    alphabets = [DIGITS if own else None for own in digits]
+    while True:  # a group of one digit does not become a trunk
+        value = permute(value, alphabets, key, f"phone{country}|{sum(digits)}", back)
+        if [k for k in range(lead, len(value) - 2) if value[k : k + 3] == "(0)"] == trunk:
+            return value
 
 
 def _ssn(m: re.Match, key: bytes, back: bool) -> str | None:
@@ -254,16 +267,31 @@ def _access_key(m: re.Match, key: bytes, back: bool) -> str:
     return m.group()[:4] + permute(m.group()[4:], [BASE32] * 16, key, "access_key", back)
 
 
-def _secret(m: re.Match, key: bytes, back: bool) -> str:
+def _is_hex(value: str) -> bool:
+    return len(value) >= 8 and all(c in HEX for c in value) and any(c in DIGITS for c in value) and any(c in LOWER for c in value)
+
+
+def _secret(m: re.Match, key: bytes, back: bool) -> str | None:
+    """Hexadecimal secrets stay so; all others keep the class of each character, and do not become hexadecimal."""
     value = m["value"]
-    if all(c in HEX for c in value) and len(value) >= 8:
-        new = permute(value, [HEX] * len(value), key, f"hex{len(value)}", back)
-    else:
-        new = permute(value, _classes(value), key, f"secret{len(value)}", back)
+    plain = value.rstrip("/+_.~-=")
+    if not m["word"].lower().startswith("pa") and m["word"].lower() != "pwd" and len(plain) < 16 and plain.isalpha() and (plain.islower() or plain.isupper() or plain.istitle()):
+        return None
+    hexadecimal = _is_hex(value)
+    alphabets = [HEX] * len(value) if hexadecimal else _classes(value)
+    tweak, new = f"{'hex' if hexadecimal else 'secret'}{len(value)}", value
+    while True:  # cycle walking over the values of the format
+        new = permute(new, alphabets, key, tweak, back)
+        if _is_hex(new) == hexadecimal:
+            break
     return m.group()[: m.start("value") - m.start()] + new + m.group()[m.end("value") - m.start() :]
 
 
 _EDGE = r"(?<![A-Za-z0-9])"
+#: Country calling codes of two digits; 1 and 7 have one, all others three (fixed values).
+TWO_DIGIT_COUNTRIES = frozenset(
+    "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
+)
 #: Countries by the length of their IBANs, so that a word after one is not taken for its end.
 IBAN_LENGTHS = {
     15: "NO", 16: "BE", 18: "DK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ",
@@ -271,7 +299,7 @@ IBAN_LENGTHS = {
 }
 _IBANS = "|".join(rf"(?:{c.replace(' ', '|')})\d{{2}}(?: ?[A-Z0-9]{{4}}){{{n // 4 - 1}}}" + (rf" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") + "(?![A-Za-z0-9])" for n, c in IBAN_LENGTHS.items())
 RULES: dict[str, tuple[re.Pattern, Callable[[re.Match, bytes, bool], str | None]]] = {
-    "secret": (re.compile(r"(?i:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?(?P<value>[A-Za-z0-9/+_.~-]{6,}={0,2})"), _secret),
+    "secret": (re.compile(r"(?P<word>(?i:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key))[\"']?\s{0,3}[=:]\s{0,3}[\"']?(?P<value>[A-Za-z0-9/+_.~-]{6,}={0,2})"), _secret),
     "access_key": (re.compile(_EDGE + r"A[KS]IA[A-Z0-9]{16}(?![A-Za-z0-9])"), _access_key),
     "email": (re.compile(r"(?P<local>(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64})@(?P<domain>[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}[A-Za-z0-9])?(?:\.[A-Za-z0-9-]{1,63})*\.[A-Za-z]{2,24})"), _email),
     "iban": (re.compile(_EDGE + rf"(?:{_IBANS}|" + r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))"), _iban),
