@@ -16,9 +16,10 @@ template's distinct words (containment).  The join finds every such pair:
 5. what remains is confirmed by the whole intersection, and kept where its first word is the one
    that the pair met by: each pair comes once, without a distinct.
 
-The templates are a parameter of bounded size (MAX_WORDS); they alone are broadcast.  A first pass counts their
-words over all texts, a second one makes, joins and confirms blocks within the stage that reads
-the texts; one shuffle of a short row a document follows, after sums on the map side.
+The templates are a parameter of bounded size (MAX_WORDS); they alone are broadcast.  Texts are read once: their
+words become numbers where they are template words, and are kept as such.  The order is counted over all of
+them, and then blocks are made, joined and confirmed in one stage, of those texts that hold a word of some
+prefix; one shuffle of a short row a document follows, after sums on the map side.
 
 Phrases are counted beside it: places where their words stand consecutively.
 
@@ -30,11 +31,12 @@ are left out, so names cannot clash.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import read_columns
+from .store import materialise, read_columns
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -87,63 +89,97 @@ def template_sets(templates: tuple[tuple[str, str], ...]) -> list[tuple[str, lis
     return out
 
 
-def words_of(text: Column) -> Column:
-    """The words of a text, A-Z lower-cased."""
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(WORD), F.lit(0))
+def lowered(text: Column) -> Column:
+    """The text with A-Z lower-cased; other letters may be too, but none becomes ASCII: of those that would, one is put aside."""
+    return F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit("\u212a"), F.lit("\u0138")))
 
 
-def word_order(words: DataFrame, vocabulary: list[str]) -> list[str]:
-    """The vocabulary from the rarest word up, by documents of ``words`` that hold each; ties by the word itself."""
-    own = F.array_distinct(F.filter("words", lambda w: w.isin(vocabulary)))
-    found = words.select(F.explode(own).alias("word")).groupBy("word").count().collect()  # as many rows as the vocabulary has at most
-    counts = {r["word"]: r["count"] for r in found}
-    return sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
+def vocabulary_of(sets: list[tuple[str, list[str]]]) -> list[str]:
+    """The templates' words; short ones, which are frequent, are found first."""
+    return sorted({w for _, own in sets for w in own}, key=lambda w: (len(w), w))
+
+
+def numbered(docs: DataFrame, vocabulary: list[str], phrases: dict[str, str], id_col: str, text_col: str) -> DataFrame:
+    """Written once: (row, doc_id, n_words, numbers, seen, __p0, __p1, ...).
+
+    row tells repeated rows apart; numbers: each word's place in the vocabulary or NULL; seen: the distinct ones;
+    __p0, ...: where each phrase stands.
+    """
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), lowered(F.col(text_col)).alias("low"))
+    rows = rows.select("row", "doc_id", "low", F.regexp_extract_all("low", F.lit(WORD), F.lit(0)).alias("words"))
+    every = F.array(*map(F.lit, vocabulary))
+    number = lambda w: F.when(w.isin(vocabulary), F.array_position(every, w).cast("int") - 1)
+    cut = [p.split() for p in phrases]
+    longest = [max(p, key=len) for p in cut]  # a text without these has no phrase
+    any_of = reduce(Column.__or__, [F.contains("low", F.lit(w)) for w in longest])
+    firsts = F.filter(F.transform("words", lambda w, i: F.when(w.isin(sorted({p[0] for p in cut})), i)), lambda i: i.isNotNull())
+    rows = rows.select("row", "doc_id", "words", F.transform("words", number).alias("numbers"), F.when(any_of, firsts).otherwise(F.array().cast("array<int>")).alias("starts"))
+
+    def stands(phrase: list[str]) -> Column:
+        return F.filter("starts", lambda i: F.slice("words", i + 1, F.lit(len(phrase))) == F.array(*map(F.lit, phrase)))
+
+    seen = F.array_distinct(_present(F.col("numbers")))
+    rows = rows.select("row", "doc_id", F.size("words").alias("n_words"), "numbers", seen.alias("seen"), *[stands(p).alias(f"__p{k}") for k, p in enumerate(cut)])
+    return materialise(rows, "words")
+
+
+def word_ranks(rows: DataFrame, vocabulary: list[str]) -> list[int]:
+    """Each vocabulary word's rank from the rarest up, by the rows that hold it; ties by place."""
+    found = rows.select(F.explode("seen").alias("k")).groupBy("k").count().collect()  # as many as the vocabulary has at most
+    counts = {r["k"]: r["count"] for r in found}
+    order = sorted(range(len(vocabulary)), key=lambda k: (counts.get(k, 0), k))
+    return [rank for _, rank in sorted((k, rank) for rank, k in enumerate(order))]
 
 
 def _present(column: Column) -> Column:
     return F.filter(column, lambda x: x.isNotNull())
 
 
-def block_sets(order: list[str], least: int) -> tuple[Column, Column]:
-    """The numbers of an array ``words`` (NULL for other words); and, of ``numbers`` and ``size``, (block, own) of each window.
+def block_sets(ranks: list[int], least: int, prefixes: list[int]) -> Column:
+    """(block, own) of each window of ``numbers``: own is the sorted set of its words' ranks, windows with fewer than ``least`` are left out.
 
-    own is the sorted set of a window's numbers; windows with fewer than ``least`` are left out.
+    So are all windows of a text that holds no word of a template's prefix.
     """
-    falling = F.array(*[F.lit(w) for w in reversed(order)])  # frequent words are found at once
-    number = lambda w: F.when(w.isin(order), F.lit(len(order)) - F.array_position(falling, w).cast("int"))
-    last = F.greatest(F.lit(0), F.ceil((F.col("size") - BLOCK) / STEP).cast("int"))
-    window = lambda b: F.sort_array(F.array_distinct(_present(F.slice("numbers", b * STEP + 1, F.lit(BLOCK)))))
-    sets = F.transform(F.sequence(F.lit(0), last), lambda b: F.struct(b.alias("block"), window(b).alias("own")))
-    return F.transform("words", number), F.filter(sets, lambda x: F.size(x["own"]) >= least)
+    of = F.array(*map(F.lit, ranks))
+    last = F.greatest(F.lit(0), F.ceil((F.col("n_words") - BLOCK) / STEP).cast("int"))
+    numbers = lambda b: F.array_distinct(_present(F.slice("numbers", b * STEP + 1, F.lit(BLOCK))))
+    window = lambda b: F.sort_array(F.transform(numbers(b), lambda k: F.get(of, k)))
+    sets = F.filter(F.transform(F.sequence(F.lit(0), last), lambda b: F.struct(b.alias("block"), window(b).alias("own"))), lambda x: F.size(x["own"]) >= least)
+    rare = F.array(*[F.lit(k) for k, rank in enumerate(ranks) if rank in prefixes])
+    return F.when((F.size("seen") >= least) & F.arrays_overlap(F.col("seen"), rare), sets)
+
+
+def _prefixes(sets: list[tuple[str, list[str]]], vocabulary: list[str], ranks: list[int], threshold: float) -> list[tuple[int, int, int, list[int], int]]:
+    """(rank, place, template, ranks of the template, need) for each word of each template's prefix."""
+    of, out = dict(zip(vocabulary, ranks)), []
+    for t, (_, words) in enumerate(sets):
+        tokens, least = sorted(of[w] for w in words), need(len(words), threshold)
+        out += [(rank, i, t, tokens, least) for i, rank in enumerate(tokens[: len(tokens) - least + 1])]
+    return out
 
 
-def _index(spark: SparkSession, sets: list[tuple[str, list[str]]], order: list[str], threshold: float) -> DataFrame:
-    """(__rank, __i, template, __tokens, __need): a row for each word of each template's prefix."""
-    at, rows = {w: k for k, w in enumerate(order)}, []
-    for t, (_, words) in enumerate(sets):
-        tokens, least = sorted(at[w] for w in words), need(len(words), threshold)
-        for i, number in enumerate(tokens[: len(tokens) - least + 1]):
-            rows.append(F.struct(F.lit(number).alias("__rank"), F.lit(i).alias("__i"), F.lit(t).alias("template"), F.array(*map(F.lit, tokens)).alias("__tokens"), F.lit(least).alias("__need")))
+def _index(spark: SparkSession, prefixes: list[tuple[int, int, int, list[int], int]]) -> DataFrame:
+    """The prefixes as a table: __rank, __i, template, __tokens, __need."""
+    rows = [
+        F.struct(F.lit(rank).alias("__rank"), F.lit(i).alias("__i"), F.lit(t).alias("template"), F.array(*map(F.lit, tokens)).alias("__tokens"), F.lit(least).alias("__need"))
+        for rank, i, t, tokens, least in prefixes
+    ]
     return spark.range(0, 1, 1, 1).select(F.inline(F.array(*rows)))
 
 
-def block_matches(words: DataFrame, keep: list[str], templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """All pairs of blocks and templates: the columns ``keep``, block, template (its place in ``templates``), overlap, containment.
+def block_matches(rows: DataFrame, keep: list[str], sets: list[tuple[str, list[str]]], vocabulary: list[str], threshold: float) -> DataFrame:
+    """All pairs of blocks of ``numbered`` rows and templates: the columns ``keep``, block, template (its place), overlap, containment.
 
-    ``words`` has a row for each text, with its words in the column ``words``.  A text without any pair has
-    a row (or several) whose template is NULL.
+    A text without any pair has a row (or several) whose template is NULL.
     """
-    if not 0 < threshold <= 1:
-        raise ValueError("the threshold is a share above 0")
-    sets = template_sets(templates)
-    order = word_order(words.select("words"), sorted({w for _, own in sets for w in own}))
+    ranks = word_ranks(rows, vocabulary)
     least = min(need(len(own), threshold) for _, own in sets)
-    numbers, blocks = block_sets(order, least)
-    rows = words.select(*keep, numbers.alias("numbers"), F.size("words").alias("size")).select(*keep, F.explode_outer(blocks).alias("__b"))
-    rows = rows.select(*keep, F.col("__b.block").alias("block"), F.col("__b.own").alias("__own"))
+    prefixes = _prefixes(sets, vocabulary, ranks, threshold)
+    blocks = block_sets(ranks, least, sorted({p[0] for p in prefixes}))
+    rows = rows.select(*keep, F.explode_outer(blocks).alias("__b")).select(*keep, F.col("__b.block").alias("block"), F.col("__b.own").alias("__own"))
     prefix = F.slice("__own", F.lit(1), F.size("__own") - (least - 1))
     rows = rows.select(*keep, "block", "__own", F.posexplode_outer(prefix).alias("__j", "__number"))
-    index = F.broadcast(_index(words.sparkSession, sets, order, threshold))  # its size is checked in template_sets
+    index = F.broadcast(_index(rows.sparkSession, prefixes))  # its size is checked in template_sets
     common = F.array_intersect(F.col("__own"), F.col("__tokens"))
     reach = F.least(F.size("__tokens") - F.col("__i"), F.size("__own") - F.col("__j"))  # the overlap is no more than this
     meets = (F.col("__number") == F.col("__rank")) & (F.size("__own") >= F.col("__need")) & (reach >= F.col("__need"))
@@ -152,31 +188,21 @@ def block_matches(words: DataFrame, keep: list[str], templates: tuple[tuple[str,
     return found.select(*keep, "block", "template", overlap.alias("overlap"), (overlap / F.size("__tokens")).alias("containment"))
 
 
-def _worded(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(row, doc_id, words): row tells repeated rows apart."""
-    return docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), words_of(F.col(text_col)).alias("words"))
+def _checked(templates: tuple[tuple[str, str], ...], threshold: float) -> tuple[list[tuple[str, list[str]]], list[str]]:
+    if not 0 < threshold <= 1:
+        raise ValueError("the threshold is a share above 0")
+    sets = template_sets(templates)
+    return sets, vocabulary_of(sets)
 
 
 def license_blocks(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, block, first_word, label, template, overlap, containment) of every block that holds a template; words count from 0."""
-    pairs = block_matches(_worded(docs, id_col, text_col), ["doc_id"], templates, threshold).where("template is not null")
+    sets, vocabulary = _checked(templates, threshold)
+    pairs = block_matches(numbered(docs, vocabulary, PHRASES, id_col, text_col), ["doc_id"], sets, vocabulary, threshold).where("template is not null")
     label = F.get(F.array(*[F.lit(name) for name, _ in templates]), F.col("template"))
     return pairs.select("doc_id", "block", (F.col("block") * STEP).alias("first_word"), label.alias("label"), "template", "overlap", "containment")
 
 
-def _phrase_places(words: DataFrame, phrases: dict[str, str]) -> DataFrame:
-    """``words`` with the columns __p0, __p1, ...: where each phrase's words stand consecutively."""
-    cut = [p.split() for p in phrases]
-    firsts = sorted({p[0] for p in cut})
-    rows = words.withColumn("__starts", _present(F.transform("words", lambda w, i: F.when(w.isin(firsts), i))))
-
-    def stands(phrase: list[str]) -> Column:
-        whole = lambda i: F.slice("words", i + 1, F.lit(len(phrase))) == F.array(*map(F.lit, phrase))
-        return F.filter("__starts", whole)
-
-    return rows.withColumns({f"__p{k}": stands(p) for k, p in enumerate(cut)}).drop("__starts")
-
-
 def license_labels(
     docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -184,16 +210,18 @@ def license_labels(
 
     score is 1 where a phrase stands, else the greatest containment of a template that was found, else 0.
     """
-    rows = _phrase_places(_worded(docs, id_col, text_col), phrases)
+    sets, vocabulary = _checked(templates, threshold)
+    rows = numbered(docs, vocabulary, phrases, id_col, text_col)
     places = F.flatten(F.array(*[F.col(f"__p{k}") for k in range(len(phrases))]))
     base = F.array(*[F.when(F.size(f"__p{k}") > 0, F.lit(label)) for k, label in enumerate(phrases.values())])
-    keys = ["row", "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels"]
-    rows = rows.select("row", "doc_id", "words", F.size("words").cast("long").alias("n_words"), places.alias("places"), F.array_sort(F.array_distinct(_present(base))).alias("base"))
+    rows = rows.withColumn("places", places)
     rows = rows.select(
-        "row", "doc_id", "words", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min("places").cast("long").alias("first_word"),
-        F.array_max("places").cast("long").alias("last_word"), F.array_join("base", ",").alias("base_labels"),
+        "row", "doc_id", "numbers", "seen", F.col("n_words").cast("long").alias("n_words"), F.size("places").cast("long").alias("n_base"),
+        F.array_min("places").cast("long").alias("first_word"), F.array_max("places").cast("long").alias("last_word"),
+        F.array_join(F.array_sort(F.array_distinct(_present(base))), ",").alias("base_labels"),
     )
-    pairs = block_matches(rows, keys, templates, threshold)
+    keys = ["row", "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels"]
+    pairs = block_matches(rows, keys, sets, vocabulary, threshold)
     names = sorted({label for label, _ in templates})
     of_template = [names.index(label) for label, _ in templates]
     bits = lambda k: F.array(*[F.lit(1 << n - k if k <= n < k + BITS else 0).cast("long") for n in of_template])
