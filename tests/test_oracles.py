@@ -8,7 +8,7 @@ from touchline.plans.oracles import ORACLES
 from touchline.plans.queries import QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events".split()
-HEAVY = {"selection", "selected_heatmap", "selected_null", "status_by_family", "selection_summary", "null_markers"}  # as monte_carlo_pvalue, once more
+HEAVY = {"selection", "selected_heatmap", "selected_null", "status_by_family", "selection_summary", "null_markers", "catalogue_surface"}  # as monte_carlo_pvalue, once more
 
 
 def rows(df):

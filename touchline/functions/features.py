@@ -2,10 +2,10 @@
 
 A feature names the primitives that it needs; all primitives of all requested features are
 computed in one projection per stage over one window specification, so a panel is sorted
-once and equal primitives are computed once.  Stages: bar-wise columns (previous close,
-gains, losses, log returns, true range), windows over them, then windows over features.
-Exponential averages are recursions, which no frame expresses: they are one grouped Arrow
-pass over the paths that need them.
+once and equal primitives are computed once.  Stages: fills and exponential averages of the panel's
+columns (only where asked for); bar-wise columns (previous close, gains, losses, log returns, true
+range), windows over them, then windows over features, all within chunks and their halos; exponential
+averages of features.
 
 Features that can be computed on any price path are ``core``; the others (calendar,
 external series) are fixed and are carried to simulated paths from the observed one.
@@ -17,6 +17,7 @@ import importlib.util
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import date
+from functools import reduce
 from pathlib import Path
 
 import numpy as np
@@ -24,12 +25,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import Node
-from .windows import BY, lag, so_far, trailing
+from ..config import OHLCV, Node
+from ..shared import materialise
+from .windows import BY, chunked, exponential, filled, lag, own_rows, trailing
 
 #: Event days of the supply cycle: four past ones and the expected next one (fixed values).
 CYCLE_DATES = (date(2012, 11, 28), date(2016, 7, 9), date(2020, 5, 11), date(2024, 4, 20))
 NEXT_CYCLE_DATE = date(2028, 4, 20)
+BATCH = 24  # window columns that one projection computes
 ROUND = 9  # places of stored values: ties and edges do not hang on the order of summation
 
 
@@ -41,25 +44,33 @@ class Stage:
         self.second: dict[str, Column] = {}
         self.emas: dict[str, tuple[str, int]] = {}
         self.second_base: dict[str, Column] = {}
+        self.fills: dict[str, str] = {}
+        self.reach = [0, 0]  # bars before the present one that the windows of either stage look at
+
+    def _reaches(self, stage: int, n: int) -> None:
+        self.reach[stage] = max(self.reach[stage], n)
 
     def roll(self, kind: str, column: str, n: int) -> Column:
         name = f"__{kind}_{column.strip('_')}_{n}"
         self.rolling.setdefault(name, trailing(kind, column, n))
+        self._reaches(0, n)
         return F.col(name)
 
     def lag(self, column: str, n: int) -> Column:
         name = f"__lag_{column}_{n}"
         self.rolling.setdefault(name, lag(column, n))
+        self._reaches(0, n)
         return F.col(name)
 
     def ffill(self, column: str, kind: str = "level", n: int = 0) -> Column:
         """A forward-filled external column, or a window over it."""
         base = f"__ff_{column}"
-        self.second_base.setdefault(base, F.last(column, ignorenulls=True).over(so_far()))
+        self.fills[column] = base
         if kind == "level":
             return F.col(base)
         name = f"{base}_{kind}_{n}"
         self.second.setdefault(name, trailing("mean", base, n) if kind == "mean" else lag(base, n))
+        self._reaches(1, n)
         return F.col(name)
 
     def ema(self, column: str, span: int) -> Column:
@@ -72,6 +83,7 @@ class Stage:
         self.second_base.setdefault(name, base)
         own = f"{name}_{kind}_{n}"
         self.second.setdefault(own, trailing(kind, name, n))
+        self._reaches(1, n)
         return F.col(own)
 
 
@@ -80,14 +92,17 @@ def ratio(a: Column, b: Column) -> Column:
 
 
 Builder = Callable[[Stage, dict], Column]
+ArrayFunction = Callable[[dict[str, np.ndarray], dict], np.ndarray]
 
 
 @dataclass(frozen=True)
 class FeatureDef:
     name: str
-    build: Builder
+    build: Builder | ArrayFunction
     core: bool
     needs: tuple[str, ...] = ()
+    version: str = ""  # kept results of other versions are not used
+    whole: bool = False  # build(table, params) takes a path's columns as arrays and returns one
 
 
 def _int(p: dict, name: str, default: int | None = None) -> int:
@@ -255,9 +270,18 @@ class FeatureRegistry:
         self.defs: dict[str, FeatureDef] = {n: FeatureDef(n, b, True) for n, b in _CORE.items()}
         self.defs |= {n: FeatureDef(n, b, False, needs) for n, (b, needs) in _FIXED.items()}
 
-    def register(self, name: str, build: Builder, core: bool = False, needs: tuple[str, ...] = ()) -> None:
+    def register(self, name: str, build: Builder, core: bool = False, needs: tuple[str, ...] = (), version: str = "") -> None:
         """``build(stage, params)`` returns a column; only core features are recomputed on simulated paths."""
-        self.defs[name] = FeatureDef(name, build, core, needs)
+        self.defs[name] = FeatureDef(name, build, core, needs, version)
+
+    def register_array(self, name: str, function: ArrayFunction, core: bool = False, needs: tuple[str, ...] = (), version: str = "") -> None:
+        """``function(columns, params)`` takes a whole path's columns by name as numpy arrays in the order of bars, and returns one value a bar.
+
+        Columns are ts, open, high, low, close, volume and ``needs``; prices are doubles, NaN where missing.  What it returns
+        is NULL where it is not finite.  It runs in Python on executors, one path a task at a time; where a
+        column expression can say the same, ``register`` is faster.
+        """
+        self.defs[name] = FeatureDef(name, function, core, needs, version, whole=True)
 
     def get(self, name: str) -> FeatureDef:
         if name not in self.defs:
@@ -287,55 +311,102 @@ def default_registry() -> FeatureRegistry:
     return out
 
 
-def _with_emas(df: DataFrame, emas: dict[str, tuple[str, int]]) -> DataFrame:
-    """Exponential averages: y0 = x0, then y = a x + (1 - a) y, a = 2 / (span + 1), by path."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + "".join(f", `{n}` double" for n in emas)
+def _arrays(panel: DataFrame, nodes: dict[str, Node], registry: FeatureRegistry) -> DataFrame:
+    """(history_id, rep_id, bar_idx, one column per node, named by its key): array functions, grouped by path; only the columns that they need are sent."""
+    needed = sorted({c for n in nodes.values() for c in registry.get(n.feature).needs} | ({"ts", *OHLCV} & set(panel.columns)))
+    calls = [(column, n.id, registry.get(n.feature).build, dict(n.params), registry.get(n.feature).needs) for column, n in nodes.items()]
+    kinds = dict(panel.dtypes)
 
-    def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by("bar_idx")
-        for name, (column, span) in emas.items():
-            a, out, y = 2.0 / (span + 1.0), np.empty(group.num_rows), None
-            for k, x in enumerate(group[column].to_pylist()):
-                y = x if y is None or x is None else a * x + (1.0 - a) * y
-                out[k] = np.nan if y is None or x is None else y
-            group = group.append_column(name, pa.array(out, pa.float64(), from_pandas=True))
-        return group
+    def run(path: pa.Table) -> pa.Table:
+        path = path.sort_by("bar_idx")
+        columns = {c: path.column(c).to_numpy() for c in needed}
+        columns = {c: v if kinds[c] in ("timestamp_ntz", "timestamp", "date", "string") else v.astype(float) for c, v in columns.items()}
+        out = path.select([*BY, "bar_idx"])
+        for column, node_id, function, params, own in calls:
+            given = {c: columns[c].copy() for c in columns if c in own or c in ("ts", *OHLCV)}
+            got = np.asarray(function(given, dict(params)), float)
+            if got.shape != (path.num_rows,):
+                raise ValueError(f"node {node_id}: {got.shape} values for {path.num_rows} bars")
+            out = out.append_column(column, pa.array(got, mask=~np.isfinite(got)))
+        return out
 
-    return df.groupBy(*BY).applyInArrow(run, schema)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in (*BY, "bar_idx")) + "".join(f", {column} double" for column in nodes)
+    return panel.select(*BY, "bar_idx", *needed).groupBy(*BY).applyInArrow(run, schema)
 
 
 def wide_features(panel: DataFrame, nodes: list[Node], registry: FeatureRegistry) -> DataFrame:
     """The panel with one column per node, rounded to ROUND places."""
+    return _valued(panel, nodes, registry).select(*panel.columns, *[F.col(_value(k)).alias(n.id) for k, n in enumerate(nodes)])
+
+
+def _value(k: int) -> str:
+    """The column of the k-th node: ids may be names that the panel has."""
+    return f"__value{k}"
+
+
+def _valued(panel: DataFrame, nodes: list[Node], registry: FeatureRegistry) -> DataFrame:
     stage = Stage()
     for n in nodes:
         lacking = [c for c in registry.get(n.feature).needs if c not in panel.columns]
         if lacking:
             raise ValueError(f"node {n.id} needs the columns {', '.join(lacking)}")
-    values = {n.id: registry.get(n.feature).build(stage, n.params) for n in nodes}
-    prev = F.coalesce(lag("close"), F.col("close"))
-    df = panel.withColumn("__prev", prev).withColumn("__before", lag("close"))
-    df = df.withColumns({
-        "__gain": F.greatest(F.col("close") - F.col("__prev"), F.lit(0.0)), "__loss": F.greatest(F.col("__prev") - F.col("close"), F.lit(0.0)),
-        "__ret": F.ln(ratio(F.col("close"), F.col("__before"))),
-        "__range": F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - F.col("__prev")), F.abs(F.col("low") - F.col("__prev"))),
-    })
-    if stage.rolling:
-        df = df.withColumns(stage.rolling)
+    whole = {_value(k): n for k, n in enumerate(nodes) if registry.get(n.feature).whole}
+    values = {_value(k): registry.get(n.feature).build(stage, n.params) for k, n in enumerate(nodes) if _value(k) not in whole}
     first = {n: e for n, e in stage.emas.items() if e[0] in panel.columns}
-    if first:
-        df = _with_emas(df, first)
-    if stage.second_base:
-        df = df.withColumns(stage.second_base)
-    if stage.second:
-        df = df.withColumns(stage.second)
     later = {n: e for n, e in stage.emas.items() if n not in first}
+    df = filled(panel, stage.fills) if stage.fills else panel
+    if first:
+        df = exponential(df, first)
+    if stage.rolling or stage.second or stage.second_base:
+        # a window over changes from bar to bar looks one bar further back
+        df = chunked(df, back=1 + sum(stage.reach))
+        df = df.withColumn("__before", lag("close")).withColumn("__prev", F.coalesce("__before", "close"))
+        df = df.withColumns({
+            "__gain": F.greatest(F.col("close") - F.col("__prev"), F.lit(0.0)), "__loss": F.greatest(F.col("__prev") - F.col("close"), F.lit(0.0)),
+            "__ret": F.ln(ratio(F.col("close"), F.col("__before"))),
+            "__range": F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - F.col("__prev")), F.abs(F.col("low") - F.col("__prev"))),
+        })
+        for columns in (stage.rolling, stage.second_base, stage.second):
+            df = df.withColumns(columns) if columns else df
+        df = own_rows(df)
     if later:
-        df = _with_emas(df, later)
-    return df.select(*panel.columns, *[F.round(v, ROUND).alias(k) for k, v in values.items()])
+        df = exponential(df, later)
+    df = df.select(*panel.columns, *[F.round(v, ROUND).alias(k) for k, v in values.items()])
+    if whole:
+        own = _arrays(panel, whole, registry).select(*BY, "bar_idx", *[F.round(c, ROUND).alias(c) for c in whole])
+        df = df.join(own, [*BY, "bar_idx"])
+    return df
 
 
 def long_features(panel: DataFrame, nodes: list[Node], registry: FeatureRegistry) -> DataFrame:
     """(history_id, rep_id, node_id, bar_idx, value): one wide projection, then an unpivot."""
-    wide = wide_features(panel, nodes, registry)
-    pairs = F.array(*[F.struct(F.lit(n.id).alias("node_id"), F.col(f"`{n.id}`").cast("double").alias("value")) for n in nodes])
+    wide = _valued(panel, nodes, registry)
+    pairs = F.array(*[F.struct(F.lit(n.id).alias("node_id"), F.col(_value(k)).cast("double").alias("value")) for k, n in enumerate(nodes)])
     return wide.select(*BY, "bar_idx", F.explode(pairs).alias("x")).select(*BY, "x.node_id", "bar_idx", "x.value")
+
+
+def node_batches(nodes: list[Node], registry: FeatureRegistry, most: int = BATCH) -> list[list[Node]]:
+    """Nodes in batches that need at most ``most`` different window columns each (a node alone may need more).
+
+    Nodes go to the batch that holds most of what they need, so those that share columns share a batch.
+    """
+    batches: list[tuple[set[str], list[Node]]] = []
+    for n in nodes:
+        stage = Stage()
+        if not registry.get(n.feature).whole:
+            registry.get(n.feature).build(stage, n.params)
+        own = {*stage.rolling, *stage.second, *stage.emas}
+        fitting = [b for b in batches if len(b[0] | own) <= most]
+        if fitting:
+            best = max(fitting, key=lambda b: len(b[0] & own))
+            best[0].update(own)
+            best[1].append(n)
+        else:
+            batches.append((own, [n]))
+    return [members for _, members in batches]
+
+
+def kept_features(panel: DataFrame, nodes: list[Node], registry: FeatureRegistry) -> DataFrame:
+    """``long_features`` of any number of nodes, written batch by batch: several steps read them, and no plan grows with the nodes."""
+    parts = [materialise(long_features(panel, own, registry), "features") for own in node_batches(nodes, registry)]
+    return reduce(DataFrame.unionByName, parts)

@@ -6,51 +6,63 @@ the same expressions.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import N_REPLICATES, P_THRESHOLD, SEED, Grid, Node
-from ..functions.features import FeatureRegistry, long_features
+from ..functions.features import FeatureRegistry, long_features, node_batches
 from ..shared import materialise
 from .null_model import log_components, null_fit, null_paths
 from .scoring import bin_scores, shift_surface
 from .surface import assign_bins, baseline_rates, conditional_rates, excursions_wide, quantile_edges
 
 
-def all_features(observed: DataFrame, paths: DataFrame, nodes: list[Node], registry: FeatureRegistry) -> DataFrame:
+def all_features(observed: DataFrame, paths: DataFrame | None, nodes: list[Node], registry: FeatureRegistry) -> DataFrame:
     """Feature values on all paths: core features are recomputed, fixed ones carried over from the observed path."""
     core = [n for n in nodes if registry.get(n.feature).core]
     fixed = [n for n in nodes if not registry.get(n.feature).core]
-    out = None
+    parts = []
     if core:
-        columns = [c for c in observed.columns if c in paths.columns]
-        out = long_features(observed.select(*columns).unionByName(paths.select(*columns)), core, registry)
+        columns = [c for c in observed.columns if paths is None or c in paths.columns]
+        rows = observed.select(*columns)
+        parts += [long_features(rows if paths is None else rows.unionByName(paths.select(*columns)), own, registry) for own in node_batches(core, registry)]
     if fixed:
-        own = long_features(observed, fixed, registry)
-        replicas = paths.select("history_id", "rep_id").distinct()
-        copied = own.drop("rep_id").join(replicas, "history_id").select(own.columns)
-        both = own.unionByName(copied)
-        out = both if out is None else out.unionByName(both)
-    if out is None:
+        own = [long_features(observed, some, registry) for some in node_batches(fixed, registry)]
+        parts += own
+        if paths is not None:
+            replicas = paths.select("history_id", "rep_id").distinct()
+            parts += [x.drop("rep_id").join(replicas, "history_id").select(x.columns) for x in own]
+    if not parts:
         raise ValueError("there are no nodes")
-    return out
+    return reduce(DataFrame.unionByName, parts)
 
 
-def path_scores(observed: DataFrame, nodes: list[Node], registry: FeatureRegistry, grid: Grid, n_bins: int, n_replicates: int = N_REPLICATES, seed: int = SEED) -> DataFrame:
-    """(history_id, rep_id, node_id, bin, score, supported) of the observed path (0) and all simulated ones.
+def block_scores(observed: DataFrame, paths: DataFrame | None, nodes: list[Node], registry: FeatureRegistry, grid: Grid, n_bins: int, exc: DataFrame) -> DataFrame:
+    """(history_id, rep_id, node_id, bin, score, supported) of the paths that ``exc`` holds.
 
     Edges of core features are found anew on each path, those of fixed features are the observed ones.
+    """
+    core = [n for n in nodes if registry.get(n.feature).core]
+    fixed = [n for n in nodes if not registry.get(n.feature).core]
+    parts = [materialise(all_features(observed, paths, own, registry), "features") for some in (core, fixed) for own in node_batches(some, registry)]
+    values = reduce(DataFrame.unionByName, parts)
+    bins = assign_bins(values, quantile_edges(values, n_bins))
+    return bin_scores(shift_surface(conditional_rates(exc, bins, grid), baseline_rates(exc, grid)), grid)
+
+
+def path_scores(observed: DataFrame, nodes: list[Node], registry: FeatureRegistry, grid: Grid, n_bins: int, n_replicates: int = N_REPLICATES, seed: int = SEED) -> DataFrame:
+    """``block_scores`` of the observed path (0) and all simulated ones, nothing of which is kept beyond the session.
+
     Paths, feature values and excursions are each written once in the shared folder, since several steps read
     them; excursions stay one row per bar until they are counted.
     """
     columns = ["history_id", "rep_id", "bar_idx", "ts", "open", "high", "low", "close", "volume"]
     simulated = null_paths(observed, null_fit(log_components(observed)), n_replicates, seed)
     paths = materialise(simulated.select(*columns), "paths")
-    both = observed.select(*columns).unionByName(paths)
-    values = materialise(all_features(observed, paths, nodes, registry), "features")
-    bins = assign_bins(values, quantile_edges(values, n_bins))
-    exc = materialise(excursions_wide(both, grid.horizons), "excursions")
-    return bin_scores(shift_surface(conditional_rates(exc, bins, grid), baseline_rates(exc, grid)), grid)
+    exc = materialise(excursions_wide(observed.select(*columns).unionByName(paths), grid.horizons), "excursions")
+    return block_scores(observed, paths, nodes, registry, grid, n_bins, exc)
 
 
 def monte_carlo(scores: DataFrame, n_replicates: int, threshold: float = P_THRESHOLD) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import SEED
-from ..functions.windows import lag, so_far
+from ..functions.windows import chunked, lag, own_rows, path, so_far
 
 COMPONENTS = ("g_open", "g_close", "g_high", "g_low")
 PLACES = 12  # of fitted moments and of log steps: sums of steps are then exact whole numbers
@@ -27,7 +27,7 @@ def log_components(panel: DataFrame) -> DataFrame:
     before = F.coalesce(lag("close"), F.col("close"))
     body = (F.greatest("open", "close"), F.least("open", "close"))
     log = lambda a, b: F.ln(F.try_divide(a, b))
-    rows = panel.withColumn("__prev", before).select(
+    rows = own_rows(chunked(panel, back=1).withColumn("__prev", before)).select(
         "history_id", "rep_id", "bar_idx", log(F.col("open"), F.col("__prev")).alias("g_open"), log(F.col("close"), F.col("open")).alias("g_close"),
         log(F.col("high"), body[0]).alias("g_high"), log(F.col("low"), body[1]).alias("g_low"),
     )
@@ -65,8 +65,8 @@ def normals(seed: int) -> list[Column]:
     return out
 
 
-def null_paths(panel: DataFrame, fit: DataFrame, n_replicates: int, seed: int = SEED) -> DataFrame:
-    """Panels of rep_id 1 .. n_replicates as long as the observed one, with its times and volume.
+def null_paths(panel: DataFrame, fit: DataFrame, replicates: int | DataFrame, seed: int = SEED) -> DataFrame:
+    """Panels of rep_id 1 .. ``replicates`` as long as the observed one, with its times and volume; or of the given (history_id, rep_id).
 
     Each path runs in a partition of its own.  Highs and lows may leave the body, as they do
     under the fitted model; simulated bars are not repaired.
@@ -75,14 +75,18 @@ def null_paths(panel: DataFrame, fit: DataFrame, n_replicates: int, seed: int =
     start = panel.where("rep_id = 0").groupBy("history_id").agg(F.min_by("close", "bar_idx").alias("c0"))
     # a handful of numbers per history goes to every bar; how they travel is left to the optimiser
     base = observed.join(fit.join(start, "history_id"), "history_id")
-    rows = base.withColumn("rep_id", F.explode(F.sequence(F.lit(1), F.lit(n_replicates)))).repartition("history_id", "rep_id")
+    if isinstance(replicates, int):
+        rows = base.withColumn("rep_id", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    else:
+        rows = base.join(replicates, "history_id")
+    rows = rows.repartition("history_id", "rep_id")
     rows = rows.withColumns({f"z{k}": F.round(z, PLACES) for k, z in enumerate(normals(seed))})
     for i in range(4):
         step = sum((F.col(f"z{k}") * F.col(f"l{i}{k}") for k in range(i + 1)), F.col(f"m{i}"))
         rows = rows.withColumn(f"g{i}", F.round(step * 1e12).cast("long"))
     total = F.sum(F.col("g0") + F.col("g1")).over(so_far())
     rows = rows.withColumn("__close", F.col("c0") * F.exp(total / 1e12))
-    rows = rows.withColumn("__prev", F.coalesce(lag("__close"), F.col("c0")))
+    rows = rows.withColumn("__prev", F.coalesce(F.lag("__close").over(path()), F.col("c0")))
     step = lambda k: F.exp(F.col(f"g{k}") / 1e12)
     rows = rows.withColumn("__open", F.col("__prev") * step(0))
     rows = rows.withColumn("__high", F.greatest("__open", "__close") * step(2)).withColumn("__low", F.least("__open", "__close") * step(3))

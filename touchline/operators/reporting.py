@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Node
+from .surface import bin_labels, feature_label, sheet_names
 
 SHOWN_HORIZONS = (1, 2, 3, 5, 7, 10, 14, 21, 30)
 
@@ -25,6 +26,15 @@ def bin_sheet(surface: DataFrame, node_id: str, bin: int, horizons: tuple[int, .
     return head.unionByName(body).orderBy(F.col("row") != "n", F.desc("barrier"))
 
 
+def bin_table(edges: DataFrame, nodes: list[Node]) -> DataFrame:
+    """(node_id, sheet, feature_label, bin, bin_label): how each bin of each node reads, and the sheet that it goes to."""
+    labels = [feature_label(n) for n in nodes]
+    named = {n.id: (sheet, label) for n, sheet, label in zip(nodes, sheet_names(labels), labels)}
+    found = edges.where("rep_id = 0").select("node_id", "edges").collect()  # nodes are declared one by one
+    rows = [(r.node_id, *named[r.node_id], k, text) for r in found if r.node_id in named for k, text in enumerate(bin_labels(r.edges))]
+    return edges.sparkSession.createDataFrame(rows, "node_id string, sheet string, feature_label string, bin int, bin_label string")
+
+
 def heatmap(shifts: DataFrame, selected: DataFrame, horizons: tuple[int, ...]) -> DataFrame:
     """Surfaces of the selected bins only, without the barrier at nought."""
     own = shifts.where(F.abs("barrier") > 1e-12).join(selected.select("node_id", "bin"), ["node_id", "bin"], "left_semi")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import MIN_BIN_N, Grid
@@ -37,11 +37,23 @@ def mirrored(barriers: tuple[float, ...]) -> list[tuple[int, int, float]]:
     return [(a, b, d / top) for a, b, d in found]
 
 
-def barrier_pairs(spark: SparkSession, grid: Grid) -> DataFrame:
-    """(barrier_idx, barrier, mirror_idx, weight): each row of a pair carries half of the pair's weight."""
-    pairs = {k: (m, w / 2) for a, b, w in mirrored(grid.barriers) for k, m in ((a, b), (b, a))}
-    rows = [(k, b, pairs.get(k, (k, 0.0))[0], pairs.get(k, (k, 0.0))[1]) for k, b in enumerate(grid.barriers)]
-    return spark.createDataFrame(rows, "barrier_idx int, barrier double, mirror_idx int, weight double")
+def barrier_pairs(rates: DataFrame) -> DataFrame:
+    """(barrier_idx, barrier, mirror_idx, weight) of the barriers that a table of rates has: each row of a pair carries half of the pair's weight.
+
+    A barrier without a pair is its own mirror and weighs nothing.  Magnitudes are compared to 9 places.
+    """
+    rows = rates.select("barrier_idx", "barrier").distinct()
+    size = F.round(F.abs("barrier"), 9)
+    sides = rows.where(F.abs("barrier") > ZERO).groupBy(size.alias("d")).agg(
+        F.count_if(F.col("barrier") > 0).alias("plus"), F.count_if(F.col("barrier") < 0).alias("minus"),
+        F.max(F.when(F.col("barrier") > 0, F.col("barrier_idx"))).alias("up"), F.max(F.when(F.col("barrier") < 0, F.col("barrier_idx"))).alias("down"),
+        F.max(F.abs("barrier")).alias("magnitude"),
+    )
+    pairs = sides.where("plus = 1 and minus = 1")
+    pairs = pairs.withColumn("top", F.max("magnitude").over(Window.partitionBy(F.lit(0))))  # a grid has few barriers
+    both = pairs.select(F.explode(F.array(F.struct(F.col("up").alias("k"), F.col("down").alias("m")), F.struct(F.col("down").alias("k"), F.col("up").alias("m")))).alias("x"), (F.col("magnitude") / F.col("top") / 2).alias("weight"))
+    both = both.select(F.col("x.k").alias("barrier_idx"), F.col("x.m").alias("mirror_idx"), "weight")
+    return rows.join(both, "barrier_idx", "left").select("barrier_idx", "barrier", F.coalesce("mirror_idx", "barrier_idx").alias("mirror_idx"), F.coalesce("weight", F.lit(0.0)).alias("weight"))
 
 
 def bin_scores(shifts: DataFrame, grid: Grid) -> DataFrame:

@@ -2,29 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import MIN_BIN_N, Grid, Node
-from ..functions.features import FeatureRegistry, long_features
-from ..functions.windows import BY, ahead
+from ..functions.features import FeatureRegistry, kept_features
+from ..functions.windows import BY, chunked, lead, own_rows
+from ..shared import materialise
+
+SEGMENT_ROWS = 1 << 20  # values of a node that are ordered together
+SEGMENT_BINS = 4096
 
 
 def excursions_wide(panel: DataFrame, horizons: tuple[int, ...]) -> DataFrame:
     """(.., bar_idx, exc): one row per bar with an array of (horizon, down, up), the extremes of the next bars relative to the close.
 
-    down and up are NULL unless as many bars follow.  Frames of all horizons share one sort; horizons may
-    come in any order and repeat, each distinct one is measured once.
+    down and up are NULL unless as many bars follow.  Horizons may come in any order and repeat, each distinct
+    one is measured once.  Extremes over the next 1, 2, 4, ... bars are doubled step by step, and a horizon
+    takes two of them that overlap: the work grows with the logarithm of the longest horizon.  Chunks get
+    as many bars after them as it has.
     """
     own = sorted(set(horizons))
     if not own or own[0] < 1:
         raise ValueError("horizons are whole numbers from 1 on")
-    columns = {f"__d{h}": ahead("min", "low", h) for h in own} | {f"__u{h}": ahead("max", "high", h) for h in own}
-    rows = panel.withColumns(columns)
-    cells = [
-        F.struct(F.lit(h).alias("horizon"), (F.try_divide(F.col(f"__d{h}"), F.col("close")) - 1).alias("down"), (F.try_divide(F.col(f"__u{h}"), F.col("close")) - 1).alias("up"))
-        for h in own
-    ]
+    sides = {"down": ("low", F.least), "up": ("high", F.greatest)}
+    both = lambda f, a, b: F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), f(a, b))
+    rows = chunked(panel, ahead=own[-1])
+    rows = rows.withColumns({f"__{side}0": lead(column) for side, (column, _) in sides.items()})
+    for k in range(own[-1].bit_length() - 1):
+        rows = rows.withColumns({f"__{side}_next": lead(f"__{side}{k}", 1 << k) for side in sides})
+        rows = rows.withColumns({f"__{side}{k + 1}": both(f, f"__{side}{k}", f"__{side}_next") for side, (_, f) in sides.items()})
+    table = {h: h.bit_length() - 1 for h in own}
+    rest = {f"__{side}_h{h}": lead(f"__{side}{table[h]}", h - (1 << table[h])) for h in own if h != 1 << table[h] for side in sides}
+    rows = own_rows(rows.withColumns(rest) if rest else rows)
+    found = lambda side, f, h: both(f, f"__{side}{table[h]}", f"__{side}_h{h}") if f"__{side}_h{h}" in rest else F.col(f"__{side}{table[h]}")
+    change = lambda side, f, h: (F.try_divide(found(side, f, h), F.col("close")) - 1).alias(side)
+    cells = [F.struct(F.lit(h).alias("horizon"), *[change(side, f, h) for side, (_, f) in sides.items()]) for h in own]
     return rows.select(*BY, "bar_idx", F.array(*cells).alias("exc"))
 
 
@@ -39,18 +52,57 @@ def excursions(panel: DataFrame, horizons: tuple[int, ...]) -> DataFrame:
     return by_horizon(excursions_wide(panel, horizons))
 
 
-def quantile_edges(features: DataFrame, n_bins: int) -> DataFrame:
-    """(.., node_id, edges): exact linear quantiles at j / n, without repeats, above the least and up to the largest value."""
+def quantile_edges(features: DataFrame, n_bins: int, most: int = SEGMENT_ROWS) -> DataFrame:
+    """(.., node_id, edges): exact linear quantiles at j / n, without repeats, above the least and up to the largest value.
+
+    An edge lies between two values of known ranks, which are selected exactly: a segment of a node's values
+    that holds wanted ranks and more than ``most`` values is cut into SEGMENT_BINS bins between its least and largest
+    value, whose counts (summed before the shuffle) tell which bins hold the ranks; these are the
+    next segments.  What is left is counted by value and ordered, a segment at a time.  No buffer and no
+    task holds more values than that, however many distinct ones a path has.
+    """
     if n_bins < 1:
         raise ValueError("there is at least one bin")
-    cuts = F.array(*[F.lit(j / n_bins) for j in range(1, n_bins)]) if n_bins > 1 else None
-    groups = features.where("value is not null").groupBy(*BY, "node_id")
-    if cuts is None:
-        return groups.agg(F.count("*").alias("n")).select(*BY, "node_id", F.array().cast("array<double>").alias("edges"))
-    found = groups.agg(F.percentile("value", cuts).alias("q"), F.min("value").alias("low"), F.max("value").alias("high"))
-    rounded = F.transform("q", lambda e: F.round(e, 9))
-    edges = F.filter(F.array_distinct(rounded), lambda e: (e > F.col("low")) & (e <= F.col("high")))
-    return found.select(*BY, "node_id", edges.alias("edges"))
+    keys = [*BY, "node_id"]
+    known = features.where("value is not null").select(*keys, "value")
+    if n_bins == 1:
+        return known.select(*keys).distinct().select(*keys, F.array().cast("array<double>").alias("edges"))
+    groups = materialise(known.groupBy(*keys).agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high")), "groups")
+    places = F.array(*[(F.col("n") - 1) * F.lit(j / n_bins) for j in range(1, n_bins)])
+    ranks = F.array_distinct(F.flatten(F.transform(places, lambda p: F.array(F.floor(p), F.ceil(p)))))
+    segments = groups.select(*keys, "low", "high", "n", F.lit(0).cast("long").alias("before"), ranks.alias("ranks"))
+    while (segments.where("low < high").agg(F.max("n")).first()[0] or 0) > most:
+        segments = materialise(_narrowed(known, segments), "segments")
+    found = _ranked(_within(known, segments.where("low < high")).groupBy(*keys, "low", "before", "ranks", "value").agg(F.count("*").alias("n")), "value")
+    found = found.select(*keys, F.explode("ranks").alias("rank"), "value")
+    one_value = segments.where("low = high").select(*keys, F.explode("ranks").alias("rank"), F.col("low").alias("value"))
+    at = found.unionByName(one_value).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("at"))  # two ranks an edge
+    value = lambda p: F.element_at("at", p)
+    between = lambda p: F.when(F.floor(p) == F.ceil(p), value(F.floor(p))).otherwise((F.ceil(p) - p) * value(F.floor(p)) + (p - F.floor(p)) * value(F.ceil(p)))
+    rows = groups.join(at, keys).select(*keys, "low", "high", F.transform(places, lambda p: F.round(between(p), 9)).alias("q"))
+    return rows.select(*keys, F.filter(F.array_distinct("q"), lambda e: (e > F.col("low")) & (e <= F.col("high"))).alias("edges"))
+
+
+def _within(known: DataFrame, segments: DataFrame) -> DataFrame:
+    """The values of each segment; a node has few segments, so they travel and the values need not."""
+    return known.join(segments.drop("n"), [*BY, "node_id"]).where("value between low and high")
+
+
+def _ranked(counted: DataFrame, order: str) -> DataFrame:
+    """Rows of counts n within a segment that hold some of its ranks, with those and with how many values come before."""
+    w = Window.partitionBy(*BY, "node_id", "low").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = counted.withColumn("before", F.col("before") + F.coalesce(F.sum("n").over(w), F.lit(0)))
+    rows = rows.withColumn("ranks", F.filter("ranks", lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("n"))))
+    return rows.where(F.size("ranks") > 0)
+
+
+def _narrowed(known: DataFrame, segments: DataFrame) -> DataFrame:
+    """The bins of the segments that hold wanted ranks, as segments between the least and largest of their values."""
+    part = F.try_divide(F.col("value") / 2 - F.col("low") / 2, F.col("high") / 2 - F.col("low") / 2)  # halves: no overflow
+    cut = F.least(F.floor(F.coalesce(part, F.lit(0.0)) * SEGMENT_BINS), F.lit(SEGMENT_BINS - 1)).alias("bin")
+    counted = _within(known, segments).groupBy(*BY, "node_id", "low", "before", "ranks", cut)
+    counted = counted.agg(F.count("*").alias("n"), F.min("value").alias("least"), F.max("value").alias("largest"))
+    return _ranked(counted, "bin").select(*BY, "node_id", F.col("least").alias("low"), F.col("largest").alias("high"), "n", "before", "ranks")
 
 
 def bin_of(value: Column, edges: Column) -> Column:
@@ -144,7 +196,7 @@ def measure(
     What is known already may be given: feature values, bin edges (for instance ``fixed_edges``), excursions
     (wide or tall; their horizons must hold the grid's) and baseline.
     """
-    values = long_features(panel, nodes, registry) if features is None else features
+    values = kept_features(panel, nodes, registry) if features is None else features
     if excursions is not None:
         found = {r.horizon for r in _tall(excursions).select("horizon").distinct().collect()}
         if found and not set(grid.horizons) <= found:

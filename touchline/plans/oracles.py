@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from .queries import FILTER_BIN_N, GRID, MIN_DEV, MIN_RUN, N_BINS, REPLICATES
+from ..config import DEFAULT_GRID
+from .catalogue import catalogue_nodes
+from .queries import CATALOGUE_BINS, FILTER_BIN_N, GRID, MIN_DEV, MIN_RUN, N_BINS, REPLICATES
 
 SEED = 20260907
 
@@ -160,8 +162,10 @@ def _values(table: str = "base") -> str:
     return "vals AS (" + " UNION ALL ".join([node("roc_5", roc(5)), node("rsi_14", rsi(14)), node("weekday", "isodow(ts) - 1")]) + ")"
 
 
-MEASURE = f"""
-q AS (SELECT rep_id, node_id, quantile_cont(value, [{_LIST}]) AS q, min(value) AS low, max(value) AS high FROM vals WHERE value IS NOT NULL GROUP BY ALL),
+def _measure(n_bins: int = N_BINS, top: float = max(GRID.barriers)) -> str:
+    cuts = ", ".join(f"CAST({j} AS DOUBLE) / {n_bins}" for j in range(1, n_bins))
+    return f"""
+q AS (SELECT rep_id, node_id, quantile_cont(value, [{cuts}]) AS q, min(value) AS low, max(value) AS high FROM vals WHERE value IS NOT NULL GROUP BY ALL),
 edges AS (SELECT rep_id, node_id, list_sort(list_distinct(list_filter(list_transform(q, lambda e: round(e, 9)), lambda e: e > low AND e <= high))) AS edges FROM q),
 bins AS (SELECT v.rep_id, v.node_id, v.bar_idx, v.value, CAST(len(list_filter(e.edges, lambda x: x < v.value)) AS INTEGER) AS bin FROM vals v JOIN edges e ON e.rep_id = v.rep_id AND e.node_id = v.node_id WHERE v.value IS NOT NULL),
 known AS (SELECT * FROM exc WHERE down IS NOT NULL AND up IS NOT NULL),
@@ -173,8 +177,9 @@ shifts AS (SELECT r.*, b.p AS base_p, r.p - b.p AS shift FROM rate r JOIN base_r
 pairs AS (SELECT u.rep_id, u.node_id, u.bin, u.horizon, u.barrier AS d, abs(u.shift - d.shift) AS diff, u.n_obs FROM shifts u JOIN shifts d ON d.rep_id = u.rep_id AND d.node_id = u.node_id AND d.bin = u.bin AND d.horizon = u.horizon AND d.barrier = -u.barrier WHERE u.barrier > 0),
 usable AS (SELECT *, diff IS NOT NULL AND n_obs >= 30 AS ok FROM pairs),
 counted AS (SELECT *, ok AND count_if(ok) OVER (PARTITION BY rep_id, node_id, horizon, d) >= 2 AS good FROM usable),
-scores AS (SELECT rep_id, node_id, bin, round(sum(CASE WHEN good THEN diff * (d / {max(GRID.barriers)}) ELSE 0.0 END), 9) AS score, bool_or(good) AS supported FROM counted GROUP BY ALL)"""
+scores AS (SELECT rep_id, node_id, bin, round(sum(CASE WHEN good THEN diff * (d / {top}) ELSE 0.0 END), 9) AS score, bool_or(good) AS supported FROM counted GROUP BY ALL)"""
 
+MEASURE = _measure()
 MEASURED = _with(DAILY, BASE % "bars", _values(), _extremes("bars", GRID.horizons), BARRIERS, MEASURE)
 
 FILTER = f"""
@@ -208,12 +213,12 @@ def _fit() -> str:
     return ",\n".join(out)
 
 
-def _paths() -> str:
+def _paths(replicates: int = REPLICATES) -> str:
     u = [f"(CAST(('0x' || substr(md5('{SEED}:' || rep_id || ':' || bar_idx || ':{k}'), 1, 13)) AS BIGINT)::DOUBLE + 0.5) / 4503599627370496.0" for k in range(4)]
     z = [f"round(sqrt(-2.0 * ln({u[a]})) * {f}(2.0 * pi() * ({u[b]})), 12) AS z{k}" for k, (a, b, f) in enumerate(((0, 1, "cos"), (0, 1, "sin"), (2, 3, "cos"), (2, 3, "sin")))]
     g = [f"CAST(round(({' + '.join([f'm{i}', *[f'z{k} * l{i}{k}' for k in range(i + 1)]])}) * 1e12) AS BIGINT) AS g{i}" for i in range(4)]
     return f"""
-n0 AS (SELECT r.rep_id::INTEGER AS rep_id, bar_idx, ts, volume FROM bars, (SELECT unnest(range(1, {REPLICATES + 1})) AS rep_id) r),
+n0 AS (SELECT r.rep_id::INTEGER AS rep_id, bar_idx, ts, volume FROM bars, (SELECT unnest(range(1, {replicates + 1})) AS rep_id) r),
 n1 AS (SELECT *, {", ".join(z)} FROM n0),
 n2 AS (SELECT n1.*, {", ".join(g)}, (SELECT close FROM bars WHERE bar_idx = 0) AS c0 FROM n1, fit),
 n3 AS (SELECT *, c0 * exp(CAST(sum(g0 + g1) OVER (PARTITION BY rep_id ORDER BY bar_idx ROWS UNBOUNDED PRECEDING) AS DOUBLE) / 1e12) AS c FROM n2),
@@ -225,17 +230,78 @@ paths AS (SELECT rep_id, bar_idx, ts, round(o, 4) AS open, round(greatest(o, c)
 BOTH = "both_paths AS (SELECT rep_id, bar_idx, ts, open, high, low, close, volume FROM bars UNION ALL SELECT rep_id, bar_idx, ts, open, high, low, close, volume FROM paths)"
 
 
-def _tests(threshold: float) -> str:
+def _tests(threshold: float, replicates: int = REPLICATES) -> str:
     return f"""
 obs AS (SELECT node_id, bin, score AS bin_score FROM scores WHERE rep_id = 0 AND supported),
 null_all AS (SELECT o.node_id, o.bin, o.bin_score, r.rep_id, coalesce(CASE WHEN s.supported THEN s.score END, 0.0) AS score, coalesce(s.supported, false) AS sup
-  FROM obs o CROSS JOIN (SELECT unnest(range(1, {REPLICATES + 1})) AS rep_id) r LEFT JOIN scores s ON s.rep_id = r.rep_id AND s.node_id = o.node_id AND s.bin = o.bin),
-tests AS (SELECT node_id, bin, bin_score, (1 + count_if(score >= bin_score)) / {1.0 + REPLICATES} AS p, (1 + count_if(score >= bin_score)) / {1.0 + REPLICATES} < {threshold} AS cleared,
+  FROM obs o CROSS JOIN (SELECT unnest(range(1, {replicates + 1})) AS rep_id) r LEFT JOIN scores s ON s.rep_id = r.rep_id AND s.node_id = o.node_id AND s.bin = o.bin),
+tests AS (SELECT node_id, bin, bin_score, (1 + count_if(score >= bin_score)) / {1.0 + replicates} AS p, (1 + count_if(score >= bin_score)) / {1.0 + replicates} < {threshold} AS cleared,
   quantile_cont(score, 0.95) AS p95, count_if(sup) AS n_sup FROM null_all GROUP BY node_id, bin, bin_score)"""
 
 
-def _inference(threshold: float) -> str:
-    return _with(DAILY, COMPONENTS, _fit(), _paths(), BOTH, BASE % "both_paths", _values(), _extremes("both_paths", GRID.horizons), BARRIERS, MEASURE, _tests(threshold))
+def _ema_columns(spans: tuple[int, ...]) -> str:
+    """Exponential averages of the close by recursion, e<span>."""
+    first = ", ".join(f"close AS e{n}" for n in spans)
+    following = ", ".join(f"2.0 / {n + 1}.0 * b.close + (1.0 - 2.0 / {n + 1}.0) * e.e{n}" for n in spans)
+    return f"emas AS (SELECT bar_idx, {first} FROM bars WHERE bar_idx = 0 UNION ALL SELECT b.bar_idx, {following} FROM emas e JOIN bars b ON b.bar_idx = e.bar_idx + 1)"
+
+
+def _catalogue_value(feature: str, p: dict) -> str:
+    """A node's feature as an expression over ``wide``."""
+    n, fast, slow = p.get("period"), p.get("fast"), p.get("slow")
+    series = {"vix": "fvix", "tnx": "ftnx", "dxy": "fdxy"}.get(feature.split("_")[0])
+    if series:
+        return series if feature.endswith("level") else f"{div(series, roll('avg', series, n))} - 1" if feature.endswith("ratio") else f"{div(series, back(series, n))} - 1"
+    mean, std = (roll(f, "close", n) for f in ("avg", "stddev_samp")) if n else ("", "")
+    return {
+        "constant": lambda: "0.0",
+        "rsi": lambda: rsi(n),
+        "rsi_spread": lambda: f"{rsi(fast)} - {rsi(slow)}",
+        "williams_r": lambda: williams(n),
+        "wr_spread": lambda: f"{williams(fast)} - {williams(slow)}",
+        "stoch_k": lambda: stoch(p["k_period"]),
+        "stoch_d": lambda: roll("avg", "st14", p["d_period"]),
+        "roc": lambda: roc(n),
+        "roc_spread": lambda: f"{roc(fast)} - {roc(slow)}",
+        "ma_ratio": lambda: f"{div('close', mean)} - 1",
+        "ma_cross": lambda: f"{div(roll('avg', 'close', fast), roll('avg', 'close', slow))} - 1",
+        "macd": lambda: f"(e{fast} - e{slow}) / close",
+        "macd_histogram": lambda: "x - y",
+        "realized_vol": lambda: f"{roll('stddev_samp', 'ret', n)} * sqrt(252.0) * 100",
+        "vol_ratio": lambda: div(roll("stddev_samp", "ret", fast), roll("stddev_samp", "ret", slow)),
+        "atr": lambda: div(roll("avg", "rng", n), "close"),
+        "bb_pct": lambda: div(f"close - ({mean} - 2 * {std})", f"(4 * {std})"),
+        "bb_width": lambda: div(f"4 * {std}", mean),
+        "volume_ratio": lambda: div("volume", roll("avg", "volume", n)),
+        "drawdown": lambda: drawdown(n),
+        "drawdown_recovery": lambda: f"{drawdown(p['short'])} - {drawdown(p['long'])}",
+        "day_of_week": lambda: "isodow(ts) - 1",
+    }[feature]()
+
+
+def _catalogue() -> str:
+    filled = ", ".join(f"last_value({c} IGNORE NULLS) OVER (ORDER BY bar_idx) AS f{c}" for c in ("vix", "tnx", "dxy"))
+    nodes = " UNION ALL ".join(f"SELECT rep_id, '{n.id}' AS node_id, bar_idx, round(CAST({_catalogue_value(n.feature, n.params)} AS DOUBLE), 9) AS value FROM wide" for n in catalogue_nodes())
+    barriers = "barriers AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, CAST({b} AS DOUBLE))" for k, b in enumerate(DEFAULT_GRID.barriers)) + ") AS v(barrier_idx, barrier))"
+    return _recursive(
+        DAILY, AUX, BASE % "panel", _ema_columns((9, 12, 21, 26)), "line AS (SELECT bar_idx, (e12 - e26) / close AS x FROM emas JOIN bars USING (bar_idx))",
+        "sig AS (SELECT bar_idx, x, x AS y FROM line WHERE bar_idx = 0 UNION ALL SELECT l.bar_idx, l.x, 2.0 / 10.0 * l.x + (1.0 - 2.0 / 10.0) * g.y FROM sig g JOIN line l ON l.bar_idx = g.bar_idx + 1)",
+        f"wide AS (SELECT base.*, {filled}, {stoch(14)} AS st14, e9, e12, e21, e26, x, y FROM base JOIN emas USING (bar_idx) JOIN sig USING (bar_idx))",
+        f"vals AS ({nodes})", _extremes("bars", DEFAULT_GRID.horizons), barriers, _measure(CATALOGUE_BINS, max(DEFAULT_GRID.barriers)),
+    ) + " SELECT node_id, bin, horizon, barrier_idx, n_obs, n_hit, round(shift, 9) AS shift FROM shifts"
+
+
+_FOUND = "node_id, bin, round(bin_score, 6) AS bin_score, round(p, 9) AS monte_carlo_p_value, round(p95, 6) AS null_p95, n_sup AS n_supported_null FROM tests"
+
+
+def _histories() -> str:
+    """Each history alone, with its own nodes."""
+    each = (("daily", DAILY, "('roc_5', 'weekday')"), ("hourly", HOURLY, "('rsi_14')"))
+    return " UNION ALL ".join(f"SELECT * FROM ({_inference(0.05, bars)} SELECT '{name}' AS history_id, {_FOUND} WHERE node_id IN {nodes})" for name, bars, nodes in each)
+
+
+def _inference(threshold: float, bars: str = DAILY, replicates: int = REPLICATES) -> str:
+    return _with(bars, COMPONENTS, _fit(), _paths(replicates), BOTH, BASE % "both_paths", _values(), _extremes("both_paths", GRID.horizons), BARRIERS, MEASURE, _tests(threshold, replicates))
 
 
 SELECTED = "chosen AS (SELECT row_number() OVER (ORDER BY p, bin_score DESC, node_id, bin) AS selection_number, node_id, bin, bin_score, p FROM tests WHERE cleared)"
@@ -296,6 +362,9 @@ UNION ALL SELECT 'high_below_body', count_if(high < {_BODY}) FROM broken UNION A
     "null_fit": _with(DAILY, COMPONENTS, _fit()) + " SELECT " + ", ".join([*[f"round(m{i}, 9) AS m{i}" for i in range(4)], *[f"round(l{i}{j}, 9) AS l{i}{j}" for i in range(4) for j in range(i + 1)]]) + " FROM fit",
     "null_paths": _with(DAILY, COMPONENTS, _fit(), _paths()) + " SELECT rep_id, bar_idx, open, high, low, close, volume FROM paths",
     "monte_carlo_pvalue": _inference(0.05) + f" SELECT node_id, bin, round(bin_score, 6) AS bin_score, round(p, 9) AS monte_carlo_p_value, cleared, round(p95, 6) AS null_p95, CAST({REPLICATES} AS BIGINT) AS n_null_replicates, n_sup AS n_supported_null FROM tests",
+    "catalogue_surface": _catalogue(),
+    "monte_carlo_histories": _histories(),
+    "ensemble_extended": f"{_inference(0.05, HOURLY, 2 * REPLICATES)} SELECT {_FOUND} WHERE node_id IN ('roc_5', 'rsi_14')",
     "selection": f"{_inference(0.5)}, {SELECTED} SELECT selection_number, node_id, bin, round(bin_score, 6) AS bin_score, round(p, 9) AS monte_carlo_p_value FROM chosen",
     "selected_heatmap": f"{_inference(0.5)}, {SELECTED} SELECT s.node_id, s.bin, barrier_idx, barrier, {_pivot('shift', alias='s.')} FROM shifts s JOIN chosen c ON c.node_id = s.node_id AND c.bin = s.bin WHERE s.rep_id = 0 AND abs(barrier) > 1e-12 GROUP BY ALL",
     "selected_null": f"{_inference(0.5)}, {SELECTED} SELECT t.node_id, t.bin, round(p95, 6) AS null_p95 FROM tests t JOIN chosen c ON c.node_id = t.node_id AND c.bin = t.bin",

@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import Grid, Node
-from ..functions.features import default_registry, long_features, wide_features
+from ..config import DEFAULT_GRID, Grid, Node
+from ..functions.features import default_registry, kept_features, wide_features
 from ..operators.cleaning import asof_join, clean_bars, dedup_keep_last, ffill, violations
+from ..operators.ensemble import Ensemble
 from ..operators.inference import missing_nodes, monte_carlo, path_scores, selection, skipped_bins
 from ..operators.null_model import log_components, null_fit, null_paths
 from ..operators.reporting import bin_sheet, heatmap, node_status, null_histogram, null_markers, pivoted, selected_tests, selection_summary, status_by_family
@@ -17,13 +18,17 @@ from ..operators.scoring import barrier_pairs, bin_scores, economic_filter, insp
 from ..operators.surface import assign_bins, baseline_rates, excursions, excursions_wide, fixed_edges, measure, node_coverage, on_history, quantile_edges
 from ..sources.bars import auxiliary, bars_daily, bars_hourly
 from ..sources.readers import with_defaults
+from ..shared import fresh_path
+from ..store import Store
 from ..streaming.bars import stream_bars
+from .catalogue import catalogue_nodes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 GRID = Grid((-0.10, -0.05, -0.03, -0.01, 0.0, 0.01, 0.03, 0.05, 0.10), (1, 5, 20))
 N_BINS = 5
 REPLICATES = 20
+CATALOGUE_BINS = 10
 MIN_DEV, FILTER_BIN_N, MIN_RUN = 0.02, 30, 2
 NODES = (
     Node("roc_5", "roc", {"period": 5}, "momentum"),
@@ -88,7 +93,9 @@ def _messy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _feature(name: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        wide = wide_features(panel(spark, sf_dir), [Node("value", name, FEATURES[name])], default_registry())
+        registry = default_registry()
+        bars = panel(spark, sf_dir) if registry.get(name).needs else bars_daily(spark, sf_dir)
+        wide = wide_features(bars, [Node("value", name, FEATURES[name])], registry)
         return wide.select("bar_idx", F.col("value").cast("double").alias("value"))
 
     return query
@@ -99,7 +106,7 @@ def _measured(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return long_features(bars_daily(spark, sf_dir), list(NODES), default_registry())
+    return kept_features(bars_daily(spark, sf_dir), list(NODES), default_registry())
 
 
 def _shifts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,6 +190,30 @@ def tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All 58 conditions of the catalogue by 41 barriers, 30 horizons and 10 bins, measured and compared."""
+    rows = shift_surface(*measure(panel(spark, sf_dir), catalogue_nodes(), default_registry(), DEFAULT_GRID, CATALOGUE_BINS))
+    return rows.select("node_id", "bin", "horizon", "barrier_idx", "n_obs", "n_hit", F.round("shift", 9).alias("shift"))
+
+
+def _found(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.select(*keys, "node_id", "bin", F.round("bin_score", 6).alias("bin_score"), F.round("monte_carlo_p_value", 9).alias("monte_carlo_p_value"), F.round("null_p95", 6).alias("null_p95"), "n_supported_null")
+
+
+def two_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily and hourly bars as two histories, with nodes of their own, tested in one run."""
+    groups = [(bars_daily(spark, sf_dir), [NODES[0], NODES[2]]), (bars_hourly(spark, sf_dir), [NODES[1]])]
+    scores = Ensemble(Store(spark, fresh_path(spark, "ensemble"))).scores(groups, default_registry(), GRID, N_BINS, REPLICATES)
+    return _found(monte_carlo(scores, REPLICATES), "history_id")
+
+
+def extended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An ensemble of one node and one block of replicates, then of a further node and twice as many: what is kept is not made again."""
+    ensemble, bars = Ensemble(Store(spark, fresh_path(spark, "ensemble"))), bars_hourly(spark, sf_dir)
+    ensemble.scores([(bars, [NODES[0]])], default_registry(), GRID, N_BINS, REPLICATES)
+    return _found(monte_carlo(ensemble.scores([(bars, list(NODES[:2]))], default_registry(), GRID, N_BINS, 2 * REPLICATES), 2 * REPLICATES))
+
+
 def _loose(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tests with a threshold that some bins clear with few replicates."""
     found = path_scores(bars_daily(spark, sf_dir), list(NODES), default_registry(), GRID, N_BINS, REPLICATES)
@@ -294,7 +325,7 @@ QUERIES: dict[str, Query] = {
     "touch_rate_baseline": touch_rate_baseline,
     "conditional_surface": conditional_surface,
     "shift_surface": shifts,
-    "barrier_pairs": lambda s, d: barrier_pairs(s, GRID),
+    "barrier_pairs": lambda s, d: barrier_pairs(baseline_rates(excursions(bars_daily(s, d), GRID.horizons), GRID)),
     "bin_scores": scores,
     "economic_filter": filtered,
     "strongest_cell": strongest_cell,
@@ -303,6 +334,9 @@ QUERIES: dict[str, Query] = {
     "null_fit": fit,
     "null_paths": paths,
     "monte_carlo_pvalue": tests,
+    "catalogue_surface": catalogue,
+    "monte_carlo_histories": two_histories,
+    "ensemble_extended": extended,
     "selection": selected,
     "selected_heatmap": selected_heatmap,
     "selected_null": selected_null,

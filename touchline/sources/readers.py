@@ -55,7 +55,12 @@ def read_ohlcv(spark: SparkSession, path: str, kind: str = "parquet", ts: str =
     if kind == "parquet":
         df = spark.read.parquet(path)
     elif kind == "csv":
-        df = spark.read.option("header", True).csv(path)
+        # without a schema every field is read as a string; ``finite`` and ``naive_utc`` refuse what is none of their kind
+        names = [ts, *columns]
+        df = spark.read.option("header", True).option("enforceSchema", False).csv(path)
+        lacking = [c for c in names if c not in df.columns]
+        if lacking:
+            raise ValueError(f"the file lacks the columns {', '.join(lacking)}")
     elif kind == "json":
         df = spark.read.json(path)
     else:

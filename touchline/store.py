@@ -14,6 +14,7 @@ from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .config import Workspace
 
@@ -97,15 +98,39 @@ class Store:
     def path(self, stage: str, name: str) -> str:
         return f"{self.root}/{stage}/{name}.parquet"
 
-    def write(self, stage: str, name: str, df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
-        writer = df.write.mode("overwrite")
-        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(self.path(stage, name))
+    def write(self, stage: str, name: str, df: DataFrame) -> DataFrame:
+        df.write.mode("overwrite").parquet(self.path(stage, name))
         return self.read(stage, name)
 
+    def add(self, stage: str, name: str, df: DataFrame, partition_by: tuple[str, ...]) -> DataFrame:
+        """Writes into a table that is laid out by ``partition_by``: the parts that ``df`` has are replaced, all others stay."""
+        schema = StructType(sorted(df.schema.fields, key=lambda f: f.name in partition_by))  # as it is read: partition columns last
+        kept = self._schema(stage, name)
+        if kept is not None and sorted((f.name, f.dataType.simpleString()) for f in kept) != sorted((f.name, f.dataType.simpleString()) for f in schema):
+            raise ValueError(f"{stage}/{name} has other columns")
+        if kept is None:
+            self.files.write(f"{stage}/{name}.schema.json", schema.json())
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(self.path(stage, name))
+        return self.read(stage, name)
+
+    def remove_part(self, stage: str, name: str, column: str, value: str) -> None:
+        """Removes one part of a table that is laid out by one column."""
+        names = self.files.names(f"{stage}/{name}.parquet")
+        self.files.remove(f"{stage}/{name}.parquet/{column}={value}") if f"{column}={value}" in names else None
+
+    def _schema(self, stage: str, name: str) -> StructType | None:
+        text = self.files.read(f"{stage}/{name}.schema.json")
+        return None if text is None else StructType.fromJson(json.loads(text))
+
     def read(self, stage: str, name: str) -> DataFrame:
-        df = self.spark.read.parquet(self.path(stage, name))
+        schema = self._schema(stage, name)  # partition columns keep their types
+        df = (self.spark.read if schema is None else self.spark.read.schema(schema)).parquet(self.path(stage, name))
         return df.withColumnsRenamed({a: b for a, b in RENAMED.items() if a in df.columns and b not in df.columns})
 
+    def kept_names(self, stage: str, prefix: str = "history-") -> list[str]:
+        """What follows ``prefix`` in the names of a stage's tables."""
+        return [n.removeprefix(prefix).removesuffix(".parquet") for n in self.files.names(stage) if n.startswith(prefix) and n.endswith(".parquet")]
+
     def has(self, stage: str, name: str) -> bool:
         return self.files.exists(f"{stage}/{name}.parquet")
 
@@ -117,8 +142,8 @@ class Store:
             return {}
         return out if isinstance(out, dict) else {}
 
-    def write_manifest(self, stage: str, inputs: dict) -> None:
-        self.files.write(f"{stage}/manifest.json", json.dumps({"version": VERSION, "method": METHOD, "inputs": inputs}, indent=2))
+    def write_manifest(self, stage: str, inputs: dict, **more: dict) -> None:
+        self.files.write(f"{stage}/manifest.json", json.dumps({"version": VERSION, "method": METHOD, "inputs": inputs, **more}, indent=2))
 
     def is_current(self, stage: str, inputs: dict) -> bool:
         m = self.manifest(stage)

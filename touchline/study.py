@@ -1,46 +1,65 @@
-"""The four stages of a study over a panel: measure, compare, validate, select; and its status.
+"""The four stages of a study: measure, compare, validate, select; and its status.
 
-The first stage keeps what the others need: the history (bars), the feature values and the observed
-excursions, so later stages run from the store alone.  Every stage names its inputs by
-content in a manifest: settings, nodes, history and the tables that it read.  A later stage
-refuses to run on tables of other settings or another history than the present ones.
+A study has one panel, or one for each set of sources that its nodes name.  Panels of equal prices and times are one
+history, whatever else they hold; each node belongs to the history of its panel.
+
+The first stage keeps what the others need: the panels (history), feature values and observed surfaces laid out by
+node, and observed excursions, so later stages run from the store alone.  Each node has a fingerprint of its
+own: a changed one alone is measured again, one that is no longer declared is removed, and one that fails, while its
+plan is built or while it runs, costs only itself.  Every stage names its inputs by content in a manifest:
+settings, nodes, histories and the tables that it read.  A later stage refuses to run on tables of other settings
+or other histories than the present ones.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
 import logging
 import math
 import time
 from collections.abc import Callable
+from dataclasses import asdict
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import N_REPLICATES, SEED, Node, Workspace
-from .functions.features import FeatureRegistry, default_registry, long_features
+from .functions.features import FeatureRegistry, default_registry, kept_features, node_batches
 from .operators.cleaning import check_panel
-from .operators.inference import missing_nodes, monte_carlo, path_scores, selection
-from .operators.reporting import heatmap, node_status, null_histogram, null_markers, pivoted, selected_tests, selection_summary, status_by_family, unplotted
+from .operators.ensemble import Ensemble, histories
+from .operators.inference import missing_nodes, monte_carlo, selection
+from .operators.reporting import bin_table, heatmap, node_status, null_histogram, null_markers, pivoted, selected_tests, selection_summary, status_by_family, unplotted
 from .operators.scoring import economic_filter, shift_surface, strongest
-from .operators.surface import excursions_wide, measure, node_coverage, on_history
+from .operators.surface import baseline_rates, excursions_wide, measure, node_coverage, on_history, quantile_edges
+from .sources.readers import load_panel
 from .store import STAGES, VERSION, Store, config_digest, content_digest, history_id
 
 log = logging.getLogger("touchline")
 BARS = ("history_id", "rep_id", "bar_idx", "ts", "open", "high", "low", "close", "volume")
 KEYS = ("history_id", "rep_id", "node_id", "bin", "horizon", "barrier_idx")
+Loader = Callable[[SparkSession, tuple[str, ...]], DataFrame]
 
 
 class Progress:
-    """Logs at about every fifth of ``total`` steps, and how long a stage took."""
+    """Logs five marks of ``total`` pieces of work as they are finished, and how long a stage took."""
 
     def __init__(self, stage: str, total: int = 0, parts: int = 5):
         self.stage, self.total, self.done, self.began = stage, total, 0, time.time()
-        self.marks = {math.ceil(total * k / parts) for k in range(1, parts + 1)} if total else set()
+        self.marks = [math.ceil(total * k / parts) for k in range(1, parts + 1)] if total else []
+
+    def step(self, n: int = 1) -> None:
+        self.reach(self.done + n)
 
-    def step(self) -> None:
-        self.done += 1
-        if self.done in self.marks:
-            log.info("%s: %d of %d", self.stage, self.done, self.total)
+    def reach(self, done: int, total: int | None = None) -> None:
+        """``done`` pieces are finished; marks that are passed at once are logged once."""
+        if total is not None and total != self.total:
+            self.__init__(self.stage, total)
+        passed = [m for m in self.marks if self.done < m <= done]
+        self.done = done
+        if passed:
+            log.info("%s: %d of %d (%d %%)", self.stage, done, self.total, 100 * done // self.total)
 
     def finish(self) -> None:
         log.info("%s completed in %.1f s", self.stage, time.time() - self.began)
@@ -50,20 +69,50 @@ class Study:
     """Runs the stages of one workspace and keeps their tables in a store."""
 
     def __init__(self, workspace: Workspace, panel: DataFrame, store: Store, registry: FeatureRegistry | None = None):
-        self.workspace, self.store = workspace, store
-        self.registry = registry or default_registry()
-        aux = tuple(c for c in panel.columns if c not in BARS)
-        self.panel = check_panel(panel, aux)
+        self._set(workspace, {"": panel}, store, registry)
+
+    def _set(self, workspace: Workspace, panels: dict[str, DataFrame], store: Store, registry: FeatureRegistry | None, require_volume: bool = True) -> None:
+        """``panels``: by set of sources; "" holds for nodes whose own set has none."""
+        self.workspace, self.store, self.registry = workspace, store, registry or default_registry()
+        self.panels = {k: check_panel(p, tuple(c for c in p.columns if c not in BARS), require_volume) for k, p in panels.items()}
+        self.history_of = {k: histories(p) for k, p in self.panels.items()}
+        if any(len(h) != 1 for h in self.history_of.values()):
+            raise ValueError("a panel has one history")
+        first = {h[0]: k for k, h in reversed(self.history_of.items())}
+        self.panel = self.panels[next(iter(self.panels))] if len(self.panels) == 1 else reduce(DataFrame.unionByName, [self.panels[k].select(*BARS) for _, k in sorted(first.items())])
+
+    @classmethod
+    def of_sources(cls, workspace: Workspace, load: Loader, store: Store, registry: FeatureRegistry | None = None) -> Study:
+        """A study whose nodes' panels come from a loader, one for each distinct set of sources."""
+        panels = {}
+        for sources in sorted({n.data for n in workspace.nodes()}):
+            panel = load_panel(load, store.spark, sources)
+            panels["+".join(sources)] = panel.withColumn("history_id", F.lit(history_id(panel)))
+        out = object.__new__(cls)
+        out._set(workspace, panels, store, registry)
+        return out
 
     @classmethod
     def restored(cls, workspace: Workspace, store: Store, registry: FeatureRegistry | None = None) -> Study:
-        """A study over the history that its first stage kept; volume may be lacking there."""
+        """A study over the panels that its first stage kept; volume may be lacking there."""
         if not store.has(STAGES[0], "history"):
             raise RuntimeError("no history is kept: run measure")
-        panel = store.read(STAGES[0], "history")
+        names = store.kept_names(STAGES[0])
+        panels = {"": store.read(STAGES[0], "history")} | {k: store.read(STAGES[0], f"history-{k}") for k in names}
+        if names:
+            del panels[""]
         out = object.__new__(cls)
-        out.workspace, out.store, out.registry = workspace, store, registry or default_registry()
-        out.panel = check_panel(panel, tuple(c for c in panel.columns if c not in BARS), require_volume=False)
+        out._set(workspace, panels, store, registry, require_volume=False)
+        return out
+
+    def _panel_of(self, node: Node) -> str:
+        own = "+".join(node.data)
+        return own if own in self.panels else ""
+
+    def nodes_by_panel(self, nodes: list[Node] | None = None) -> dict[str, list[Node]]:
+        out: dict[str, list[Node]] = {}
+        for n in self.workspace.nodes() if nodes is None else nodes:
+            out.setdefault(self._panel_of(n), []).append(n)
         return out
 
     def _timed(self, stage: str, work: Callable[[], DataFrame]) -> DataFrame:
@@ -72,35 +121,17 @@ class Study:
         progress.finish()
         return out
 
-    def usable_nodes(self) -> tuple[list[Node], dict[str, str]]:
-        """Nodes that can be measured, and why the others cannot: one bad node does not stop the rest."""
-        good, bad = [], {}
-        declared = list(self.workspace.nodes())
-        progress = Progress("nodes", len(declared))
-        for n in declared:
-            try:
-                long_features(self.panel, [n], self.registry)
-                good.append(n)
-            except ValueError as e:
-                bad[n.id] = str(e)
-            progress.step()
-        if good:
-            seen = node_coverage(long_features(self.panel, good, self.registry), self.workspace.config.min_obs).collect()
-            few = {r.node_id: f"only {r.n_valid} values" for r in seen if not r.enough}
-            bad |= few
-            good = [n for n in good if n.id not in few]
-        for node_id, why in bad.items():
-            log.warning("node %s is left out: %s", node_id, why)
-        return good, bad
-
     def _inputs(self) -> dict:
-        return {"config": config_digest(self.workspace), "panel": content_digest(self.panel)}
+        return {"config": config_digest(self.workspace), "panel": self._panel_digest()}
+
+    def _panel_digest(self) -> str:
+        return "+".join(content_digest(p) for _, p in sorted(self.panels.items()))
 
     def _cache_key(self) -> dict:
-        return {"version": VERSION, "history": history_id(self.panel), "horizons": sorted(set(self.workspace.config.grid.horizons))}
+        return {"version": VERSION, "history": "+".join(history_id(p) for _, p in sorted(self.panels.items())), "horizons": sorted(set(self.workspace.config.grid.horizons))}
 
     def observed_excursions(self) -> DataFrame:
-        """The observed path's excursions: the kept ones if they are of this history, grid and version, else made and kept."""
+        """The observed paths' excursions: the kept ones if they are of these histories, grid and version, else made and kept."""
         key = self._cache_key()
         if self.store.manifest("cache").get("inputs") != key or not self.store.has("cache", "excursions"):
             self.store.write("cache", "excursions", excursions_wide(self.panel, tuple(key["horizons"])))
@@ -108,34 +139,114 @@ class Study:
         return self.store.read("cache", "excursions")
 
     def features(self) -> DataFrame:
-        """The kept feature values, one row per node and bar of the history; NULL where a bar has none."""
+        """The kept feature values, one row per node and bar of its history; NULL where a bar has none."""
         self._need(STAGES[0], self._inputs(), "measure")
         values = self.store.read(STAGES[0], "features")
-        names = sorted(r.node_id for r in values.select("node_id").distinct().collect())  # nodes are declared one by one
-        return on_history(self.panel, values, names)
+        of = values.select("history_id", "node_id").distinct().collect()  # nodes are declared one by one
+        parts = []
+        for history in sorted({r.history_id for r in of}):
+            names = sorted(r.node_id for r in of if r.history_id == history)
+            parts.append(on_history(self.panel.where(F.col("history_id") == history), values, names))
+        return reduce(DataFrame.unionByName, parts)
+
+    # ---- measure -----------------------------------------------------------------------------
+
+    def fingerprint(self, node: Node, panel_digest: str) -> str:
+        """What a node's measurement depends on."""
+        c = self.workspace.config
+        d = self.registry.get(node.feature)
+        plain = [asdict(node), d.version, d.core, asdict(c.grid), c.n_bins, c.min_obs, panel_digest, VERSION]
+        return hashlib.sha256(json.dumps(plain, sort_keys=True, default=str).encode()).hexdigest()
+
+    def _measure_some(self, nodes: list[Node], exc: DataFrame, baseline: DataFrame) -> dict[str, str]:
+        """Measures nodes of one panel into the store; returns why some of them have no measurement."""
+        panel, c = self.panels[self._panel_of(nodes[0])], self.workspace.config
+        values = kept_features(panel, nodes, self.registry)
+        few = {r.node_id: f"only {r.n_valid} values" for r in node_coverage(values, c.min_obs).collect() if not r.enough}
+        good = [n for n in nodes if n.id not in few]
+        if good:
+            values = values.where(F.col("node_id").isin([n.id for n in good]))
+            edges = quantile_edges(values, c.n_bins)
+            surface, _ = measure(panel, good, self.registry, c.grid, c.n_bins, features=values, edges=edges, excursions=exc, baseline=baseline)
+            self.store.add(STAGES[0], "features", values, ("node_id",))
+            self.store.add(STAGES[0], "edges", edges, ("node_id",))
+            self.store.add(STAGES[0], "surface", surface, ("node_id",))
+        return few
+
+    def _measure_or_say_why(self, nodes: list[Node], exc: DataFrame, baseline: DataFrame) -> dict[str, str]:
+        """As _measure_some; where it fails, each node is tried alone, so that one that fails costs only itself."""
+        try:
+            return self._measure_some(nodes, exc, baseline)
+        except Exception as e:  # noqa: BLE001  a plugin may raise anything, on the driver or in a task
+            if len(nodes) == 1:
+                return {nodes[0].id: str(e).strip().splitlines()[0][:300] if str(e).strip() else type(e).__name__}
+        return {k: v for n in nodes for k, v in self._measure_or_say_why([n], exc, baseline).items()}
 
     def measure(self) -> DataFrame:
+        """Surfaces of all nodes; only nodes whose fingerprint differs from the kept one are measured."""
+
         def work() -> DataFrame:
-            nodes, _ = self.usable_nodes()
-            if not nodes:
+            c, inputs, declared = self.workspace.config, self._inputs(), list(self.workspace.nodes())
+            before = self.store.manifest(STAGES[0])
+            same_panel = before.get("inputs", {}).get("panel") == inputs["panel"]
+            if not same_panel:  # a restored study reads what it would write
+                self._keep_history()
+            exc = self.observed_excursions()
+            baseline = self.store.write(STAGES[0], "baseline", baseline_rates(exc, c.grid))
+            digests = {k: content_digest(p) for k, p in self.panels.items()}
+            prints, bad = {}, {}
+            for n in declared:
+                try:
+                    prints[n.id] = self.fingerprint(n, digests[self._panel_of(n)])
+                except (ValueError, KeyError) as e:
+                    bad[n.id] = str(e)
+            kept = {k: v for k, v in before.get("nodes", {}).items() if prints.get(k) == v and same_panel and self.store.has(STAGES[0], "surface")}
+            for name in ("features", "edges", "surface"):
+                for gone in set(before.get("nodes", {})) - set(kept):
+                    self.store.remove_part(STAGES[0], name, "node_id", gone)
+            progress = Progress("measuring nodes", len(declared))
+            progress.reach(len(kept) + len(bad))
+            for nodes in self.nodes_by_panel([n for n in declared if n.id in prints and n.id not in kept]).values():
+                for batch in node_batches(nodes, self.registry):
+                    why = self._batch(batch, exc, baseline)
+                    bad |= why
+                    kept |= {n.id: prints[n.id] for n in batch if n.id not in why}
+                    # what is done is noted at once: a stage that is cut off goes on from here
+                    self.store.write_manifest(STAGES[0], {"panel": inputs["panel"]}, nodes=kept)
+                    progress.step(len(batch))
+            for node_id, why in bad.items():
+                log.warning("node %s is left out: %s", node_id, why)
+            if not kept:
                 raise ValueError("no node can be measured")
-            c = self.workspace.config
-            kept = self.store.has(STAGES[0], "history") and content_digest(self.store.read(STAGES[0], "history")) == content_digest(self.panel)
-            if not kept:  # a restored study reads what it would write
-                self.store.write(STAGES[0], "history", self.panel)
-            values = self.store.write(STAGES[0], "features", long_features(self.panel, nodes, self.registry))
-            surface, baseline = measure(self.panel, nodes, self.registry, c.grid, c.n_bins, features=values, excursions=self.observed_excursions())
-            self.store.write(STAGES[0], "baseline", baseline)
-            out = self.store.write(STAGES[0], "surface", surface)
+            out = self.store.read(STAGES[0], "surface")
+            self.store.write(STAGES[0], "bins", bin_table(self.store.read(STAGES[0], "edges"), declared))
             self.store.write(STAGES[0], "sheet", pivoted(out, "p", c.grid.horizons))
             self.store.write(STAGES[0], "sheet_counts", pivoted(out.withColumn("n", F.col("n_obs").cast("double")), "n", c.grid.horizons))
-            for node_id in (r.node_id for r in missing_nodes(list(self.workspace.nodes()), out).collect()):
-                log.warning("node %s is not measured", node_id)
-            self.store.write_manifest(STAGES[0], self._inputs())
+            for r in missing_nodes(declared, out).collect():
+                if r.node_id not in bad:
+                    log.warning("node %s is not measured", r.node_id)
+            self.store.write_manifest(STAGES[0], inputs, nodes=kept, left_out=bad)
             return out
 
         return self._timed("measure", work)
 
+    def _batch(self, batch: list[Node], exc: DataFrame, baseline: DataFrame) -> dict[str, str]:
+        """One batch as a job group of its own, so that its jobs are told apart while they run."""
+        context = self.store.spark.sparkContext
+        context.setLocalProperty("spark.job.description", f"measuring {', '.join(n.id for n in batch)}"[:200])
+        try:
+            return self._measure_or_say_why(batch, exc, baseline)
+        finally:
+            context.setLocalProperty("spark.job.description", None)
+
+    def _keep_history(self) -> None:
+        for k, panel in self.panels.items():
+            self.store.write(STAGES[0], f"history-{k}" if k else "history", panel)
+        if "" not in self.panels:
+            self.store.write(STAGES[0], "history", self.panel)
+
+    # ---- compare, validate, select -----------------------------------------------------------
+
     def compare(self, thin: bool = False) -> DataFrame:
         """Shifts from the baseline; ``thin`` keeps the shift alone, and ``shifts`` joins the rest on again."""
 
@@ -163,14 +274,21 @@ class Study:
         full = shift_surface(self.store.read(STAGES[0], "surface"), self.store.read(STAGES[0], "baseline"))
         return full.drop("shift").join(kept, list(KEYS))
 
+    def measured_nodes(self) -> list[Node]:
+        """Declared nodes that the first stage measured."""
+        kept = self.store.manifest(STAGES[0]).get("nodes", {})
+        return [n for n in self.workspace.nodes() if n.id in kept]
+
     def validate(self, n_replicates: int = N_REPLICATES, seed: int = SEED) -> DataFrame:
+        """Tests of all bins; simulated paths, excursions and scores that the store has are used again."""
+
         def work() -> DataFrame:
             self._need(STAGES[0], self._inputs(), "measure")
             self._need(STAGES[1], self._digests(STAGES[0], "surface", "baseline"), "compare")
             c = self.workspace.config
             inputs = {**self._inputs(), **self._digests(STAGES[1], "shift"), "n_replicates": n_replicates, "seed": seed}
-            nodes, _ = self.usable_nodes()
-            scores = path_scores(self.panel, nodes, self.registry, c.grid, c.n_bins, n_replicates, seed)
+            groups = [(self.panels[k], nodes) for k, nodes in self.nodes_by_panel(self.measured_nodes()).items()]
+            scores = Ensemble(self.store, seed).scores(groups, self.registry, c.grid, c.n_bins, n_replicates, Progress("validating blocks of replicates").reach)
             out = self.store.write(STAGES[2], "tests", monte_carlo(scores, n_replicates))
             self.store.write(STAGES[2], "null_histogram", null_histogram(out))
             self.store.write(STAGES[2], "null_markers", null_markers(out))
@@ -188,7 +306,9 @@ class Study:
             if not m or any(m.get(k) != v for k, v in now.items()):
                 raise RuntimeError("validation is missing or stale: run validate")
             before = self._digests(STAGES[2], "tests")
-            out = self.store.write(STAGES[3], "selected", selection(self.store.read(STAGES[2], "tests")))
+            chosen = selection(self.store.read(STAGES[2], "tests"))
+            labels = self.store.read(STAGES[0], "bins").select("node_id", "bin", "feature_label", "bin_label")
+            out = self.store.write(STAGES[3], "selected", chosen.join(labels, ["node_id", "bin"], "left"))
             self.store.write(STAGES[3], "heatmap", heatmap(self.shifts(), out, self.workspace.config.grid.horizons))
             histogram = self.store.read(STAGES[2], "null_histogram")
             self.store.write(STAGES[3], "null_histogram", selected_tests(histogram, out))
