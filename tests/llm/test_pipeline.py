@@ -128,6 +128,20 @@ def test_packing_stage(stages):
     assert max(cut.values()) <= 2048
 
 
+def test_windows_are_numbered_in_the_order_of_the_schedule(spark, stages):
+    """Whatever order the mixed files are read in: a partition's windows hold one range of slots, and ranges rise with sequence_id."""
+    before, after = stages[1]["packing"]
+    once = Counter(r.doc_id for r in before)
+    placed = mixing.mix(spark.createDataFrame(before).repartition(3), "s").collect()
+    slot = {r.doc_id: r.s.slot for r in placed if once[r.doc_id] == 1 and r.doc_id is not None}
+    parts = defaultdict(set)
+    for r in after:
+        if r.doc_id in slot:
+            parts[r.sequence_id >> 33].add(slot[r.doc_id])
+    ranges = [(min(v), max(v)) for _, v in sorted(parts.items())]
+    assert len(ranges) > 1 and all(a[1] < b[0] for a, b in zip(ranges, ranges[1:]))
+
+
 def test_run_is_its_stages(spark, stages):
     folder, out = stages
     got = corpus_pipeline.run(spark, folder)

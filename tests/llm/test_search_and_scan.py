@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from touchline.llm import licenses, search, whitening
+from touchline.llm import bloom, licenses, search, whitening
 
 # ---- whitening -----------------------------------------------------------------------------
 
@@ -53,6 +53,17 @@ def test_deviations_stay_exact():
     assert whitening.squared_length(whitening.scaled_deviations(small, 2, (8, 10))) == [8, 8]
 
 
+# ---- filter --------------------------------------------------------------------------------
+
+
+def test_a_filter_holds_all_of_its_ids(spark):
+    ids = np.random.default_rng(1).integers(-(2**63), 2**63, 5000)
+    words = bloom.build(spark.createDataFrame([(int(i),) for i in [*ids[:1000], *ids[:10]]] + [(None,)], "fp long").repartition(3), 1010)
+    assert len(words) == 256 and bloom.holds(words, ids[:1000]).all() and bloom.holds(words, ids[1000:]).mean() < 0.02
+    none = bloom.build(spark.createDataFrame([], "fp long"), 0)
+    assert not bloom.holds(none, ids).any() and bloom.holds(words, ids[:0]).shape == (0,)
+
+
 # ---- lexical search ------------------------------------------------------------------------
 
 

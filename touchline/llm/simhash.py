@@ -236,23 +236,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def one_of_each(docs: DataFrame, groups: Callable[[DataFrame], DataFrame] = near_duplicates, mark: Callable[[bytes], int] = fingerprint) -> DataFrame:
     """``docs`` with one row of each component of ``groups``: the one with its smallest doc_id; ``mark``: the fp of a text.
 
-    Where doc_ids are unique and not null that is one anti-join against the ids that go.
-    Rows that repeat a doc_id, or have none, cannot be told apart by it: then the whole
-    rows are reduced by a pre-aggregated minimum over (no id, doc_id, text).
+    Rows whose doc_id is unique and not null go by one anti-join against the ids that go.  Rows that repeat a
+    doc_id, or have none, cannot be told apart by it: they alone are reduced by a pre-aggregated
+    minimum over (no id, doc_id, text), unless a unique id is less than theirs in their component.
     """
     found = materialise(groups(docs), "near")
-    repeated = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null")
-    if repeated.isEmpty():
-        gone = found.where("doc_id <> component_id").select("doc_id")
-        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    kinds = found.select("doc_id", "fp", "component_id").distinct()
+    repeated = materialise(found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated")
+    gone = found.where("doc_id <> component_id").select("doc_id")
+    plain = docs.where(F.col("doc_id").isNotNull()).join(gone.unionByName(repeated), "doc_id", "left_anti").select(*docs.columns)
+    odd_found = found.where("doc_id is null").unionByName(found.join(repeated, "doc_id", "left_semi"))
+    if odd_found.isEmpty():
+        return plain
+    # the least id of a component that has a unique one less than all repeated ones
+    led = odd_found.select("component_id").where("component_id is not null").distinct().join(repeated.withColumnRenamed("doc_id", "component_id"), "component_id", "left_anti")
+    kinds = odd_found.select("doc_id", "fp", "component_id").distinct().join(led, "component_id", "left_anti")
     own = unused(docs, "fp")
-    marked = docs.mapInArrow(_with_fingerprint(own, mark), docs.select("*", F.lit(0).cast("long").alias(own)).schema)
+    odd = docs.where(F.col("doc_id").isNull()).unionByName(docs.join(repeated, "doc_id", "left_semi").select(*docs.columns))
+    marked = odd.mapInArrow(_with_fingerprint(own, mark), docs.select("*", F.lit(0).cast("long").alias(own)).schema)
     marked = marked.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(own).alias("fp"))
     joined = marked.alias("d").join(kinds.alias("k"), F.col("d.row.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d.fp") == F.col("k.fp")))
     order = F.struct(F.col("d.row.doc_id").isNull(), F.col("d.row.doc_id"), F.col("d.row.text").isNull(), F.col("d.row.text"))
     group = F.coalesce(F.col("k.component_id").cast("string"), F.concat(F.lit("fp"), F.col("k.fp").cast("string")))
-    return joined.groupBy(group.alias("g")).agg(F.min_by("d.row", order).alias("row")).select("row.*")
+    one = joined.groupBy(group.alias("g")).agg(F.min_by("d.row", order).alias("row")).select("row.*")
+    return plain.unionByName(one)
 
 
 def _with_fingerprint(own: str, mark: Callable[[bytes], int]):
