@@ -80,6 +80,24 @@ def test_media_empty_table(none):
     assert media.wav_features(none).collect() == []
 
 
+def test_long_payloads_in_blocks(monkeypatch):
+    """Blocks of frames change nothing, and a long text takes memory in proportion."""
+    import tracemalloc
+
+    data = np.random.default_rng(2).integers(32, 127, 300_000).astype(np.uint8).tobytes()
+    whole = media.peak_pairs(media.spectrogram(data))
+    monkeypatch.setattr(media, "BLOCK", 50)
+    for a, b in zip(whole, media.peak_pairs(media.spectrogram(data))):
+        assert np.array_equal(a, b)
+    monkeypatch.undo()
+    long = data * 40
+    tracemalloc.start()
+    codes, times, n = media.peak_pairs(media.spectrogram(long))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n > 1000 and len(codes) == len(times) and peak < 12 * len(long)
+
+
 # ---- quality -------------------------------------------------------------------------------
 
 

@@ -7,7 +7,8 @@ step) and stored in two parallel arrays, ``codes`` and ``times``.
 
 Defined cases: a null text counts as empty; an empty payload becomes 64 zero bytes;
 repeated rows give repeated results; an empty table gives an empty table; any further
-columns of the input are left out, so names cannot clash.
+columns of the input are left out, so names cannot clash.  A text of any length is transformed
+whole, in blocks of frames: some five bytes of memory a byte of text.
 """
 
 from __future__ import annotations
@@ -63,15 +64,17 @@ def padded(text: bytes) -> bytes:
 
 def spectrogram(samples: bytes) -> np.ndarray:
     """Quantised log2 magnitudes, frames by WINDOW // 2 bins (the constant bin is left out)."""
-    x = np.frombuffer(samples, np.uint8).astype(np.float32) - 128.0
-    n = max(1, 1 + -(-(len(x) - WINDOW) // HOP))
-    x = np.pad(x, (0, max(0, (n - 1) * HOP + WINDOW - len(x))))
-    frames = np.lib.stride_tricks.sliding_window_view(x, WINDOW)[::HOP][:n]
+    raw = np.frombuffer(samples, np.uint8)
+    n = max(1, 1 + -(-(len(raw) - WINDOW) // HOP))
     shape = np.hanning(WINDOW).astype(np.float32)
     out = np.empty((n, WINDOW // 2), np.int16)
     for at in range(0, n, BLOCK):
-        power = np.abs(np.fft.rfft(frames[at : at + BLOCK] * shape, axis=1)[:, 1:])
-        out[at : at + BLOCK] = np.rint(np.log2(power + 1.0) * LEVELS)
+        m = min(BLOCK, n - at)
+        x = raw[at * HOP : (at + m - 1) * HOP + WINDOW].astype(np.float32) - np.float32(128.0)
+        x = np.pad(x, (0, (m - 1) * HOP + WINDOW - len(x)))
+        frames = np.lib.stride_tricks.sliding_window_view(x, WINDOW)[::HOP]
+        power = np.abs(np.fft.rfft(frames * shape, axis=1)[:, 1:])
+        out[at : at + m] = np.rint(np.log2(power + 1.0) * LEVELS)
     return out
 
 
@@ -94,8 +97,15 @@ def peak_pairs(levels: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     neighbours all are peaks.  Peak i is paired with peaks i+1 .. i+FAN_OUT in (time,
     frequency) order if they are at most TIME_SPAN frames later.
     """
-    near = _spread(_spread(levels, FREQ_NEAR, 1), TIME_NEAR, 0)
-    t, f = np.nonzero((levels == near) & (levels > levels.mean()))
+    mean, found = levels.mean(), []
+    for at in range(0, len(levels), BLOCK):  # with the frames that a block's peaks are held against
+        low = max(0, at - TIME_NEAR)
+        part = levels[low : at + BLOCK + TIME_NEAR]
+        near = _spread(_spread(part, FREQ_NEAR, 1), TIME_NEAR, 0)
+        here = slice(at - low, at - low + min(BLOCK, len(levels) - at))
+        rows, bins = np.nonzero((part[here] == near[here]) & (part[here] > mean))
+        found.append((rows + at, bins))
+    t, f = (np.concatenate(x) for x in zip(*found))
     codes, times = [], []
     for k in range(1, FAN_OUT + 1):
         dt = t[k:] - t[:-k]
