@@ -16,8 +16,9 @@ Keys are (doc_id, occurrence): rows that repeat a doc_id count from 0 within a s
 shard << 40 in the rare case that one doc_id fills more than one shard.
 
 Every file is written under another name and then moved, so a task that is run again, or
-twice, leaves one whole file.  Shards are ranges of doc_id, one per input split, between
-quantiles of a sample of BOUND_SAMPLE ids a shard; an id so frequent that it spans several quantiles is
+twice, leaves one whole file.  Shards are ranges of doc_id, one per input split but MAX_SHARDS at most, between
+quantiles of a sample of BOUND_SAMPLE ids a shard, so what the driver gets and every task is sent is bounded
+(2 million sampled ids, 65,535 bounds); an id so frequent that it spans several quantiles is
 dealt over all the shards between them, which keeps the order and bounds a shard.
 
 Defined cases: a null text is empty and stores its end id alone; null doc_ids are keys
@@ -46,6 +47,7 @@ MAGIC_SHARD, MAGIC_INDEX = b"TLTOKEN1", b"TLINDEX1"
 HEADER = 16
 GAMMA = 2.0  # bits per key and level of the hash function
 KEYS_PER_INDEX = 1 << 17
+MAX_SHARDS = 1 << 16  # beyond, shards grow: 1.5 GB of text each at 100 TB, written as a stream
 BOUND_SAMPLE = 30  # sampled ids a shard, for the bounds of shards
 NULL_ID = -(1 << 63)  # where null ids sort
 SLICE, SLICE_BYTES = 2048, 64 << 20  # documents, and bytes of their texts, encoded at once: more repeats of a piece per look-up
@@ -312,7 +314,7 @@ def write_token_store(docs: DataFrame, folder: str, path: str | None = None, end
     path = path or default_path("word_bpe_49k.json")
     width = 2 if max(encoder(path).vocab_size - 1, end_id) < 1 << 16 else 4
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("sort_id"))
-    n_shards = max(1, rows.rdd.getNumPartitions())
+    n_shards = min(MAX_SHARDS, max(1, rows.rdd.getNumPartitions()))
     n_docs = rows.count()
     bounds = shard_bounds(rows, n_docs, n_shards)
     n_index = -(-n_docs // KEYS_PER_INDEX)
@@ -323,7 +325,7 @@ def write_token_store(docs: DataFrame, folder: str, path: str | None = None, end
     dealt = coded.repartitionById(n_shards, F.col("shard")).sortWithinPartitions("sort_id", "doc_id", "payload")
     directory = dealt.mapInArrow(_write_shard(folder, width, max(1, n_index)), "shard int, doc_id long, occurrence long, offset long, length long, part int")
     directory = materialise(directory, "directory")
-    totals = dict(directory.groupBy("shard").agg(F.sum("length")).collect())  # one row per input split
+    totals = dict(directory.groupBy("shard").agg(F.sum("length")).collect())  # one row a shard
     starts = np.concatenate([[0], np.cumsum([totals.get(s, 0) for s in range(n_shards)])])
     manifest["starts"] = [int(x) for x in starts[:-1]]
     if n_index:
