@@ -48,7 +48,8 @@ def component_labels(edges: DataFrame) -> DataFrame:
     its longest chain.  The loop ends when no edge is left.  The rounds' tables, which shrink
     geometrically, are then read back from the last to the first.  Each carries the smallest node below
     a representative, so no further pass is needed for it.  Firsts and minima are
-    pre-aggregated, and joins have one row per key on one side, so a hub does not meet in one task.
+    pre-aggregated; joins have one row per key on one side, so where a hub's edges fill a partition
+the adaptive plan splits it (spark.sql.adaptive.skewJoin, on by default).
     """
 
     def as_stars(df: DataFrame) -> DataFrame:
