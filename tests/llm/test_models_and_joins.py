@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from xxhash import xxh64_intdigest
 
@@ -533,13 +534,36 @@ def test_changed_rows_are_refused(spark, tmp_path):
     totals = object.__new__(lm_scoring.Totals)
     totals.rows = {}
     for k in range(3):
-        keys, _, _ = chunk.in_buckets(k, 1)
+        keys, _, buckets, firsts = chunk.in_buckets(k, 1)
+        assert buckets.tolist() == [0] and firsts.tolist() == [0]
         totals.rows[0, k] = [(0, len(keys), lm_scoring._checksum(keys), lm_scoring.packed(np.ones(len(keys), np.int64)))]
     assert totals.of(0, chunk, 1, 4, 1).c1.tolist() == [1] * 7
     with pytest.raises(ValueError, match="changed"):
         totals.of(0, other, 1, 4, 1)
 
 
+@pytest.mark.parametrize("bits", [20, 32, 47, 64])
+def test_buckets_are_ranges_of_hashes(bits):
+    keys = np.unique(np.random.default_rng(bits).integers(0, 2**63, 5000, dtype=np.uint64) << np.uint64(1) >> np.uint64(64 - bits))
+    for n in (1, 7, 1000, 2**31):
+        got = lm_scoring.bucket_of(keys, bits, n).astype(int)
+        assert (np.diff(got) >= 0).all() and got[0] >= 0 and got[-1] < n
+        assert n > 1000 or abs(np.bincount(got, minlength=n).max() * n / len(keys) - 1) < (0.5 if n < 10 else 5)
+
+
+def test_exchanged_rows_are_linear(spark, sf_dir):
+    """With many buckets a row holds one n-gram, and there are never more rows than n-grams of the chunks."""
+    rows = [(r.doc_id, False, (r.text or "").encode()) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").limit(40).collect()]
+    batch = pa.record_batch([pa.array([r[0] for r in rows]), pa.array([False] * len(rows)), pa.array([r[2] for r in rows]).cast(pa.string())], names=["doc_id", "held_out", "text"])
+    distinct = sum(len(lm_scoring.Chunk(rows, 50).in_buckets(k, 1)[0]) for k in range(3))
+    counts = []
+    for n in (1, 8, 64, 2**31):
+        got = [(r, m) for number, chunk in lm_scoring._chunks(iter([batch]), 50) for k in range(3) for r, m in zip(chunk.in_buckets(k, n)[2], np.diff(np.append(chunk.in_buckets(k, n)[3], len(chunk.in_buckets(k, n)[0]))))]
+        assert sum(m for _, m in got) == distinct
+        counts.append(len(got))
+    assert counts[:3] == [3, 24, 192] and 0.99 * distinct < counts[3] <= distinct
+
+
 @pytest.mark.parametrize("values", [[], [0], [5, 2**63, 2**64 - 1, 0], list(range(1000))])
 def test_packed_numbers(values):
     a = np.array(values, np.uint64)
