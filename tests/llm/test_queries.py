@@ -337,10 +337,10 @@ def test_op13(spark, tables):
             at = [i for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split()]
             places += at
             base |= {label} if at else set()
-        for start in range(0, max(1, len(words)), licenses.STEP):
-            block = set(words[start : start + licenses.BLOCK])
-            for label, text in licenses.TEMPLATES:
-                share = len(block & set(text.split())) / len(set(text.split()))
+        for label, text in licenses.TEMPLATES:
+            size, step = (16, 8) if len(text.split()) <= 9 else (64, 32)
+            for start in range(0, max(1, len(words)), step):
+                share = len(set(words[start : start + size]) & set(text.split())) / len(set(text.split()))
                 if share >= licenses.THRESHOLD:
                     best, own = max(best, share), own | {label}
         want[d, len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(base | own)), 1.0 if places else best] += 1

@@ -1,8 +1,9 @@
 """License scans: an exact set-similarity join of text blocks with notice templates, in DataFrame operations only.
 
-A text's blocks are windows of BLOCK words, STEP apart, so that any run of up to BLOCK - STEP + 1 words is
-whole in one of them.  A block holds a template if it has at least the share THRESHOLD of the
-template's distinct words (containment).  The join finds every such pair:
+A text's blocks are windows of words of two sizes, SIZES, that overlap so that any run of up to 9, or 33, words is whole in
+one of them.  A template is held against blocks of the least size that it fits in, so that words from
+all over a text do not add up to a short one.  A block holds a template if it has at least the share THRESHOLD of
+the template's distinct words (containment).  The join finds every such pair:
 
 1. global order: the templates' words are numbered from the rarest up, by the number of documents that
    hold them.  Other words take no part in any overlap, so a block is the sorted set of
@@ -32,6 +33,7 @@ from __future__ import annotations
 
 import math
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,7 +42,7 @@ from .store import materialise, read_columns
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-BLOCK, STEP = 64, 32  # words of a block, and between the starts of two
+SIZES = ((16, 8), (64, 32))  # words of a block, and between the starts of two
 THRESHOLD = 0.9
 MAX_WORDS = 20_000  # of all templates together
 BITS = 63  # labels of one mask
@@ -81,12 +83,24 @@ def need(n_words: int, threshold: float) -> int:
     return max(1, math.ceil(round(threshold * n_words, 9)))
 
 
-def template_sets(templates: tuple[tuple[str, str], ...]) -> list[tuple[str, list[str]]]:
-    """Each template's label and distinct words; refuses more words than can be broadcast."""
-    out = [(label, sorted(set(text.split()))) for label, text in templates]
-    if any(not words for _, words in out) or sum(len(words) for _, words in out) > MAX_WORDS:
+class Template(NamedTuple):
+    """A notice: its label, its distinct words, and which size of blocks it is held against."""
+
+    label: str
+    words: list[str]
+    size: int
+
+
+def template_sets(templates: tuple[tuple[str, str], ...]) -> list[Template]:
+    """The templates' words; refuses more of them than can be broadcast, and longer runs than blocks hold whole."""
+    cut = [(label, text.split()) for label, text in templates]
+    if any(not words for _, words in cut) or sum(len(words) for _, words in cut) > MAX_WORDS:
         raise ValueError(f"templates need words, and have at most {MAX_WORDS} together")
-    return out
+    fits = lambda n: [k for k, (block, step) in enumerate(SIZES) if n <= block - step + 1]
+    long = [label for label, words in cut if not fits(len(words))]
+    if long:
+        raise ValueError(f"templates are sentences of at most {SIZES[-1][0] - SIZES[-1][1] + 1} words: {', '.join(long)}")
+    return [Template(label, sorted(set(words)), fits(len(words))[0]) for label, words in cut]
 
 
 def lowered(text: Column) -> Column:
@@ -94,9 +108,9 @@ def lowered(text: Column) -> Column:
     return F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit("\u212a"), F.lit("\u0138")))
 
 
-def vocabulary_of(sets: list[tuple[str, list[str]]]) -> list[str]:
+def vocabulary_of(sets: list[Template]) -> list[str]:
     """The templates' words; short ones, which are frequent, are found first."""
-    return sorted({w for _, own in sets for w in own}, key=lambda w: (len(w), w))
+    return sorted({w for t in sets for w in t.words}, key=lambda w: (len(w), w))
 
 
 def numbered(docs: DataFrame, vocabulary: list[str], phrases: dict[str, str], id_col: str, text_col: str) -> DataFrame:
@@ -135,60 +149,66 @@ def _present(column: Column) -> Column:
     return F.filter(column, lambda x: x.isNotNull())
 
 
-def block_sets(ranks: list[int], least: int, prefixes: list[int]) -> Column:
-    """(block, own) of each window of ``numbers``: own is the sorted set of its words' ranks, windows with fewer than ``least`` are left out.
+def block_sets(ranks: list[int], least: dict[int, int], prefixes: list[int]) -> Column:
+    """(size, block, own) of each window of ``numbers``: own is the sorted set of its words' ranks; sizes go by ``least``.
 
-    So are all windows of a text that holds no word of a template's prefix.
+    Windows with fewer than ``least`` words of templates are left out, and so are all windows of a text that
+    holds no word of a template's prefix.
     """
     of = F.array(*map(F.lit, ranks))
-    last = F.greatest(F.lit(0), F.ceil((F.col("n_words") - BLOCK) / STEP).cast("int"))
-    numbers = lambda b: F.array_distinct(_present(F.slice("numbers", b * STEP + 1, F.lit(BLOCK))))
-    window = lambda b: F.sort_array(F.transform(numbers(b), lambda k: F.get(of, k)))
-    sets = F.filter(F.transform(F.sequence(F.lit(0), last), lambda b: F.struct(b.alias("block"), window(b).alias("own"))), lambda x: F.size(x["own"]) >= least)
+
+    def windows(size: int) -> Column:
+        block, step = SIZES[size]
+        last = F.greatest(F.lit(0), F.ceil((F.col("n_words") - block) / step).cast("int"))
+        numbers = lambda b: F.array_distinct(_present(F.slice("numbers", b * step + 1, F.lit(block))))
+        one = lambda b: F.struct(F.lit(size).alias("size"), b.alias("block"), F.sort_array(F.transform(numbers(b), lambda k: F.get(of, k))).alias("own"))
+        return F.filter(F.transform(F.sequence(F.lit(0), last), one), lambda x: F.size(x["own"]) >= least[size])
+
     rare = F.array(*[F.lit(k) for k, rank in enumerate(ranks) if rank in prefixes])
-    return F.when((F.size("seen") >= least) & F.arrays_overlap(F.col("seen"), rare), sets)
+    return F.when((F.size("seen") >= min(least.values())) & F.arrays_overlap(F.col("seen"), rare), F.concat(*map(windows, least)))
 
 
-def _prefixes(sets: list[tuple[str, list[str]]], vocabulary: list[str], ranks: list[int], threshold: float) -> list[tuple[int, int, int, list[int], int]]:
-    """(rank, place, template, ranks of the template, need) for each word of each template's prefix."""
+def _prefixes(sets: list[Template], vocabulary: list[str], ranks: list[int], threshold: float) -> list[tuple[int, int, int, int, list[int], int]]:
+    """(size, rank, place, template, ranks of the template, need) for each word of each template's prefix."""
     of, out = dict(zip(vocabulary, ranks)), []
-    for t, (_, words) in enumerate(sets):
-        tokens, least = sorted(of[w] for w in words), need(len(words), threshold)
-        out += [(rank, i, t, tokens, least) for i, rank in enumerate(tokens[: len(tokens) - least + 1])]
+    for t, template in enumerate(sets):
+        tokens, least = sorted(of[w] for w in template.words), need(len(template.words), threshold)
+        out += [(template.size, rank, i, t, tokens, least) for i, rank in enumerate(tokens[: len(tokens) - least + 1])]
     return out
 
 
-def _index(spark: SparkSession, prefixes: list[tuple[int, int, int, list[int], int]]) -> DataFrame:
-    """The prefixes as a table: __rank, __i, template, __tokens, __need."""
+def _index(spark: SparkSession, prefixes: list[tuple[int, int, int, int, list[int], int]]) -> DataFrame:
+    """The prefixes as a table: __of, __rank, __i, template, __tokens, __need."""
     rows = [
-        F.struct(F.lit(rank).alias("__rank"), F.lit(i).alias("__i"), F.lit(t).alias("template"), F.array(*map(F.lit, tokens)).alias("__tokens"), F.lit(least).alias("__need"))
-        for rank, i, t, tokens, least in prefixes
+        F.struct(F.lit(size).alias("__of"), F.lit(rank).alias("__rank"), F.lit(i).alias("__i"), F.lit(t).alias("template"), F.array(*map(F.lit, tokens)).alias("__tokens"), F.lit(least).alias("__need"))
+        for size, rank, i, t, tokens, least in prefixes
     ]
     return spark.range(0, 1, 1, 1).select(F.inline(F.array(*rows)))
 
 
-def block_matches(rows: DataFrame, keep: list[str], sets: list[tuple[str, list[str]]], vocabulary: list[str], threshold: float) -> DataFrame:
-    """All pairs of blocks of ``numbered`` rows and templates: the columns ``keep``, block, template (its place), overlap, containment.
+def block_matches(rows: DataFrame, keep: list[str], sets: list[Template], vocabulary: list[str], threshold: float) -> DataFrame:
+    """All pairs of blocks of ``numbered`` rows and templates: the columns ``keep``, size, block, template (its place), overlap, containment.
 
     A text without any pair has a row (or several) whose template is NULL.
     """
     ranks = word_ranks(rows, vocabulary)
-    least = min(need(len(own), threshold) for _, own in sets)
+    least = {size: min(need(len(t.words), threshold) for t in sets if t.size == size) for size in sorted({t.size for t in sets})}
     prefixes = _prefixes(sets, vocabulary, ranks, threshold)
-    blocks = block_sets(ranks, least, sorted({p[0] for p in prefixes}))
-    rows = rows.select(*keep, F.explode_outer(blocks).alias("__b")).select(*keep, F.col("__b.block").alias("block"), F.col("__b.own").alias("__own"))
-    prefix = F.slice("__own", F.lit(1), F.size("__own") - (least - 1))
-    rows = rows.select(*keep, "block", "__own", F.posexplode_outer(prefix).alias("__j", "__number"))
+    blocks = block_sets(ranks, least, sorted({p[1] for p in prefixes}))
+    rows = rows.select(*keep, F.explode_outer(blocks).alias("__b")).select(*keep, "__b.size", "__b.block", F.col("__b.own").alias("__own"))
+    at_least = F.get(F.array(*[F.lit(least.get(k, 1)) for k in range(len(SIZES))]), F.col("size"))
+    prefix = F.slice("__own", F.lit(1), F.size("__own") - (at_least - 1))
+    rows = rows.select(*keep, "size", "block", "__own", F.posexplode_outer(prefix).alias("__j", "__number"))
     index = F.broadcast(_index(rows.sparkSession, prefixes))  # its size is checked in template_sets
     common = F.array_intersect(F.col("__own"), F.col("__tokens"))
     reach = F.least(F.size("__tokens") - F.col("__i"), F.size("__own") - F.col("__j"))  # the overlap is no more than this
-    meets = (F.col("__number") == F.col("__rank")) & (F.size("__own") >= F.col("__need")) & (reach >= F.col("__need"))
+    meets = (F.col("size") == F.col("__of")) & (F.col("__number") == F.col("__rank")) & (F.size("__own") >= F.col("__need")) & (reach >= F.col("__need"))
     found = rows.join(index, meets & (F.size(common) >= F.col("__need")) & (F.get(common, F.lit(0)) == F.col("__rank")), "left")
     overlap = F.when(F.col("template").isNotNull(), F.size(common))
-    return found.select(*keep, "block", "template", overlap.alias("overlap"), (overlap / F.size("__tokens")).alias("containment"))
+    return found.select(*keep, "size", "block", "template", overlap.alias("overlap"), (overlap / F.size("__tokens")).alias("containment"))
 
 
-def _checked(templates: tuple[tuple[str, str], ...], threshold: float) -> tuple[list[tuple[str, list[str]]], list[str]]:
+def _checked(templates: tuple[tuple[str, str], ...], threshold: float) -> tuple[list[Template], list[str]]:
     if not 0 < threshold <= 1:
         raise ValueError("the threshold is a share above 0")
     sets = template_sets(templates)
@@ -196,11 +216,12 @@ def _checked(templates: tuple[tuple[str, str], ...], threshold: float) -> tuple[
 
 
 def license_blocks(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, block, first_word, label, template, overlap, containment) of every block that holds a template; words count from 0."""
+    """(doc_id, first_word, n_words, label, template, overlap, containment) of every block that holds a template; words count from 0."""
     sets, vocabulary = _checked(templates, threshold)
     pairs = block_matches(numbered(docs, vocabulary, PHRASES, id_col, text_col), ["doc_id"], sets, vocabulary, threshold).where("template is not null")
     label = F.get(F.array(*[F.lit(name) for name, _ in templates]), F.col("template"))
-    return pairs.select("doc_id", "block", (F.col("block") * STEP).alias("first_word"), label.alias("label"), "template", "overlap", "containment")
+    block, step = (F.get(F.array(*[F.lit(size[k]) for size in SIZES]), F.col("size")) for k in (0, 1))
+    return pairs.select("doc_id", (F.col("block") * step).alias("first_word"), block.alias("n_words"), label.alias("label"), "template", "overlap", "containment")
 
 
 def license_labels(

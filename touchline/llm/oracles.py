@@ -111,18 +111,21 @@ _PHRASES = " UNION ALL ".join(
     f"SELECT r, i - 1 AS i, '{label}' AS label FROM (SELECT r, ws, unnest(range(1, len(ws) + 1)) AS i FROM d) WHERE ws[i] = '{phrase.split()[0]}' AND list_slice(ws, i, i + {len(phrase.split()) - 1}) = {_texts(phrase.split())}"
     for phrase, label in licenses.PHRASES.items()
 )
-_TEMPLATES = ", ".join(f"('{label}', {_texts(words)}, {licenses.need(len(words), licenses.THRESHOLD)})" for label, words in licenses.template_sets(licenses.TEMPLATES))
+_TEMPLATES = ", ".join(f"('{t.label}', {_texts(t.words)}, {licenses.need(len(t.words), licenses.THRESHOLD)}, {t.size})" for t in licenses.template_sets(licenses.TEMPLATES))
+_STARTS = " UNION ALL ".join(
+    f"SELECT r, ws, {k} AS size, {block} AS n, unnest(range(0, greatest(0, ceil((len(ws) - {block}) / {step}))::BIGINT + 1)) * {step} AS s FROM d" for k, (block, step) in enumerate(licenses.SIZES)
+)
 
 #: Every block of every text is held against every template.
 OP13 = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_cut("text", licenses.WORD)} AS ws FROM documents),
 phrases AS ({_PHRASES}),
 base AS (SELECT r, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM phrases GROUP BY r),
-starts AS (SELECT r, ws, unnest(range(0, greatest(0, ceil((len(ws) - {licenses.BLOCK}) / {licenses.STEP}))::BIGINT + 1)) * {licenses.STEP} AS s FROM d),
-blocks AS (SELECT r, list_distinct(list_slice(ws, s + 1, s + {licenses.BLOCK})) AS b FROM starts),
-templates(label, words, least) AS (VALUES {_TEMPLATES}),
-shared AS (SELECT r, label, len(list_filter(words, lambda w: list_contains(b, w))) AS n, len(words) AS size, least FROM blocks, templates),
-found AS (SELECT r, label, n / size AS containment FROM shared WHERE n >= least),
+starts AS ({_STARTS}),
+blocks AS (SELECT r, size, list_distinct(list_slice(ws, s + 1, s + n)) AS b FROM starts),
+templates(label, words, least, size) AS (VALUES {_TEMPLATES}),
+shared AS (SELECT r, label, len(list_filter(words, lambda w: list_contains(b, w))) AS n, len(words) AS m, least FROM blocks JOIN templates USING (size)),
+found AS (SELECT r, label, n / m AS containment FROM shared WHERE n >= least),
 best AS (SELECT r, max(containment) AS best FROM found GROUP BY r),
 named AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM found UNION ALL SELECT r, label FROM phrases) GROUP BY r)
 SELECT doc_id, len(ws) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
