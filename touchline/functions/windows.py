@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 BY = ("history_id", "rep_id")
 CHUNK = 1024
-RADIX = 16
-MOST_CHUNKS = RADIX**4  # of one path whose exponential average is taken
+RADIX = 4
+MOST_CHUNKS = RADIX**8  # of one path whose exponential average is taken
 _CHUNK, _OWN = "__chunk", "__own"
 
 

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from collections import defaultdict
 from collections.abc import Callable
 from dataclasses import asdict
@@ -45,28 +46,34 @@ class Ensemble:
     def __init__(self, store: Store, seed: int = SEED):
         self.store, self.seed, self.spark = store, seed, store.spark
 
-    def _done(self, *key: object) -> str:
-        return f"{_digest(VERSION, METHOD, self.seed, *key)}.json"
+    def _key(self, what: str, unit: Unit, *key: str) -> str:
+        return _digest(VERSION, METHOD, self.seed, what, *unit, *key)
 
-    def _lacking(self, what: str, units: list[Unit], *key: object) -> list[Unit]:
-        have = set(self.store.files.names("ensemble/done"))
-        return [u for u in units if self._done(what, *u, *key) not in have]
+    def _kept_keys(self) -> set[str]:
+        """What has been noted: a file for each step of work."""
+        names = [n for n in self.store.files.names("ensemble/done") if n.endswith(".json")]  # others are being written
+        return {k for n in names for k in json.loads(self.store.files.read(f"ensemble/done/{n}") or "[]")}
 
-    def _note(self, what: str, units: list[Unit], *key: object) -> None:
-        for u in units:
-            self.store.files.write(f"ensemble/done/{self._done(what, *u, *key)}", json.dumps([what, *u, *map(str, key)]))
+    def _lacking(self, what: str, units: list[Unit], *key: str, have: set[str] | None = None) -> list[Unit]:
+        have = self._kept_keys() if have is None else have
+        return [u for u in units if self._key(what, u, *key) not in have]
+
+    def _note(self, what: str, units: list[Unit], *keys: str) -> None:
+        """Notes that ``units`` are done, for each of ``keys`` if there are any."""
+        done = [self._key(what, u, *key) for u in units for key in ([(k,) for k in keys] or [()])]
+        self.store.files.write(f"ensemble/done/{uuid.uuid4().hex}.json", json.dumps(done))
 
     def _units(self, units: list[Unit]) -> DataFrame:
         """(history_id, block): as many rows as blocks."""
         return self.spark.createDataFrame(units, "history_id string, block int")
 
-    def _kept(self, name: str, units: list[Unit], **also: str) -> DataFrame:
+    def _kept(self, name: str, units: list[Unit], **also: list[str]) -> DataFrame:
+        """Rows of some blocks, of the given grids or tests."""
         rows = self.store.read("ensemble", name).where(F.col("seed") == self.seed)
-        for column, value in also.items():
-            rows = rows.where(F.col(column) == value)
-        blocks = sorted({b for _, b in units})
-        rows = rows.where(F.col("block").isin(blocks) & F.col("history_id").isin(sorted({h for h, _ in units})))  # only these folders are read
-        return rows.join(self._units(units), ["history_id", "block"], "left_semi").drop("seed", "block", *also)
+        for column, values in also.items():
+            rows = rows.where(F.col(column).isin(values))
+        rows = rows.where(F.col("block").isin(sorted({b for _, b in units})) & F.col("history_id").isin(sorted({h for h, _ in units})))  # only these folders are read
+        return rows.join(self._units(units), ["history_id", "block"], "left_semi").drop("seed", "block")
 
     def _add(self, name: str, rows: DataFrame, *by: str) -> None:
         block = F.when(F.col("rep_id") == 0, F.lit(OBSERVED)).otherwise(F.expr(f"(rep_id - 1) div {BLOCK_REPS}").cast("int"))
@@ -118,15 +125,14 @@ class Ensemble:
         content share their ensemble.  ``step`` hears how many of the blocks that lacked are done.
         """
         every = [OBSERVED, *range(blocks(n_replicates))]
-        names, lacking, base, panels = [], defaultdict(list), {}, {}
+        names, lacking, base, have = [], defaultdict(list), {}, self._kept_keys()
         for k, (panel, nodes) in enumerate(groups):
             (history,) = histories(panel)
             base.setdefault(history, panel.select(*PANEL))
-            panels[history, k] = panel
             test_of = self.tests(panel, nodes, registry, grid, n_bins)
             names += [(history, test_of[n.id], n.id) for n in nodes]
             for n in nodes:
-                for u in self._lacking("scores", [(history, b) for b in every], test_of[n.id]):
+                for u in self._lacking("scores", [(history, b) for b in every], test_of[n.id], have=have):
                     lacking[u, k].append((n, test_of[n.id]))
         # blocks of one group of nodes that lack the same tests are one step of work
         alike = defaultdict(list)
@@ -142,7 +148,7 @@ class Ensemble:
                 step(done, total)
         wanted = self.spark.createDataFrame(sorted(set(names)), "history_id string, test string, node_id string")
         units = sorted({(h, b) for h, _, _ in names for b in every})
-        rows = self._kept("scores", units).where(F.col("rep_id") <= n_replicates)
+        rows = self._kept("scores", units, test=sorted({t for _, t, _ in names})).where(F.col("rep_id") <= n_replicates)
         return rows.join(wanted, ["history_id", "test"]).select("history_id", "rep_id", "node_id", "bin", "score", "supported")
 
     def _score(self, panel: DataFrame, bars: DataFrame, units: list[Unit], own: list[tuple[Node, str]], registry: FeatureRegistry, grid: Grid, n_bins: int) -> None:
@@ -151,13 +157,12 @@ class Ensemble:
         self._measure(bars, units, grid.horizons)
         simulated = [u for u in units if u[1] != OBSERVED]
         paths = self._kept("paths", simulated).select(*PANEL) if simulated else None
-        exc = self._kept("excursions", units, grid=_digest("-".join(map(str, sorted(set(grid.horizons))))))
+        exc = self._kept("excursions", units, grid=[_digest("-".join(map(str, sorted(set(grid.horizons)))))]).drop("grid")
         of = self.spark.createDataFrame(sorted({(n.id, t) for n, t in own}), "node_id string, test string")
         found = block_scores(panel, paths, [n for n, _ in own], registry, grid, n_bins, exc)
         rows = found.join(of, "node_id").dropDuplicates(["history_id", "rep_id", "test", "bin"]).drop("node_id")
         self._add("scores", rows.select("history_id", "rep_id", "test", "bin", "score", "supported"), "test")
-        for test in {t for _, t in own}:
-            self._note("scores", units, test)
+        self._note("scores", units, *sorted({t for _, t in own}))
 
 
 def blocks(n_replicates: int) -> int:

@@ -207,7 +207,7 @@ def measure(
         else:
             exc = excursions.where(F.col("horizon").isin(list(grid.horizons)))
     else:
-        exc = excursions_wide(panel, grid.horizons)
+        exc = materialise(excursions_wide(panel, grid.horizons), "excursions")  # counted twice
     bins = assign_bins(values, quantile_edges(values, n_bins) if edges is None else edges)
     return conditional_rates(exc, bins, grid), baseline_rates(exc, grid) if baseline is None else baseline
 

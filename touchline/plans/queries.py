@@ -18,7 +18,7 @@ from ..operators.scoring import barrier_pairs, bin_scores, economic_filter, insp
 from ..operators.surface import assign_bins, baseline_rates, excursions, excursions_wide, fixed_edges, measure, node_coverage, on_history, quantile_edges
 from ..sources.bars import auxiliary, bars_daily, bars_hourly
 from ..sources.readers import with_defaults
-from ..shared import fresh_path
+from ..shared import fresh_path, materialise
 from ..store import Store
 from ..streaming.bars import stream_bars
 from .catalogue import catalogue_nodes
@@ -101,8 +101,13 @@ def _feature(name: str) -> Query:
     return query
 
 
+def _bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily bars, written once: what follows reads them several times."""
+    return materialise(bars_daily(spark, sf_dir), "bars")
+
+
 def _measured(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return measure(bars_daily(spark, sf_dir), list(NODES), default_registry(), GRID, N_BINS)
+    return measure(_bars(spark, sf_dir), list(NODES), default_registry(), GRID, N_BINS)
 
 
 def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,7 +183,7 @@ def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _tests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = path_scores(bars_daily(spark, sf_dir), list(NODES), default_registry(), GRID, N_BINS, REPLICATES)
+    found = path_scores(_bars(spark, sf_dir), list(NODES), default_registry(), GRID, N_BINS, REPLICATES)
     return monte_carlo(found, REPLICATES)
 
 
@@ -192,7 +197,7 @@ def tests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All 58 conditions of the catalogue by 41 barriers, 30 horizons and 10 bins, measured and compared."""
-    rows = shift_surface(*measure(panel(spark, sf_dir), catalogue_nodes(), default_registry(), DEFAULT_GRID, CATALOGUE_BINS))
+    rows = shift_surface(*measure(materialise(panel(spark, sf_dir), "panel"), catalogue_nodes(), default_registry(), DEFAULT_GRID, CATALOGUE_BINS))
     return rows.select("node_id", "bin", "horizon", "barrier_idx", "n_obs", "n_hit", F.round("shift", 9).alias("shift"))
 
 
@@ -202,21 +207,21 @@ def _found(rows: DataFrame, *keys: str) -> DataFrame:
 
 def two_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily and hourly bars as two histories, with nodes of their own, tested in one run."""
-    groups = [(bars_daily(spark, sf_dir), [NODES[0], NODES[2]]), (bars_hourly(spark, sf_dir), [NODES[1]])]
+    groups = [(_bars(spark, sf_dir), [NODES[0], NODES[2]]), (materialise(bars_hourly(spark, sf_dir), "bars"), [NODES[1]])]
     scores = Ensemble(Store(spark, fresh_path(spark, "ensemble"))).scores(groups, default_registry(), GRID, N_BINS, REPLICATES)
     return _found(monte_carlo(scores, REPLICATES), "history_id")
 
 
 def extended(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An ensemble of one node and one block of replicates, then of a further node and twice as many: what is kept is not made again."""
-    ensemble, bars = Ensemble(Store(spark, fresh_path(spark, "ensemble"))), bars_hourly(spark, sf_dir)
+    ensemble, bars = Ensemble(Store(spark, fresh_path(spark, "ensemble"))), materialise(bars_hourly(spark, sf_dir), "bars")
     ensemble.scores([(bars, [NODES[0]])], default_registry(), GRID, N_BINS, REPLICATES)
     return _found(monte_carlo(ensemble.scores([(bars, list(NODES[:2]))], default_registry(), GRID, N_BINS, 2 * REPLICATES), 2 * REPLICATES))
 
 
 def _loose(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tests with a threshold that some bins clear with few replicates."""
-    found = path_scores(bars_daily(spark, sf_dir), list(NODES), default_registry(), GRID, N_BINS, REPLICATES)
+    found = path_scores(_bars(spark, sf_dir), list(NODES), default_registry(), GRID, N_BINS, REPLICATES)
     return monte_carlo(found, REPLICATES, 0.5)
 
 

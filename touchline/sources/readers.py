@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from ..config import OHLCV
 
@@ -55,12 +56,13 @@ def read_ohlcv(spark: SparkSession, path: str, kind: str = "parquet", ts: str =
     if kind == "parquet":
         df = spark.read.parquet(path)
     elif kind == "csv":
-        # without a schema every field is read as a string; ``finite`` and ``naive_utc`` refuse what is none of their kind
-        names = [ts, *columns]
-        df = spark.read.option("header", True).option("enforceSchema", False).csv(path)
-        lacking = [c for c in names if c not in df.columns]
+        # numbers are parsed by the scan (what is none becomes NULL), times below, since they come with and without offsets
+        header = spark.read.option("header", True).csv(path).columns
+        lacking = [c for c in (ts, *columns) if c not in header]
         if lacking:
             raise ValueError(f"the file lacks the columns {', '.join(lacking)}")
+        schema = StructType([StructField(c, DoubleType() if c in columns else StringType()) for c in header])
+        df = spark.read.option("header", True).option("enforceSchema", False).schema(schema).csv(path)
     elif kind == "json":
         df = spark.read.json(path)
     else:
