@@ -182,6 +182,15 @@ def test_an_ensemble_grows_without_repeating_itself(spark, tmp_path, monkeypatch
     assert "null_paths" in made
 
 
+def test_other_bars_under_the_same_id_are_another_history(spark, tmp_path):
+    ensemble, one, two = Ensemble(Store(spark, str(tmp_path))), bars(spark, seed=1), bars(spark, seed=2)
+    run = lambda panel: scored(ensemble.scores([(panel, [A])], REGISTRY, GRID, 2, 4))
+    want = [scored(inference.path_scores(p, [A], REGISTRY, GRID, 2, 4)) for p in (one, two)]
+    assert [run(one), run(two), run(one)] == [want[0], want[1], want[0]] and want[0] != want[1]
+    simulated = ensemble.paths(two, 3)
+    assert simulated.select("history_id", "rep_id").distinct().count() == 3 and {r.history_id for r in simulated.select("history_id").distinct().collect()} == {"h"}
+
+
 def test_a_cut_off_block_is_made_again(spark, tmp_path, monkeypatch):
     panel, ensemble = bars(spark), Ensemble(Store(spark, str(tmp_path)))
     real = kept.Ensemble._note

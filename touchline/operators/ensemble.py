@@ -7,7 +7,8 @@ parameters, grid and bins (and, for features that are not recomputed, its observ
 again is read; more replicates, further nodes or other grids compute only what lacks.  A note is written
 after each block, so a run that ends half-way repeats the blocks that have none, and replaces them.
 
-Several histories, each with nodes of its own, go through one plan: every step is keyed by history.
+Histories are told apart by the content of their bars, not by the ids that panels give them.  Several of them, each with
+nodes of its own, go through one run.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..config import SEED, Grid, Node
 from ..functions.features import FeatureRegistry
-from ..store import METHOD, VERSION, Store, content_digest
+from ..store import METHOD, VERSION, Store, content_digest, history_id
 from .inference import all_features, block_scores
 from .null_model import log_components, null_fit, null_paths
 from .surface import excursions_wide
@@ -88,10 +89,12 @@ class Ensemble:
             self._note("paths", lacking)
 
     def paths(self, observed: DataFrame, n_replicates: int) -> DataFrame:
-        """Panels of replicates 1 .. n_replicates of every observed history."""
-        units = [(h, b) for h in histories(observed) for b in range(blocks(n_replicates))]
-        self._simulate(observed, units)
-        return self._kept("paths", units).where(F.col("rep_id") <= n_replicates).select(*PANEL)
+        """Panels of replicates 1 .. n_replicates of an observed history."""
+        (given,) = histories(observed)
+        key, bars = by_content(observed)
+        units = [(key, b) for b in range(blocks(n_replicates))]
+        self._simulate(bars, units)
+        return self._kept("paths", units).where(F.col("rep_id") <= n_replicates).withColumn("history_id", F.lit(given)).select(*PANEL)
 
     def _measure(self, observed: DataFrame, units: list[Unit], horizons: tuple[int, ...]) -> None:
         key = "-".join(map(str, sorted(set(horizons))))
@@ -121,16 +124,19 @@ class Ensemble:
     ) -> DataFrame:
         """(history_id, rep_id, node_id, bin, score, supported) of the observed path (0) and replicates 1 .. n_replicates.
 
-        ``groups``: observed panels of one history each, with the nodes that are tested on it; histories of equal id and
-        content share their ensemble.  ``step`` hears how many of the blocks that lacked are done.
+        ``groups``: observed panels of one history each, with the nodes that are tested on it; histories of equal bars
+        share their ensemble.  ``step`` hears how many of the blocks that lacked are done.
         """
         every = [OBSERVED, *range(blocks(n_replicates))]
         names, lacking, base, have = [], defaultdict(list), {}, self._kept_keys()
+        panels = []
         for k, (panel, nodes) in enumerate(groups):
-            (history,) = histories(panel)
+            (given,) = histories(panel)
+            history, panel = by_content(panel)
+            panels.append(panel)
             base.setdefault(history, panel.select(*PANEL))
             test_of = self.tests(panel, nodes, registry, grid, n_bins)
-            names += [(history, test_of[n.id], n.id) for n in nodes]
+            names += [(history, test_of[n.id], n.id, given) for n in nodes]
             for n in nodes:
                 for u in self._lacking("scores", [(history, b) for b in every], test_of[n.id], have=have):
                     lacking[u, k].append((n, test_of[n.id]))
@@ -143,13 +149,13 @@ class Ensemble:
             size = -(-len(work) // STEPS)
             for at in range(0, len(work), size):
                 units, own = [u for u, _ in work[at : at + size]], work[at][1]
-                self._score(groups[k][0], base[units[0][0]], units, own, registry, grid, n_bins)
+                self._score(panels[k], base[units[0][0]], units, own, registry, grid, n_bins)
                 done += len(units)
                 step(done, total)
-        wanted = self.spark.createDataFrame(sorted(set(names)), "history_id string, test string, node_id string")
-        units = sorted({(h, b) for h, _, _ in names for b in every})
-        rows = self._kept("scores", units, test=sorted({t for _, t, _ in names})).where(F.col("rep_id") <= n_replicates)
-        return rows.join(wanted, ["history_id", "test"]).select("history_id", "rep_id", "node_id", "bin", "score", "supported")
+        wanted = self.spark.createDataFrame(sorted(set(names)), "history_id string, test string, node_id string, given string")
+        units = sorted({(h, b) for h, *_ in names for b in every})
+        rows = self._kept("scores", units, test=sorted({t for _, t, *_ in names})).where(F.col("rep_id") <= n_replicates)
+        return rows.join(wanted, ["history_id", "test"]).select(F.col("given").alias("history_id"), "rep_id", "node_id", "bin", "score", "supported")
 
     def _score(self, panel: DataFrame, bars: DataFrame, units: list[Unit], own: list[tuple[Node, str]], registry: FeatureRegistry, grid: Grid, n_bins: int) -> None:
         """Scores of some nodes on some blocks of one history, from paths and excursions that are kept or made now."""
@@ -169,6 +175,12 @@ def blocks(n_replicates: int) -> int:
     return -(-n_replicates // BLOCK_REPS)
 
 
+def by_content(panel: DataFrame) -> tuple[str, DataFrame]:
+    """A panel's history by the content of its bars, and the panel under that id."""
+    key = history_id(panel)
+    return key, panel.withColumn("history_id", F.lit(key))
+
+
 def histories(panel: DataFrame) -> list[str]:
     """The ids of a panel's histories; they are few."""
     return sorted(r.history_id for r in panel.select("history_id").distinct().collect())
