@@ -528,6 +528,22 @@ def test_scores_are_the_same_again_and_in_other_chunks(lm_docs, monkeypatch):
     assert a == c
 
 
+def test_weights_are_learnt_from_every_training_document(spark, sf_dir):
+    """Scores do not depend on which ids the training documents have: no choice by id learns from some of them only."""
+    texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").limit(200).collect()]
+    training = [d for d in range(100_000, 101_000) if not is_held(d)]
+    apart = lambda d: zlib.crc32(str(d).encode()) // 7 % 32 == 0
+    rare = [d for d in training if not apart(d)][: len(texts)]
+    some = [d for d in training if apart(d)]
+    mixed = [*some[:5], *rare[5:]]
+    scores = []
+    for ids in (rare, mixed):
+        df = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").coalesce(1)
+        by_id = {r.doc_id: r.score for r in lm_scoring.score_documents(df).collect()}
+        scores.append([by_id[d] for d in ids])
+    assert np.allclose(*scores, rtol=1e-6, atol=0)
+
+
 def test_changed_rows_are_refused(spark, tmp_path):
     rows = [(1, False, b"a b c"), (2, True, b"d e")]
     chunk, other = lm_scoring.Chunk(rows, 40), lm_scoring.Chunk([(1, False, b"a b x"), (2, True, b"d e")], 40)
