@@ -195,6 +195,26 @@ def test_unlabelled_languages_beside_rare_ones(spark, monkeypatch):
     assert kept == {k for k in range(1100) if k >= 900 or k % 8}
 
 
+def test_every_language_is_tested(spark, monkeypatch):
+    """Languages beyond any number that SQL tests lose their junk too."""
+    monkeypatch.setattr(quality, "MAX_STRATA", 1)
+    text = lambda k, bad: " ".join(f"v{k}x{i}" + " |" * bad for i in range(60))
+    docs = spark.createDataFrame([(k, text(k, k % 8 == 0), "en" if k < 1000 else "fr") for k in range(1900)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, int(k % 8 != 0)) for k in range(1900)], "doc_id long, quality int")
+    kept = {r.doc_id for r in quality.quality_filter(docs, labels).select("doc_id").collect()}
+    assert kept == {k for k in range(1900) if k % 8}
+
+
+def test_cutoffs_of_over_200_strata(spark):
+    """201 equally labelled strata have cutoffs, each by all strata's correction; a stratum with too few labels has none."""
+    counted = spark.range(201 * 1500 + 90).selectExpr(
+        "id", "concat('s', lpad(id div 1500, 3, '0')) as stratum", "id % 10 > 0 as good",
+        "named_struct('n_words', 100l, 'word_chars', 500l, 'n_symbols', if(id % 10 > 0, 0l, 90l), 'n_dup_lines', 0l, 'n_repeat_words', 0l) as c",
+    )
+    got = {r.stratum: (r.symbols, r.dup_lines) for r in quality.fit_cutoffs(counted).collect()}
+    assert got == {f"s{k:03}": (0.9, None) for k in range(201)}
+
+
 # ---- pseudonyms ----------------------------------------------------------------------------
 
 SAMPLE = (
