@@ -23,7 +23,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group with 5-word similarities of 0.8: the one with the smallest doc_id."""
+    """One document of each group of SimHash and min-hash candidates with 5-word similarities of 0.8: the one with the smallest doc_id."""
     return one_near_text(docs)
 
 
@@ -43,7 +43,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A table's files are read in any order, so documents are dealt by ranges of slots once more: each
     partition packs one range, and its number leads the numbers of its windows.
     """
-    return pack(mixed(docs))
+    return pack(mixed(docs), keep=False)  # the same workers run the other stages
 
 
 STAGES = [

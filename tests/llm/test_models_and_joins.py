@@ -231,6 +231,17 @@ def test_large_keys_lose_no_link(spark, monkeypatch, part_bytes, hot_share):
     assert {x.doc_id: x.component_id for x in near_text.near_texts(df).collect()} == dict(enumerate(label))
 
 
+def test_simhash_finds_what_no_band_does(spark):
+    """Similar texts within two bits of SimHash are linked though they share no min-hash band."""
+    texts = [" ".join([f"k21067w{i}" for i in range(5)] * 40) + end for end in ("", " end")]
+    a, b = (near_text.shingle_set(t.encode()) for t in texts)
+    x, y = (simhash.fingerprint(t.encode()) for t in texts)
+    assert near_text.similarity(a, b) >= 0.8 and (x ^ y).bit_count() <= 2
+    assert not set(near_text.band_keys(a).tolist()) & set(near_text.band_keys(b).tolist())
+    df = spark.createDataFrame([(7, texts[0]), (3, texts[1]), (1, "another text")], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near_text.near_texts(df).collect()} == {7: 3, 3: 3, 1: 1}
+
+
 def test_overlaps_and_label_links():
     r = np.random.default_rng(3)
     sets = [np.unique(r.integers(0, 60, r.integers(0, 50)).astype(np.uint32)) for _ in range(40)]

@@ -75,9 +75,9 @@ class PieceEncoder:
         one, *others = (self.tokenizer.encode(t, add_special_tokens=False).ids for t in ("ab c", "AB C", " Ab\nc"))
         self.folds = all(x == one for x in others)  # neither case nor white space matters: more pieces are equal
         self.vocab_size = self.tokenizer.get_vocab_size()
-        self._clear()
+        self.clear()
 
-    def _clear(self) -> None:
+    def clear(self) -> None:
         self.known: dict[str, int] = {}
         self.ids = np.zeros(1 << 16, np.uint32)
         self.starts = np.zeros(1 << 16, np.int64)
@@ -145,7 +145,7 @@ class PieceEncoder:
         if len(texts) == 0:
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         if len(self.known) > CACHE_PIECES:
-            self._clear()
+            self.clear()
         apart = pc.match_substring_regex(texts, self.added, ignore_case=True) if self.added else pa.array(np.zeros(len(texts), bool))
         safe = pc.invert(pc.or_(apart, pc.match_substring_regex(texts, UNSAFE)))
         is_apart, is_safe = (x.to_numpy(zero_copy_only=False) for x in (apart, safe))

@@ -1,10 +1,15 @@
-"""Near-duplicate texts: 5-word shingles with a Jaccard similarity of SIMILARITY or more.
+"""Near-duplicate texts: SimHash components, then 5-word shingles with a Jaccard similarity of SIMILARITY or more.
 
 Texts are lower-cased (A-Z) and cut into words at ASCII white space; a text of fewer than
-SHINGLE words is one shingle.  At such similarities fingerprints of 64 bits differ in up to
-some 11 bits, for which no pigeonhole keys select, so candidates share a min-hash band: BANDS
-keys of ROWS min-hashes each, which two texts of similarity s all miss with probability
-(1 - s**ROWS)**BANDS (0.8: 0.0007).  Candidates are confirmed by their whole shingle sets.
+SHINGLE words is one shingle.  Candidates share a key:
+
+* the component of their SimHash fingerprints, found as simhash does: all texts whose fingerprints differ in
+  2 bits or fewer, none of which is missed;
+* a min-hash band.  At such similarities fingerprints of 64 bits differ in up to some 11 bits, for which no
+  pigeonhole keys select, so BANDS keys of ROWS min-hashes each find those beyond 2 bits; two texts of
+  similarity s miss all of them with probability (1 - s**ROWS)**BANDS (0.8: 0.0007).
+
+Candidates are confirmed by their whole shingle sets.
 
 Equal sets are one row first.  Of the pairs that share a key no more are formed than needed:
 
@@ -32,7 +37,7 @@ from pyspark.sql import functions as F
 from . import bloom
 from .components import component_labels, forest
 from .encoding import ragged
-from .simhash import HOT_SHARE, near_duplicates, one_of_each
+from .simhash import HOT_SHARE, fingerprint, fingerprint_links, near_duplicates, one_of_each
 from .store import materialise
 
 SEED = 42
@@ -91,17 +96,18 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 1024):
             part = batch.slice(at, 1024)
-            sets = [shingle_set(t) for t in part.column("text").cast(pa.large_binary()).to_pylist()]
-            ids = np.array([set_id(s) for s in sets], np.uint64).view(np.int64)
+            texts = part.column("text").cast(pa.large_binary()).to_pylist()
+            sets = [shingle_set(t) for t in texts]
+            ids, marks = (np.array(x, np.uint64).view(np.int64) for x in ([set_id(s) for s in sets], [fingerprint(t or b"") for t in texts]))
             keys = [band_keys(s).view(np.int64) for s in sets]
             ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
-            yield pa.record_batch([part.column("doc_id"), pa.array(ids), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys)))], names=["doc_id", "fp", "keys"])
+            yield pa.record_batch([part.column("doc_id"), pa.array(ids), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys))), pa.array(marks)], names=["doc_id", "fp", "keys", "mark"])
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp: id of the shingle set, keys) of every row; a map, no shuffle."""
+    """(doc_id, fp: id of the shingle set, keys, mark: SimHash fingerprint) of every row; a map, no shuffle."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_signatures, "doc_id long, fp long, keys array<long>")
+    return rows.mapInArrow(_signatures, "doc_id long, fp long, keys array<long>, mark long")
 
 
 def _sets(needed: np.ndarray):
@@ -191,15 +197,24 @@ def _with_leader(keyed: DataFrame, leaders: DataFrame, most: int) -> DataFrame:
     return found.where("leader is not null")
 
 
+def simhash_keys(rows: DataFrame) -> DataFrame:
+    """(fp, key) of every set: the SimHash components of its texts; texts of one set may have several fingerprints."""
+    marks = materialise(rows.select("fp", "mark").distinct(), "marks")
+    label = component_labels(fingerprint_links(marks.select(F.col("mark").alias("fp")).distinct()))
+    linked = marks.join(label.withColumnRenamed("node", "mark"), "mark", "left")
+    return linked.select("fp", F.xxhash64(F.lit("simhash"), F.coalesce("label", "mark")).alias("key")).distinct()
+
+
 def set_links(rows: DataFrame, docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(u, v): links between different shingle sets of ``docs``, or between components of such links; rows: their signatures.
 
     Whole sets are only kept of the texts that share a key with another one.
     """
-    keyed = rows.groupBy("fp").agg(F.first("keys").alias("keys")).select("fp", F.explode("keys").alias("key"))
+    banded = rows.groupBy("fp").agg(F.first("keys").alias("keys")).select("fp", F.explode("keys").alias("key"))
+    keyed = banded.union(materialise(simhash_keys(rows), "simhash"))
     drawn = F.struct(F.xxhash64("key", "fp").alias("h"), F.col("fp").alias("x"))
     leaders = keyed.groupBy("key").agg(F.min(drawn)["x"].alias("leader"), F.count("*").alias("n")).where("n > 1")
-    keyed = materialise(_with_leader(keyed, leaders, rows.count() * BANDS), "keyed")
+    keyed = materialise(_with_leader(keyed, leaders, rows.count() * (BANDS + 1)), "keyed")
     # few texts are needed: a filter of bounded size spares nearly all others the shuffle at any input size, the join is exact
     needed = materialise(keyed.select("fp").distinct(), "needed")
     sieve = bloom.build(needed, needed.count())

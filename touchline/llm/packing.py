@@ -132,7 +132,7 @@ def _rows(pieces: list[tuple]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, pa.int64()) for c in (doc, start, [len(x) for x in ids], crc, n, sequence, offset)], names=NAMES)
 
 
-def _packer(path: str, end_id: int, capacity: int):
+def _packer(path: str, end_id: int, capacity: int, keep: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
         packer = Packer(TaskContext.get().partitionId() << 33, capacity)
@@ -144,16 +144,21 @@ def _packer(path: str, end_id: int, capacity: int):
                     out += packer.add(doc_id, np.append(ids[end - n : end], np.uint32(end_id)))
                 if out:
                     yield _rows(out)
+        if not keep:
+            coder.clear()
         if out := packer.close():
             yield _rows(out)
 
     return run
 
 
-def pack(docs: DataFrame, path: str | None = None, end_id: int = END_ID, capacity: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per piece; a map over the partitions of ``docs``, without a shuffle."""
+def pack(docs: DataFrame, path: str | None = None, end_id: int = END_ID, capacity: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", keep: bool = True) -> DataFrame:
+    """One row per piece; a map over the partitions of ``docs``, without a shuffle.
+
+    ``keep``: Python workers keep the ids of pieces for their next partition; without it they give that memory back to other work.
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_packer(path or default_path("byte_bpe_50k.json"), end_id, capacity), SCHEMA)
+    return rows.mapInArrow(_packer(path or default_path("byte_bpe_50k.json"), end_id, capacity, keep), SCHEMA)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
