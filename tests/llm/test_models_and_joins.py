@@ -513,6 +513,34 @@ def test_all_words_together_have_at_most_probability_one():
         assert 0.5 < (10 ** logs[at]).sum() <= 1 + 1e-9
 
 
+def test_tokens_of_many_texts_are_those_of_each():
+    texts = [b"One two  ONE\t\x0btwo\n", b"", None, b" \n\r\f ", b"\x00a \x1cb\x85 \xc3\x84\xc2\xa0c", b"last", b"\n\nx\n"]
+    for given in (texts, texts[1:3], [None]):
+        words, sizes = lm_scoring.all_tokens(given)
+        assert words.to_pylist() == [w for t in given for w in lm_scoring.tokens(t)] and sizes.tolist() == [len(lm_scoring.tokens(t)) for t in given]
+    chunk = lm_scoring.Chunk([(k, False, t) for k, t in enumerate(texts)], 64)
+    assert [chunk.words[i] for i in chunk.number] == [w for t in texts for w in lm_scoring.tokens(t)] and len(set(chunk.words)) == len(chunk.words)
+    assert chunk.word_bytes().tolist() == [sum(map(len, w)) + len(w) - 1 for w in map(lm_scoring.tokens, texts)]
+
+
+def test_weighing_stretches_each_slot_once(monkeypatch):
+    """All training texts are weighed, so a bit costs look-ups, not logarithms; without itself, it is predicted as if it had not been counted."""
+    m, words = mixing_model.spelling_mixer(), [b"w%d" % (k * k) for k in range(60_000)]
+    mixing_model.count_spelling(m, words)
+    done, stretch = [], m._stretch
+    monkeypatch.setattr(m, "_stretch", lambda pair: done.append(pair.shape) or stretch(pair))
+    moments = mixing_model.Moments(m)
+    mixing_model.weigh_spelling(m, words, moments)
+    assert moments.sums.any() and sum(math.prod(s[:-1]) for s in done) <= 3 * len(m.cells)
+    s = mixing_model.Spelling(words[:300])
+    x = m.inputs(s.slots, m.left_out(s.bits))
+    for k, slot in enumerate(s.slots):
+        pair = m.cells[m.first[k] + slot].astype(np.float32)
+        pair[np.arange(len(slot)), s.bits] -= 1
+        assert (pair >= 0).all() and np.allclose(x[k], np.log((pair[:, 1] + 0.05) / (pair[:, 0] + 0.05)), atol=1e-5)
+        assert (m.confidence(k, slot, m.left_out(s.bits)) == mixing_model.confidence(pair.sum(1))).all()
+
+
 def test_scores_do_not_depend_on_files(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     one, four = ({r.doc_id: r.score for r in lm_scoring.score_documents(df).collect()} for df in (docs.coalesce(1), docs.repartition(4)))
