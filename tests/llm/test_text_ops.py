@@ -356,6 +356,29 @@ def test_pieces_encode_as_whole_texts(coder):
     assert not any("endoftext|>" in k.lower() and " b." in k for k in coder.known)
 
 
+class CountedLookUps(dict):
+    n = 0
+
+    def get(self, *a):
+        self.n += 1
+        return super().get(*a)
+
+    def __getitem__(self, k):
+        self.n += 1
+        return super().__getitem__(k)
+
+
+def test_known_pieces_are_looked_up_once(coder):
+    """Also beside new ones; words at the beginnings of texts and lines are pieces of their own."""
+    coder.clear()
+    coder.known = CountedLookUps()
+    old = [" ".join(f"w{k * k}" for k in range(2000)), "the\nbeginning of\nlines"]
+    check_encoding(coder, old)
+    before = coder.known.n
+    check_encoding(coder, [*old, "something new\nthe end of\nlines"])
+    assert coder.known.n - before <= 2000 + 40
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(alphabet="ab \n\t\r.,'s1é中́\x85 \x1cİΣ!<|>", max_size=30), max_size=6))
 def test_pieces_encode_random(coder, texts):

@@ -16,7 +16,7 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -95,7 +95,7 @@ class PieceEncoder:
         """Encodes distinct new strings and keeps their ids."""
         for at in range(0, len(parts), 8192):
             part = parts[at : at + 8192]
-            got = [e.ids for e in self.tokenizer.encode_batch(part, add_special_tokens=False)]
+            got = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]  # without offsets
             flat = np.array(list(chain.from_iterable(got)), np.uint32)
             self._add(part, np.array(list(map(len, got)), np.int64), flat)
 
@@ -130,12 +130,22 @@ class PieceEncoder:
 
     def _numbers(self, pieces: list[str]) -> np.ndarray:
         """Numbers of distinct or repeated pieces in the cache; new ones are encoded first."""
-        get = self.known.get
-        out = [get(p, -1) for p in pieces]
-        if -1 in out:
-            self._learn(list(dict.fromkeys(p for p, k in zip(pieces, out) if k < 0)))
-            out = [get(p) for p in pieces]
-        return np.array(out, np.int64)
+        out = np.fromiter(map(self.known.get, pieces, repeat(-1)), np.int64, len(pieces))
+        if len(missing := np.flatnonzero(out < 0)):
+            new = [pieces[i] for i in missing.tolist()]
+            self._learn(list(dict.fromkeys(new)))
+            out[missing] = np.fromiter(map(self.known.__getitem__, new), np.int64, len(new))
+        return out
+
+    def _own(self, found: pa.Array) -> list[str]:
+        """Pieces as they stand in a text, of those of a marked text cut at spaces."""
+        if self.folds:
+            return pc.utf8_ltrim(found, "\n").to_numpy(zero_copy_only=False).tolist()
+        space, none = pa.scalar(" ", pa.large_string()), pa.scalar("", pa.large_string())
+        own = pc.binary_join_element_wise(space, found, none).to_numpy(zero_copy_only=False).tolist()
+        for i in np.flatnonzero(pc.starts_with(found, "\n").to_numpy(zero_copy_only=False)).tolist():
+            own[i] = own[i][3:] if own[i][:3] == " \n\n" else own[i][1:]
+        return own
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of ``texts`` one after the other (uint32), and each text's number of ids."""
@@ -161,12 +171,7 @@ class PieceEncoder:
             marked = pc.binary_join_element_wise(mark, pc.replace_substring(given, "\n", " \n"), none)
             split = pc.split_pattern(marked, " ")
             coded = split.flatten().dictionary_encode()
-            found = coded.dictionary.to_pylist()
-            if self.folds:
-                own = [p.lstrip("\n") for p in found]
-            else:
-                own = [p[2:] if p[:2] == "\n\n" else p if p[:1] == "\n" else " " + p for p in found]
-            numbers = self._numbers(own)[coded.indices.to_numpy()]
+            numbers = self._numbers(self._own(coded.dictionary))[coded.indices.to_numpy()]
             n_pieces[rows] = np.diff(split.offsets.to_numpy())
             parts.append((rows, numbers))
         rows = np.flatnonzero(~is_safe & ~is_apart)
