@@ -356,6 +356,29 @@ def test_pieces_encode_as_whole_texts(coder):
     assert not any("endoftext|>" in k.lower() and " b." in k for k in coder.known)
 
 
+@pytest.mark.parametrize("keep", [True, False])
+def test_packing_gives_back_memory_of_arrow(monkeypatch, keep):
+    """Unless ids are kept, a worker that ends a partition gives Arrow's unused memory back, also of an empty partition."""
+
+    class Pool:
+        released = 0
+
+        def release_unused(self):
+            self.released += 1
+
+    class Context:
+        partitionId = staticmethod(lambda: 0)
+
+    pool = Pool()
+    monkeypatch.setattr(packing.pa, "default_memory_pool", lambda: pool)
+    monkeypatch.setattr(packing.TaskContext, "get", staticmethod(Context))
+    run = packing._packer(encoding.default_path("byte_bpe_50k.json"), 1, 2048, keep)
+    docs = pa.record_batch([pa.array([1, 2], pa.int64()), pa.array(["some words", None])], names=["doc_id", "text"])
+    out = [r for b in run(iter([docs])) for r in b.to_pylist()]
+    assert sorted(r["doc_id"] for r in out) == [1, 2] and list(run(iter([]))) == []
+    assert pool.released == (0 if keep else 2)
+
+
 class CountedLookUps(dict):
     n = 0
 

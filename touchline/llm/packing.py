@@ -146,6 +146,8 @@ def _packer(path: str, end_id: int, capacity: int, keep: bool):
                     yield _rows(out)
         if not keep:
             coder.clear()
+            batch = part = ids = None
+            pa.default_memory_pool().release_unused()
         if out := packer.close():
             yield _rows(out)
 
